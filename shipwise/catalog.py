@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import checks as ck
 from .operators import delivery as dl
+from .operators import explore as ex
 from .sources.star import star_tables
 from .tables import Tables
 
@@ -27,7 +29,19 @@ def _on_tables(fn: Callable[[Tables], DataFrame]) -> Query:
 
 def table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
     """Name -> operator over a ``Tables`` bundle."""
-    return {
+    out: dict[str, Callable[[Tables], DataFrame]] = {
+        "a4_row_counts": ck.row_counts,
+        "a5_key_violations": ck.key_violations,
+        "a6_orphan_rows": ck.orphan_rows,
+        "k1_status_counts": ex.status_counts,
+        "k2_payment_mix": ex.payment_mix,
+        "k3_top_categories_by_revenue": ex.top_categories_by_revenue,
+        "k4_lowest_rated_categories": ex.lowest_rated_categories,
+        "k5_late_vs_on_time_reviews": ex.late_vs_on_time_reviews,
+        "k6_monthly_revenue": ex.monthly_revenue,
+        "k7_spend_by_state": ex.spend_by_state,
+        "k9_pick_story_order": ex.pick_story_order,
+        "k10_order_story": ex.order_story,
         "k11_delay_histogram": dl.delay_histogram,
         "k12_delay_mean": dl.delay_mean,
         "k13_delay_buckets": dl.delay_buckets,
@@ -41,6 +55,18 @@ def table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "k21_delay_by_weight": dl.delay_by_weight,
         "k22_chronic_late_sellers": dl.chronic_late_sellers,
     }
+    for name in ("customers", "orders", "order_items", "products", "category_translation",
+                 "order_payments", "order_reviews", "sellers"):
+        out[f"a11_preview_{name}"] = _preview(name)
+    return out
+
+
+def _preview(name: str) -> Callable[[Tables], DataFrame]:
+    def fn(t: Tables) -> DataFrame:
+        return ex.previews(t)[name]
+    fn.__name__ = f"preview_{name}"
+    fn.__doc__ = f"A11: preview of {name} in key order."
+    return fn
 
 
 def queries() -> dict[str, Query]:
@@ -48,7 +74,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracle import delivery_sql
+    from .oracle import delivery_sql, explore_sql
     out: dict[str, str] = {}
+    out.update(explore_sql.sqls())
     out.update(delivery_sql.sqls())
     return out
