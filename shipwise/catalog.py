@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators import checks as ck
 from .operators import delivery as dl
 from .operators import explore as ex
+from .operators import report as rp
 from .sources.star import star_tables
 from .tables import Tables
 
@@ -54,6 +55,21 @@ def table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "k20_slowest_categories": dl.slowest_categories,
         "k21_delay_by_weight": dl.delay_by_weight,
         "k22_chronic_late_sellers": dl.chronic_late_sellers,
+        "r1_early_late_share": rp.early_late_share,
+        "r2_review_by_late_tail": rp.review_by_late_tail,
+        "r3_review_coverage": rp.review_coverage,
+        "r4_comment_rate_by_score": rp.comment_rate_by_score,
+        "r5_cancellation_summary": rp.cancellation_summary,
+        "r6_repeat_purchase": rp.repeat_purchase,
+        "r7_dispatch_days_by_category": rp.dispatch_days_by_category,
+        "r8_dispatch_days_by_customer_state": rp.dispatch_days_by_customer_state,
+        "r7_r8_dispatch_spread": rp.dispatch_spread,
+        "r9_slow_sellers_vs_category": rp.slow_sellers_vs_category,
+        "r10_lanes_from_origin": rp.lanes_from_origin,
+        "r11_late_by_destination_across_origins": rp.late_by_destination_across_origins,
+        "r12_early_breakdown": rp.early_breakdown,
+        "r13_over_promise_by_state": rp.over_promise_by_state,
+        "r14_over_promise_by_category": rp.over_promise_by_category,
     }
     for name in ("customers", "orders", "order_items", "products", "category_translation",
                  "order_payments", "order_reviews", "sellers"):
@@ -74,8 +90,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracle import delivery_sql, explore_sql
+    from .oracle import delivery_sql, explore_sql, report_sql
     out: dict[str, str] = {}
+    out.update(report_sql.sqls())
     out.update(explore_sql.sqls())
     out.update(delivery_sql.sqls())
     return out
