@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators import checks as ck
 from .operators import delivery as dl
 from .operators import explore as ex
+from .operators import model_reports as mr
 from .operators import report as rp
 from .sources.star import star_tables
 from .tables import Tables
@@ -71,6 +72,7 @@ def table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "r13_over_promise_by_state": rp.over_promise_by_state,
         "r14_over_promise_by_category": rp.over_promise_by_category,
     }
+    out.update(mr.queries())
     for name in ("customers", "orders", "order_items", "products", "category_translation",
                  "order_payments", "order_reviews", "sellers"):
         out[f"a11_preview_{name}"] = _preview(name)
@@ -90,8 +92,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracle import delivery_sql, explore_sql, report_sql
+    from .oracle import delivery_sql, explore_sql, model_sql, report_sql
     out: dict[str, str] = {}
+    out.update(model_sql.sqls())
     out.update(report_sql.sqls())
     out.update(explore_sql.sqls())
     out.update(delivery_sql.sqls())

@@ -69,3 +69,20 @@ def RIGHT_CLOSED(x: str, edges, labels) -> str:
     parts = " ".join(f"WHEN {x} > {lo} AND {x} <= {hi} THEN '{lab}'"
                      for lo, hi, lab in zip(edges[:-1], edges[1:], labels))
     return f"CASE {parts} END"
+
+
+def PERCENTILE(source: str, value: str, q: float, keys: tuple[str, ...] = (), alias: str = "p") -> str:
+    """Exact percentile per group by rank selection, numpy's linear rule
+    (``source`` is a FROM item exposing ``keys`` and ``value``)."""
+    part = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    kcols = "".join(f"{k}, " for k in keys)
+    grp = f"GROUP BY {', '.join(keys)}" if keys else ""
+    return f"""(
+      SELECT {kcols}CASE WHEN d >= 0.5 THEN b - (b - a) * (1.0e0 - d) ELSE a + (b - a) * d END AS {alias}
+      FROM (SELECT {kcols}max(CASE WHEN rn = floor(pos) THEN v END) AS a,
+                   max(CASE WHEN rn = ceil(pos) THEN v END) AS b,
+                   any_value(pos - floor(pos)) AS d
+            FROM (SELECT {kcols}v, row_number() OVER ({part} ORDER BY v) - 1 AS rn,
+                         CAST(count(*) OVER ({part}) - 1 AS DOUBLE) * {float(q)!r}e0 AS pos
+                  FROM (SELECT {kcols}CAST({value} AS DOUBLE) AS v FROM {source}) WHERE v IS NOT NULL)
+            WHERE rn = floor(pos) OR rn = ceil(pos) {grp}))"""
