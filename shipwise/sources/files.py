@@ -19,11 +19,18 @@ from ..tables import TABLE_NAMES, Tables
 
 
 def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Project ``df`` onto ``schema``: columns already of the target type pass
+    through untouched (so filters still reach the scan); text columns are
+    trimmed and converted with ``try_cast`` (bad values become NULL)."""
+    have = {f.name: f.dataType for f in df.schema.fields}
     cols = []
     for f in schema.fields:
         c = F.col(f.name)
-        if not isinstance(f.dataType, T.StringType):
-            c = F.trim(c).try_cast(f.dataType)
+        src = have.get(f.name)
+        if src is None:
+            c = F.lit(None).cast(f.dataType)
+        elif src != f.dataType:
+            c = (F.trim(c) if isinstance(src, T.StringType) else c).try_cast(f.dataType)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
