@@ -73,6 +73,7 @@ def table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "r14_over_promise_by_category": rp.over_promise_by_category,
     }
     out.update(mr.queries())
+    out.update(mr.boosted_queries())
     for name in ("customers", "orders", "order_items", "products", "category_translation",
                  "order_payments", "order_reviews", "sellers"):
         out[f"a11_preview_{name}"] = _preview(name)
