@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The source is a batch analysis with no streams, watermarks, windows over event
+time or stateful operators (SURVEY §2.14), so none are built here. Every
+operator in this package is a DataFrame-to-DataFrame function and therefore
+also works on a streaming DataFrame inside ``foreachBatch`` if a caller wants
+to refresh the analyses as order files arrive.
+"""
