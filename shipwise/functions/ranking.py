@@ -53,6 +53,20 @@ def rank_rows(df: DataFrame, order: Sequence[str | Column], rank_col: str = "_ra
             .drop("_pid", "_pos", "_off"))
 
 
+def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
+                  start: int = 1) -> DataFrame:
+    """Row number of each row inside its ``keys`` group in ``order`` (what
+    ``row_number() OVER (PARTITION BY keys ORDER BY order)`` gives), without a
+    per-group window: a global rank on ``keys + order`` minus the group's
+    first rank. A group holding a large share of the rows is spread over many
+    range partitions instead of one task. ``keys`` must not be NULL."""
+    r = rank_rows(df, [*keys, *order], rank_col="_grank")
+    first = r.groupBy(*keys).agg(F.min("_grank").alias("_g0"))
+    return (r.join(first, list(keys))
+            .withColumn(out, (F.col("_grank") - F.col("_g0") + F.lit(start)).cast("int"))
+            .drop("_grank", "_g0"))
+
+
 def percentile(df: DataFrame, value: str, q: float, keys: Sequence[str] = (),
                alias: str | None = None, method: str = "exact") -> DataFrame:
     """Per-group ``q``-percentile of ``value`` (NULL values ignored; a NULL

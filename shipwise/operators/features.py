@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,21 +117,27 @@ def label_encode(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = Non
     return df
 
 
-def build_features(t: Tables, fit_on: str = "all") -> DataFrame:
-    """M1-M7: feature rows with targets, calendar, shipping and encodings;
-    the 15 features NULL-filled with 0 as doubles.
+ENCODED = ("category", "customer_state", "seller_state")
+LABELLED = ("customer_state", "seller_state", "category")
 
-    ``fit_on='all'`` fits the encoders on every filtered row before the split,
-    as the source does (test-period rows leak into the counts);
-    ``fit_on='train'`` is applied by :func:`model_frame` after the split.
-    """
+
+def base_features(t: Tables) -> DataFrame:
+    """M1-M4: feature rows with targets, calendar and shipping columns."""
     x = with_shipping(with_calendar(with_targets(feature_rows(t))))
-    x = x.withColumn("actual_us", micros_between(DELIVERED, PURCHASE))
-    if fit_on == "all":
-        x = frequency_encode(x, ["category", "customer_state", "seller_state"])
-        x = label_encode(x, ["customer_state", "seller_state", "category"])
-        x = fill_features(x)
-    return x
+    return x.withColumn("actual_us", micros_between(DELIVERED, PURCHASE))
+
+
+def encode(df: DataFrame, fit: DataFrame | None = None) -> DataFrame:
+    """M5-M7: frequency and label encodings fitted on ``fit`` (default ``df``),
+    then every feature as a NULL-free double."""
+    x = frequency_encode(df, ENCODED, fit=fit)
+    x = label_encode(x, LABELLED, fit=fit)
+    return fill_features(x)
+
+
+def build_features(t: Tables) -> DataFrame:
+    """M1-M7 without a split, encoders fitted on every filtered row."""
+    return encode(base_features(t))
 
 
 def fill_features(df: DataFrame) -> DataFrame:
@@ -140,16 +147,21 @@ def fill_features(df: DataFrame) -> DataFrame:
 
 
 def model_frame(t: Tables, frac: float = 0.8, fit_on: str = "all") -> DataFrame:
-    """M1-M8: the feature frame with a chronological ``split`` column
-    (checkpointed; this is the frame every model reads)."""
-    x = build_features(t, fit_on=fit_on)
+    """M1-M8: the feature frame with a chronological ``split`` column.
+
+    The joined feature rows are persisted while the split ranks them (range
+    sampling and the shuffle read them once each), and the ranked frame is
+    checkpointed; encoders are then fitted on that frame: on every row
+    (``fit_on='all'``, the source's choice, which lets test-period rows into
+    the counts) or on the train rows only (``fit_on='train'``).
+    """
+    if fit_on not in ("all", "train"):
+        raise ValueError(fit_on)
+    x = base_features(t).persist(StorageLevel.MEMORY_AND_DISK)
     s = chrono_split(x, frac)
-    if fit_on == "train":
-        train = s.filter(F.col("split") == "train")
-        s = frequency_encode(s, ["category", "customer_state", "seller_state"], fit=train)
-        s = label_encode(s, ["customer_state", "seller_state", "category"], fit=train)
-        s = fill_features(s)
-    return s
+    x.unpersist()
+    fit = s if fit_on == "all" else s.filter(F.col("split") == "train")
+    return encode(s, fit=fit)
 
 
 def feature_table(t: Tables) -> DataFrame:

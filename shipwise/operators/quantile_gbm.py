@@ -61,18 +61,24 @@ class QuantileBoostedTrees:
                .withColumn("_f", F.lit(float(base))))
         cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
         trees, leaf_values, history = [], [], []
+        held = [cur]  # persisted frames still backing ``cur``
         for m in range(self.rounds):
             work = cur.withColumn("_g", F.when(F.col("_y") > F.col("_f"), a).otherwise(a - 1.0))
             dt = DecisionTreeRegressor(featuresCol="_features", labelCol="_g", predictionCol="_gp",
                                        leafCol="_leaf", maxDepth=self.max_depth, maxBins=self.max_bins,
                                        minInstancesPerNode=self.min_instances_per_node, seed=self.seed + m)
             tree = dt.fit(work)
-            leaves = tree.transform(work).select("_y", "_f", F.col("_leaf").cast("int").alias("_leaf"))
-            stats = (leaves.groupBy("_leaf")
+            # score the tree once: the leaf statistics and the next round both read this frame
+            leafed = (tree.transform(cur).select("_features", "_y", "_f", F.col("_leaf").cast("int").alias("_leaf"))
+                      .persist(StorageLevel.MEMORY_AND_DISK))
+            stats = (leafed.groupBy("_leaf")
                      .agg(F.percentile_approx(F.col("_y") - F.col("_f"), a, 10000).alias("_v"),
                           F.sum(pinball(F.col("_y"), F.col("_f"), a)).alias("_loss"),
                           F.count(F.lit(1)).alias("_n"))
                      .collect())  # one row per leaf: at most 2**max_depth rows
+            for h in held:
+                h.unpersist()
+            held = [leafed]
             n_leaves = max(r["_leaf"] for r in stats) + 1
             values = [0.0] * n_leaves
             for r in stats:
@@ -80,22 +86,20 @@ class QuantileBoostedTrees:
             history.append(sum(r["_loss"] for r in stats) / max(1, sum(r["_n"] for r in stats)))
             trees.append(tree)
             leaf_values.append(values)
-            step = F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_leaf").cast("int") + 1)
-            nxt = (tree.transform(cur)
-                   .withColumn("_f", F.col("_f") + F.lit(self.learning_rate) * step)
-                   .select("_features", "_y", "_f"))
+            step = F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_leaf") + 1)
+            cur = leafed.select("_features", "_y", (F.col("_f") + F.lit(self.learning_rate) * step).alias("_f"))
             if (m + 1) % self.checkpoint_every == 0:
-                nxt = nxt.checkpoint(eager=True)
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-            nxt.count()
-            cur.unpersist()
-            cur = nxt
+                cur = cur.checkpoint(eager=True)  # cut lineage (reliable, shared checkpoint dir)
+                for h in held:
+                    h.unpersist()
+                held = []
         shift = 0.0
         if self.calibrate:
             shift = percentile(cur.select((F.col("_y") - F.col("_f")).alias("_r")), "_r", a, alias="s").first()["s"]
         final_loss = cur.agg(F.avg(pinball(F.col("_y"), F.col("_f") + F.lit(shift), a)).alias("l")).first()["l"]
         history.append(final_loss)
-        cur.unpersist()
+        for h in held:
+            h.unpersist()
         return QuantileBoostedModel(float(base), self.learning_rate, trees, leaf_values, shift, history)
 
 

@@ -9,15 +9,17 @@ data arrives as the nine tables and is read with ``sources.files``.
 Scale notes: orders join customers (both fact-sized at scale) on the
 customer key and lineitem joins orders on the order key, so these are
 shuffle joins left to AQE. Nation (25 rows) is the only forced broadcast.
-The item number is a window partitioned by order key, which reuses the
-join's hash partitioning on the same key.
+The item number is a distributed rank (``functions.ranking.number_within``),
+not a window per order, so an order with a huge number of lines is spread
+over many tasks; it checkpoints the numbered lines once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranking import number_within
 from ..tables import Tables
 
 
@@ -108,13 +110,17 @@ def star_tables(spark: SparkSession, sf_dir: str) -> Tables:
     li = rd("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                                "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
                                "l_linestatus", "l_shipdate")
-    lo = li.join(o.select("o_orderkey", "o_orderdate"), li.l_orderkey == o.o_orderkey, "left")
-    w = Window.partitionBy("l_orderkey").orderBy(
+    lo = (li.join(o.select("o_orderkey", "o_orderdate"), li.l_orderkey == o.o_orderkey, "left")
+          .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", "o_orderdate"))
+    # item number = row number inside the order, computed by a distributed rank
+    # (no window per order: one order with a huge number of lines stays spread out)
+    numbered = number_within(lo, ["l_orderkey"], [
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
-        "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    order_items = lo.select(
+        "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus"], "_item")
+    order_items = numbered.select(
         F.col("l_orderkey").cast("string").alias("order_id"),
-        F.row_number().over(w).cast("int").alias("order_item_id"),
+        F.col("_item").alias("order_item_id"),
         F.col("l_partkey").cast("string").alias("product_id"),
         F.col("l_suppkey").cast("string").alias("seller_id"),
         _hours(F.col("o_orderdate"), F.lit(72)).alias("shipping_limit_date"),
