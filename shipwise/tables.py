@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLE_NAMES = (
@@ -12,25 +10,37 @@ TABLE_NAMES = (
 )
 
 
-@dataclass(frozen=True)
 class Tables:
-    """Lazy DataFrames of the nine tables (``geolocation`` may be None)."""
-
-    category_translation: DataFrame
-    customers: DataFrame
-    sellers: DataFrame
-    products: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
-    order_payments: DataFrame
-    order_reviews: DataFrame
-    geolocation: DataFrame | None = None
+    """DataFrames of the nine tables (``geolocation`` may be None).
+
+    A table may be given as a zero-argument function instead of a DataFrame;
+    it is then built on first access (for tables whose construction runs a
+    job, so operators that never read them do not pay for it).
+    """
+
+    def __init__(self, **frames):
+        unknown = set(frames) - set(TABLE_NAMES)
+        if unknown:
+            raise TypeError(f"unknown tables: {sorted(unknown)}")
+        missing = set(TABLE_NAMES) - set(frames) - {"geolocation"}
+        if missing:
+            raise TypeError(f"missing tables: {sorted(missing)}")
+        self._frames = {n: frames.get(n) for n in TABLE_NAMES}
+
+    def __getattr__(self, name: str):
+        frames = self.__dict__.get("_frames")
+        if frames is None or name not in frames:
+            raise AttributeError(name)
+        v = frames[name]
+        if v is not None and not isinstance(v, DataFrame) and callable(v):
+            v = frames[name] = v()
+        return v
 
     def items(self):
-        for f in fields(self):
-            df = getattr(self, f.name)
+        for name in TABLE_NAMES:
+            df = getattr(self, name)
             if df is not None:
-                yield f.name, df
+                yield name, df
 
     @property
     def spark(self) -> SparkSession:
