@@ -47,11 +47,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local tests) a scratch folder is made.
+    as is; if it is unset there, this fails rather than fall back to a
+    machine-local folder. Only a local master (tests, the bench) gets a
+    scratch folder of its own when the setting is missing.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
+    if not d and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (needed by reliable checkpoints)")
         d = tempfile.mkdtemp(prefix="shipwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", d)
@@ -59,4 +63,4 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             pass
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
-    return d
+    return sc.getCheckpointDir() or d
