@@ -58,3 +58,21 @@ def test_stored_tables_give_same_answers(spark, stored):
     live = star_tables(spark, SF_SMALL)
     for fn in (dl.delay_buckets, dl.slowest_lanes, ex.spend_by_state):
         assert spark_result(fn(live)) == spark_result(fn(stored))
+
+
+def test_bucketed_layout_removes_order_shuffles(spark, tmp_path):
+    from shipwise.sources.files import read_catalog_tables, write_catalog_tables
+    from shipwise.sources.star import star_tables
+    from shipwise.oracle.compare import spark_result
+    from shipwise.plans.inspect import shuffle_count
+    live = star_tables(spark, SF_SMALL)
+    write_catalog_tables(live, "shipwise_test_bk", str(tmp_path / "db"), 4)
+    tb = read_catalog_tables(spark, "shipwise_test_bk")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for fn in (dl.chronic_late_sellers, ex.pick_story_order):
+            assert shuffle_count(fn(tb)) < shuffle_count(fn(live))
+            assert spark_result(fn(tb)) == spark_result(fn(live))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
