@@ -208,13 +208,17 @@ def delay_by_customer_state(t: Tables, min_orders: int = 100) -> DataFrame:
 
 def slowest_lanes(t: Tables, min_orders: int = 50, k: int = 10) -> DataFrame:
     """Seller state -> customer state lanes with the largest mean delay."""
-    o = (nd_orders(t).select("order_id", "customer_id", "delay_us", "total_us")
-         .join(t.customers.select("customer_id", "customer_state"), "customer_id"))
-    x = o.join(t.order_items.select("order_id", "seller_id"), "order_id")
-    per_seller = x.groupBy("seller_id", "customer_state").agg(
+    # items join orders on the order id first (co-located when bucketed), then
+    # rows are reduced per (seller, customer) before the two state lookups
+    x = (nd_orders(t).select("order_id", "customer_id", "delay_us", "total_us")
+         .join(t.order_items.select("order_id", "seller_id"), "order_id"))
+    per_pair = x.groupBy("seller_id", "customer_id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum(F.col("delay_us").cast("decimal(38,0)")).alias("_d"),
         F.sum(F.col("total_us").cast("decimal(38,0)")).alias("_t"))
+    per_seller = (per_pair.join(t.customers.select("customer_id", "customer_state"), "customer_id")
+                  .groupBy("seller_id", "customer_state")
+                  .agg(F.sum("_n").alias("_n"), F.sum("_d").alias("_d"), F.sum("_t").alias("_t")))
     lanes = (per_seller.join(t.sellers.select("seller_id", "seller_state"), "seller_id")
              .groupBy(F.col("seller_state").alias("from_state"), F.col("customer_state").alias("to_state"))
              .agg(F.sum("_n").alias("orders"),

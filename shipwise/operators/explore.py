@@ -145,14 +145,16 @@ def order_story(t: Tables, order_id: str | None = None) -> DataFrame:
     cat = (t.products.select("product_id", "product_category_name")
            .join(t.category_translation, "product_category_name", "left")
            .select("product_id", F.col("product_category_name_english").alias("category")))
-    head = (o.select("order_id", "customer_id",
-                     F.col("order_purchase_timestamp").alias("ordered"),
-                     F.col(DELIVERED).alias("delivered"), F.col(ESTIMATED).alias("estimated"))
-            .join(t.customers.select("customer_id", "customer_city", "customer_state"), "customer_id"))
-    lines = items.select("order_id", "order_item_id", "product_id", "price", "freight_value").join(cat, "product_id")
-    return (head.join(lines, "order_id")
-            .join(pay, "order_id", "left")
-            .join(rev, "order_id", "left")
+    # order-keyed joins first (co-located when the tables are bucketed by
+    # order id), then the customer and product lookups
+    by_order = (o.select("order_id", "customer_id",
+                         F.col("order_purchase_timestamp").alias("ordered"),
+                         F.col(DELIVERED).alias("delivered"), F.col(ESTIMATED).alias("estimated"))
+                .join(items.select("order_id", "order_item_id", "product_id", "price", "freight_value"), "order_id")
+                .join(pay, "order_id", "left")
+                .join(rev, "order_id", "left"))
+    return (by_order.join(t.customers.select("customer_id", "customer_city", "customer_state"), "customer_id")
+            .join(cat, "product_id")
             .select("order_id", "order_item_id", "customer_city", "customer_state", "price",
                     "freight_value", "category", "payment_count", "payment_total", "first_payment_type",
                     "ordered", "delivered", "estimated", "review_score", "review_comment"))

@@ -42,15 +42,16 @@ def feature_rows(t: Tables) -> DataFrame:
     """
     o = (t.orders.filter((F.col("order_status") == "delivered") & F.col(DELIVERED).isNotNull()
                          & F.col(ESTIMATED).isNotNull())
-         .select("order_id", "customer_id", PURCHASE, ESTIMATED, DELIVERED)
-         .join(t.customers.select("customer_id", "customer_state"), "customer_id"))
+         .select("order_id", "customer_id", PURCHASE, ESTIMATED, DELIVERED))
     items = t.order_items.select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value")
     prod = (t.products.join(t.category_translation, "product_category_name", "left")
             .select("product_id",
                     F.coalesce("product_category_name_english", "product_category_name").alias("category"),
                     "product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm",
                     "product_photos_qty"))
+    # the order-keyed join first (co-located when bucketed), then the lookups
     return (o.join(items, "order_id")
+            .join(t.customers.select("customer_id", "customer_state"), "customer_id")
             .join(prod, "product_id")
             .join(t.sellers.select("seller_id", "seller_state"), "seller_id")
             .select("order_id", "order_item_id", PURCHASE, ESTIMATED, DELIVERED, "customer_state",

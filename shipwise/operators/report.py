@@ -185,17 +185,20 @@ def slow_sellers_vs_category(t: Tables, min_orders: int = 30, k: int = 10) -> Da
 
 
 # ---------------------------------------------------------------- R10-R11
-def _lane_rows(t: Tables) -> DataFrame:
-    """Item rows of ND orders with a carrier scan, with both states."""
-    o = (nd_orders(t, CARRIER).select("order_id", "customer_id", "transit_us", "late")
-         .join(t.customers.select("customer_id", "customer_state"), "customer_id"))
-    return o.join(t.order_items.select("order_id", "seller_id"), "order_id")
-
-
 def _lane_sums(t: Tables) -> DataFrame:
-    per_seller = _lane_rows(t).groupBy("seller_id", "customer_state").agg(
-        F.count(F.lit(1)).alias("_n"), _dsum("transit_us").alias("_t"),
-        count_when(F.col("late")).alias("_l"))
+    """Per (seller state, customer state): item rows of ND orders with a
+    carrier scan, summed transit microseconds and raw-late rows.
+
+    Items join orders on the order id first (co-located when bucketed), rows
+    are reduced per (seller, customer), and only then the two state lookups.
+    """
+    x = (nd_orders(t, CARRIER).select("order_id", "customer_id", "transit_us", "late")
+         .join(t.order_items.select("order_id", "seller_id"), "order_id"))
+    per_pair = x.groupBy("seller_id", "customer_id").agg(
+        F.count(F.lit(1)).alias("_n"), _dsum("transit_us").alias("_t"), count_when(F.col("late")).alias("_l"))
+    per_seller = (per_pair.join(t.customers.select("customer_id", "customer_state"), "customer_id")
+                  .groupBy("seller_id", "customer_state")
+                  .agg(F.sum("_n").alias("_n"), F.sum("_t").alias("_t"), F.sum("_l").alias("_l")))
     return (per_seller.join(t.sellers.select("seller_id", "seller_state"), "seller_id")
             .groupBy("seller_state", "customer_state")
             .agg(F.sum("_n").alias("_n"), F.sum("_t").alias("_t"), F.sum("_l").alias("_l")))
