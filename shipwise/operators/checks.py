@@ -46,7 +46,8 @@ def key_violations(t: Tables) -> DataFrame:
 
 
 def orphan_rows(t: Tables) -> DataFrame:
-    """Per foreign key, child rows whose non-NULL key has no parent row."""
+    """Per foreign key, child rows whose non-NULL key has no parent row,
+    with the smallest such key as a sample (NULL when there is none)."""
     parts = []
     for child, ccol, parent, pcol in FOREIGN_KEYS:
         c, p = getattr(t, child), getattr(t, parent)
@@ -54,8 +55,8 @@ def orphan_rows(t: Tables) -> DataFrame:
             continue
         orphans = (c.select(F.col(ccol).alias("_k")).filter(F.col("_k").isNotNull())
                    .join(p.select(F.col(pcol).alias("_k")), "_k", "left_anti"))
-        parts.append(orphans.agg(F.count(F.lit(1)).alias("orphans")).select(
-            F.lit(f"{child}.{ccol} -> {parent}.{pcol}").alias("relation"), "orphans"))
+        parts.append(orphans.agg(F.count(F.lit(1)).alias("orphans"), F.min("_k").alias("sample_key")).select(
+            F.lit(f"{child}.{ccol} -> {parent}.{pcol}").alias("relation"), "orphans", "sample_key"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -144,9 +144,9 @@ def test_key_violations_and_orphans(spark, hand):
     kv = {r["table_name"]: r for r in ck.key_violations(t).collect()}
     assert kv["products"]["duplicate_keys"] == 1 and kv["products"]["duplicate_rows"] == 2
     assert kv["orders"]["duplicate_keys"] == 0
-    orph = {r["relation"]: r["orphans"] for r in ck.orphan_rows(t).collect()}
-    assert orph["order_items.product_id -> products.product_id"] == 1
-    assert orph["orders.customer_id -> customers.customer_id"] == 0
+    orph = {r["relation"]: (r["orphans"], r["sample_key"]) for r in ck.orphan_rows(t).collect()}
+    assert orph["order_items.product_id -> products.product_id"] == (1, "p_missing")
+    assert orph["orders.customer_id -> customers.customer_id"] == (0, None)
 
 
 def test_csv_reader(spark, tmp_path):
