@@ -14,15 +14,19 @@ parts (Friedman's gradient boosting with leaf re-estimation):
    ``learning_rate`` times it to the prediction.
 
 Leaf values come back to the driver as one small array per tree (at most
-``2**depth`` numbers); prediction is one ``element_at`` per tree, so scoring
-never joins. The working frame is persisted and checkpointed every few rounds
+``2**depth`` numbers). During training each round reads leaf indices from the
+tree's own JVM transform; the fitted ensemble scores new rows in one
+vectorised ``mapInPandas`` pass over all trees (see ``QuantileBoostedModel``). The working frame is persisted and checkpointed every few rounds
 (reliable checkpoint in ``spark.checkpoint.dir``) to keep lineage short.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,27 +107,99 @@ class QuantileBoostedTrees:
         return QuantileBoostedModel(float(base), self.learning_rate, trees, leaf_values, shift, history)
 
 
+# ------------------------------------------------------------------ tree export
+_IF = re.compile(r"^If \(feature (\d+) <= (\S+)\)$")
+_ELSE = re.compile(r"^Else \(feature (\d+) > (\S+)\)$")
+_LEAF = re.compile(r"^Predict: (\S+)$")
+
+
+def tree_arrays(tree) -> tuple:
+    """Flatten a fitted MLlib regression tree into node arrays
+    ``(feature, threshold, left, right, leaf)`` from its text dump (one call to
+    the JVM per tree). Leaves are numbered depth-first, left before right,
+    which is how MLlib numbers its ``leafCol``; ``feature`` is -1 at leaves."""
+    lines = [ln.strip() for ln in tree._java_obj.toDebugString().splitlines()[1:] if ln.strip()]
+    feature, threshold, left, right, leaf = [], [], [], [], []
+    pos, n_leaves = 0, 0
+
+    def node() -> int:
+        nonlocal pos, n_leaves
+        me = len(feature)
+        feature.append(-1), threshold.append(0.0), left.append(-1), right.append(-1), leaf.append(-1)
+        line = lines[pos]
+        pos += 1
+        m = _LEAF.match(line)
+        if m:
+            leaf[me] = n_leaves
+            n_leaves += 1
+            return me
+        m = _IF.match(line)
+        if not m:
+            raise ValueError(f"unsupported split: {line}")
+        feature[me], threshold[me] = int(m.group(1)), float(m.group(2))
+        left[me] = node()
+        if not _ELSE.match(lines[pos]):
+            raise ValueError(f"malformed tree dump near: {lines[pos]}")
+        pos += 1
+        right[me] = node()
+        return me
+
+    node()
+    return (np.array(feature, dtype=np.int64), np.array(threshold, dtype=np.float64),
+            np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), np.array(leaf, dtype=np.int64))
+
+
+def leaf_indices(arrays: tuple, x: np.ndarray) -> np.ndarray:
+    """Leaf index of every row of ``x`` (rows x features), vectorised."""
+    feature, threshold, left, right, leaf = arrays
+    idx = np.zeros(len(x), dtype=np.int64)
+    rows = np.arange(len(x))
+    while True:
+        f = feature[idx]
+        inner = f >= 0
+        if not inner.any():
+            return leaf[idx]
+        go_left = x[rows, np.maximum(f, 0)] <= threshold[idx]
+        idx = np.where(inner, np.where(go_left, left[idx], right[idx]), idx)
+
+
 @dataclass
 class QuantileBoostedModel:
+    """Fitted ensemble: ``f0 + shift + learning_rate * sum(tree leaf values)``.
+
+    Scoring exports every tree once to node arrays and evaluates all trees in
+    a single ``mapInPandas`` pass over Arrow batches (vectorised NumPy). One
+    projection per tree would give a plan hundreds of levels deep for the
+    source's 500 rounds, which Catalyst cannot optimise."""
+
     f0: float
     learning_rate: float
     trees: list
     leaf_values: list
     shift: float = 0.0
     history: list = field(default_factory=list)
+    features: tuple = FEATURES
+
+    def __post_init__(self):
+        self._arrays = [tree_arrays(t) for t in self.trees]
 
     def transform(self, df: DataFrame, out: str) -> DataFrame:
-        from .models import assemble
-        x = assemble(df)
-        pred = F.lit(self.f0 + self.shift)
-        leaf_cols = []
-        for i, (tree, values) in enumerate(zip(self.trees, self.leaf_values)):
-            lc = f"_leaf{i}"
-            x = tree.copy().setLeafCol(lc).setPredictionCol(f"_tp{i}").transform(x).drop(f"_tp{i}")
-            pred = pred + F.lit(self.learning_rate) * F.element_at(
-                F.array(*[F.lit(v) for v in values]), F.col(lc).cast("int") + 1)
-            leaf_cols.append(lc)
-        return x.withColumn(out, pred).drop("_features", *leaf_cols)
+        from pyspark.sql import types as T
+        arrays = self._arrays
+        values = [np.asarray(v, dtype=np.float64) for v in self.leaf_values]
+        base, lr, cols = self.f0 + self.shift, self.learning_rate, list(self.features)
+
+        def score(batches):
+            for pdf in batches:
+                x = pdf[cols].to_numpy(dtype=np.float64)
+                pred = np.full(len(pdf), base, dtype=np.float64)
+                for a, v in zip(arrays, values):
+                    pred += lr * v[leaf_indices(a, x)]
+                pdf[out] = pred
+                yield pdf
+
+        schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType(), False)])
+        return df.mapInPandas(score, schema)
 
     def importances(self) -> list[float]:
         tot = [0.0] * len(FEATURES)

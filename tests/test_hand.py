@@ -236,3 +236,30 @@ def test_number_within_matches_row_number(spark):
         members = sorted((o, i) for gg, o, i in rows if gg == g)
         for pos, (_o, i) in enumerate(members, start=1):
             assert got[i] == pos
+
+
+def test_exported_trees_match_mllib_leaves(spark):
+    import numpy as np
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from shipwise.operators.quantile_gbm import leaf_indices, tree_arrays
+    rows = [((i * 37) % 101 / 7.0, (i * 11) % 13 * 1.0, float(i % 5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="f").transform(df).withColumn(
+        "y", F.col("a") * 2 + F.col("b") - F.col("c"))
+    tree = DecisionTreeRegressor(featuresCol="f", labelCol="y", maxDepth=6, leafCol="leaf").fit(df)
+    got = tree.transform(df).select("a", "b", "c", "leaf").collect()
+    x = np.array([[r["a"], r["b"], r["c"]] for r in got])
+    assert list(leaf_indices(tree_arrays(tree), x)) == [int(r["leaf"]) for r in got]
+
+
+def test_quantile_model_scores_hundreds_of_trees(spark):
+    from shipwise.operators.features import FEATURES
+    from shipwise.operators.quantile_gbm import QuantileBoostedModel, QuantileBoostedTrees
+    rows = [tuple(float((i * (k + 3)) % 17) for k in range(len(FEATURES))) + (float(i % 23),) for i in range(400)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in FEATURES) + ", actual_days double")
+    m = QuantileBoostedTrees(rounds=3, learning_rate=0.1, max_depth=3).fit(df)
+    assert all(b <= a + 1e-9 for a, b in zip(m.history, m.history[1:]))  # pinball loss never rises
+    big = QuantileBoostedModel(m.f0, m.learning_rate, m.trees * 170, m.leaf_values * 170)  # 510 trees
+    out = big.transform(df, "p").select("p").collect()
+    assert len(out) == 400 and all(r["p"] == r["p"] for r in out)
