@@ -47,6 +47,20 @@ class Tables:
         return self.orders.sparkSession
 
 
+def persisted(t: Tables, names=("orders", "order_items", "order_reviews"), level=None) -> Tables:
+    """A bundle whose ``names`` tables are persisted (default MEMORY_AND_DISK),
+    for running many analyses over the same tables; ``unpersist_all`` undoes it."""
+    from pyspark import StorageLevel
+    level = level or StorageLevel.MEMORY_AND_DISK
+    return Tables(**{n: (df.persist(level) if n in names else df) for n, df in t.items()})
+
+
+def unpersist_all(t: Tables) -> None:
+    for _, df in t.items():
+        if df.is_cached:
+            df.unpersist()
+
+
 def register_views(t: Tables, prefix: str = "") -> list[str]:
     """Register every table as a temp view (``prefix + name``); returns names."""
     names = []
