@@ -165,8 +165,8 @@ def model_frame(t: Tables, frac: float = 0.8, fit_on: str = "all") -> DataFrame:
     return encode(s, fit=fit)
 
 
-def feature_table(t: Tables) -> DataFrame:
+def feature_table(t: Tables, fit_on: str = "all") -> DataFrame:
     """The registered M-query: identifiers, route, targets, 15 features, split."""
-    m = model_frame(t)
+    m = model_frame(t, fit_on=fit_on)
     return m.select("order_id", "order_item_id", PURCHASE, "customer_state", "seller_state", "category",
                     "route", TARGET, PROMISE, *FEATURES, "split")

@@ -46,6 +46,7 @@ def queries() -> dict:
     return {
         "m1_feature_rows": feature_rows,
         "m7_feature_table": feature_table,
+        "m5_m6_feature_table_fit_on_train": lambda t: feature_table(t, fit_on="train"),
         "e9_split_report": lambda t: ev.split_report(model_frame(t)),
         "e10_filter_report": ev.filter_report,
         "r15_long_haul_share": lambda t: ev.long_haul_share(model_frame(t).filter(F.col("split") == "test")),
