@@ -13,10 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import MICROS_PER_DAY, bucket, count_when, pct, rnd
 from ..tables import Tables
-from .delivery import (
-    CARRIER, DELAY_LABELS, DELIVERED, ESTIMATED, delivered_and_promised, nd_orders, order_facts,
-    review_totals,
-)
+from .delivery import CARRIER, DELAY_LABELS, DELIVERED, nd_orders, order_facts, review_totals
 
 
 def _ratio(num: Column, den: Column) -> Column:
