@@ -263,3 +263,25 @@ def test_quantile_model_scores_hundreds_of_trees(spark):
     big = QuantileBoostedModel(m.f0, m.learning_rate, m.trees * 170, m.leaf_values * 170)  # 510 trees
     out = big.transform(df, "p").select("p").collect()
     assert len(out) == 400 and all(r["p"] == r["p"] for r in out)
+
+
+def test_sqlite_dialect_sql_runs_on_views(spark, hand):
+    from shipwise.functions.sql_functions import register_sql_functions
+    from shipwise.tables import register_views
+    register_sql_functions(spark)
+    register_views(hand, prefix="sq_")
+    # a SQLite-style query: julianday differences, ROUND, GROUP BY / ORDER BY on the alias
+    got = spark.sql("""
+        SELECT ROUND(julianday(order_delivered_customer_date) - julianday(order_estimated_delivery_date)) AS delay_days,
+               COUNT(*) AS cnt
+        FROM sq_orders
+        WHERE order_delivered_customer_date IS NOT NULL AND order_estimated_delivery_date IS NOT NULL
+        GROUP BY delay_days ORDER BY delay_days""").collect()
+    ref = dl.delay_histogram(hand).collect()
+    assert [(int(r["delay_days"]), r["cnt"]) for r in got] == [(r["delay_days"], r["cnt"]) for r in ref]
+    exact = spark.sql("SELECT days_between(TIMESTAMP_NTZ'2018-05-21 12:00:00', "
+                      "TIMESTAMP_NTZ'2018-05-20 00:00:00') AS d").first()["d"]
+    assert exact == 1.5
+    plan = spark.sql("SELECT julianday(order_purchase_timestamp) FROM sq_orders")._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "UDF" not in plan and "Python" not in plan
