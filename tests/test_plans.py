@@ -76,3 +76,21 @@ def test_bucketed_layout_removes_order_shuffles(spark, tmp_path):
             assert spark_result(fn(tb)) == spark_result(fn(live))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_hot_order_falls_back_to_plain_layout(spark, tmp_path):
+    from shipwise.sources.files import bucket_skew, write_catalog_tables
+    from shipwise.sources.star import star_tables
+    from shipwise.tables import Tables
+    from pyspark.sql import functions as F
+    live = star_tables(spark, SF_SMALL)
+    # one order holding a third of all item rows
+    items = live.order_items
+    n = items.count()
+    hot = items.limit(n // 2).withColumn("order_id", F.lit("hot-order"))
+    t = Tables(**{**dict(live.items()), "order_items": items.unionByName(hot)})
+    assert bucket_skew(t.order_items, "order_id", 16) > 4.0
+    choice = write_catalog_tables(t, "shipwise_test_hot", str(tmp_path / "db"), 16)
+    assert choice["bucketed"] is False
+    ok = write_catalog_tables(live, "shipwise_test_even", str(tmp_path / "db2"), 16)
+    assert ok["bucketed"] is True
