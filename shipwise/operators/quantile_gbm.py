@@ -149,18 +149,25 @@ def tree_arrays(tree) -> tuple:
             np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), np.array(leaf, dtype=np.int64))
 
 
-def leaf_indices(arrays: tuple, x: np.ndarray) -> np.ndarray:
-    """Leaf index of every row of ``x`` (rows x features), vectorised."""
-    feature, threshold, left, right, leaf = arrays
-    idx = np.zeros(len(x), dtype=np.int64)
-    rows = np.arange(len(x))
-    while True:
-        f = feature[idx]
-        inner = f >= 0
-        if not inner.any():
-            return leaf[idx]
-        go_left = x[rows, np.maximum(f, 0)] <= threshold[idx]
-        idx = np.where(inner, np.where(go_left, left[idx], right[idx]), idx)
+def _make_leaf_indices():
+    # Built inside a function so that Spark's pickler ships it to the Python
+    # workers by value (it needs only NumPy there, not this package).
+    def leaf_indices(arrays: tuple, x: np.ndarray) -> np.ndarray:
+        """Leaf index of every row of ``x`` (rows x features), vectorised."""
+        feature, threshold, left, right, leaf = arrays
+        idx = np.zeros(len(x), dtype=np.int64)
+        rows = np.arange(len(x))
+        while True:
+            f = feature[idx]
+            inner = f >= 0
+            if not inner.any():
+                return leaf[idx]
+            go_left = x[rows, np.maximum(f, 0)] <= threshold[idx]
+            idx = np.where(inner, np.where(go_left, left[idx], right[idx]), idx)
+    return leaf_indices
+
+
+leaf_indices = _make_leaf_indices()
 
 
 @dataclass
@@ -183,23 +190,29 @@ class QuantileBoostedModel:
     def __post_init__(self):
         self._arrays = [tree_arrays(t) for t in self.trees]
 
-    def transform(self, df: DataFrame, out: str) -> DataFrame:
-        from pyspark.sql import types as T
+    def scorer(self, out: str):
+        """The per-partition scoring function (self-contained: it carries the
+        node arrays and needs only NumPy and pandas on the workers)."""
         arrays = self._arrays
         values = [np.asarray(v, dtype=np.float64) for v in self.leaf_values]
         base, lr, cols = self.f0 + self.shift, self.learning_rate, list(self.features)
+        leaves = leaf_indices  # shipped by value with the closure below
 
         def score(batches):
+            import numpy
             for pdf in batches:
-                x = pdf[cols].to_numpy(dtype=np.float64)
-                pred = np.full(len(pdf), base, dtype=np.float64)
+                x = pdf[cols].to_numpy(dtype=numpy.float64)
+                pred = numpy.full(len(pdf), base, dtype=numpy.float64)
                 for a, v in zip(arrays, values):
-                    pred += lr * v[leaf_indices(a, x)]
+                    pred += lr * v[leaves(a, x)]
                 pdf[out] = pred
                 yield pdf
+        return score
 
+    def transform(self, df: DataFrame, out: str) -> DataFrame:
+        from pyspark.sql import types as T
         schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType(), False)])
-        return df.mapInPandas(score, schema)
+        return df.mapInPandas(self.scorer(out), schema)
 
     def importances(self) -> list[float]:
         tot = [0.0] * len(FEATURES)

@@ -301,3 +301,27 @@ def test_csv_round_trip_of_all_tables(spark, hand, tmp_path):
         assert ca == cb and sorted(ra, key=repr) == sorted(rb, key=repr)
     rv = {r["review_id"]: r["review_comment_message"] for r in t.order_reviews.collect()}
     assert rv["r_h3b"] == 'said "hi"\nthen left'
+
+
+def test_scoring_closure_runs_without_the_package(spark, tmp_path):
+    """Python workers may not have this package: the shipped scorer must not import it."""
+    import subprocess
+    import sys
+    from pyspark import cloudpickle
+    from shipwise.operators.features import FEATURES
+    from shipwise.operators.quantile_gbm import QuantileBoostedTrees
+    rows = [tuple(float((i * (k + 3)) % 17) for k in range(len(FEATURES))) + (float(i % 23),) for i in range(300)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in FEATURES) + ", actual_days double")
+    m = QuantileBoostedTrees(rounds=2, learning_rate=0.1, max_depth=3).fit(df)
+    blob = tmp_path / "scorer.pkl"
+    blob.write_bytes(cloudpickle.dumps(m.scorer("p")))
+    code = ("import pickle, sys, pandas as pd\n"
+            "assert not any('repo' in p for p in sys.path)\n"
+            f"f = pickle.load(open({str(blob)!r}, 'rb'))\n"
+            f"pdf = pd.DataFrame({{c: [1.0, 2.0] for c in {list(FEATURES)!r}}})\n"
+            "out = list(f(iter([pdf])))[0]\n"
+            "print(len(out['p']))\n")
+    res = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True,
+                         env={"PATH": "/usr/bin:/bin"})
+    assert res.returncode == 0, res.stderr[-2000:]
+    assert res.stdout.strip() == "2"
