@@ -61,8 +61,10 @@ class QuantileBoostedTrees:
         ensure_checkpoint_dir(spark)
         a = self.alpha
         base = percentile(train, self.label, a, alias="f0").first()["f0"]
+        # the narrow training matrix is checkpointed once, so no round carries
+        # the feature frame's lineage (joins, encoders) in its plan
         cur = (assemble(train).select("_features", F.col(self.label).cast("double").alias("_y"))
-               .withColumn("_f", F.lit(float(base))))
+               .withColumn("_f", F.lit(float(base)))).checkpoint(eager=True)
         cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
         trees, leaf_values, history = [], [], []
         held = [cur]  # persisted frames still backing ``cur``
