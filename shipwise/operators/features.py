@@ -162,7 +162,8 @@ def model_frame(t: Tables, frac: float = 0.8, fit_on: str = "all") -> DataFrame:
     s = chrono_split(x, frac)
     x.unpersist()
     fit = s if fit_on == "all" else s.filter(F.col("split") == "train")
-    return encode(s, fit=fit)
+    # every model and report reads this frame many times: materialise it once
+    return encode(s, fit=fit).checkpoint(eager=True)
 
 
 def feature_table(t: Tables, fit_on: str = "all") -> DataFrame:
