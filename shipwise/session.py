@@ -24,6 +24,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # remove reliable checkpoint files once their DataFrame is no longer referenced
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # iterative training runs thousands of short queries: keep fewer of their records on the driver
+    "spark.sql.ui.retainedExecutions": "200",
 }
 
 
