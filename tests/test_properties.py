@@ -116,3 +116,18 @@ def test_persisted_tables_same_answers(star):
         assert spark_result(dl.delay_buckets(c)) == spark_result(dl.delay_buckets(star))
     finally:
         unpersist_all(c)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(-5, 5)), min_size=1, max_size=60))
+def test_number_within_is_a_per_group_ordering(spark, rows):
+    from collections import defaultdict
+    from shipwise.functions.ranking import number_within
+    df = spark.createDataFrame(rows, "g int, v int")
+    got = defaultdict(list)
+    for r in number_within(df, ["g"], ["v"], "n").collect():
+        got[r["g"]].append((r["n"], r["v"]))
+    for g, pairs in got.items():
+        pairs.sort()
+        assert [n for n, _ in pairs] == list(range(1, len(pairs) + 1))
+        assert [v for _, v in pairs] == sorted(v for gg, v in rows if gg == g)
