@@ -1,4 +1,10 @@
-"""A corpus preparation pipeline over ``documents``, as stages that are each written and reread."""
+"""A corpus preparation pipeline over ``documents``, as stages that are each written and reread.
+
+Every stage takes and, but for the last, returns the columns of its input,
+whatever further columns that has, works on all rows and puts its decisions
+into effect. The stages handle null columns, empty texts, repeated rows and
+empty tables as their operators define.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +12,63 @@ from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shipwise.llm import langid, sentencepiece_codec
 from shipwise.llm.minhash import near_duplicates
+from shipwise.llm.mixing import mixed_copies
+from shipwise.llm.queries import piece_model
+from shipwise.llm.substring import dedup_substrings
 from shipwise.session import ensure_checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _row(docs: DataFrame):
+    return F.struct(*(docs[c] for c in docs.columns)).alias("__row")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: null texts and texts without a letter."""
+    found = langid.identify(docs.select("text", _row(docs)), langid.fit(docs), ("__row",))
+    return found.where(F.col("lang_pred") != "und").select("__row.*")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: the one with the smallest doc_id."""
+    """One document of each class of near duplicates stays, the one of smallest doc_id; of rows that repeat a doc_id, the smallest. Rows without a doc_id stay."""
     ensure_checkpoint_dir(spark)
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = docs.select("doc_id", _row(docs))
+    one = rows.where("doc_id is not null").join(gone, "doc_id", "left_anti").groupBy("doc_id").agg(F.min("__row").alias("__row"))
+    return one.unionByName(rows.where("doc_id is null")).select("__row.*")
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go, and with them documents that hold nothing else; n_chars follows the text."""
+    rest = [c for c in docs.columns if c != "text"]
+    kept = dedup_substrings(docs.select("doc_id", "text", F.struct(*(docs[c] for c in rest)).alias("__row")), ("__row",))
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return kept.where("n_words = 0 or n_removed < n_words").select(*((own[c] if c in own else F.col("__row")[c]).alias(c) for c in docs.columns))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as it is taken."""
+    return mixed_copies(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang and source of every row with its ids and the checks of encoding and decoding."""
+    return sentencepiece_codec.encode(docs, piece_model(), ("doc_id", "lang", "source"))
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("source_mixing", source_mixing),
+    ("sentencepiece", sentencepiece),
+]
+#: Suffix automata, weighted sampling and piece ids are beyond SQL: tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .text import column_bytes, row_slices
+from .text import column_bytes, row_slices, schema_of
 
 SAMPLE_DOCS = 200
 SAMPLE_DOC_CHARS = 16_384
@@ -201,5 +201,5 @@ def _predict(parser, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def identify(docs: DataFrame, parser: Parser, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns of every row with lang_pred and score."""
     flat = docs.select(F.col("text").cast("string").alias("__text"), *carry)
-    schema = flat.select(*carry).schema.add("lang_pred", "string").add("score", "double")
+    schema = schema_of(flat.select(*carry), "lang_pred string, score double")
     return flat.mapInArrow(partial(_predict, docs.sparkSession.sparkContext.broadcast(parser)), schema)

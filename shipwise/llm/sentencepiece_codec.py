@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .segments import FIRST, TEXT, SegmentTable, spaced_segments, worker_cache
-from .text import column_bytes, row_slices
+from .text import column_bytes, row_slices, schema_of
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the format
@@ -224,7 +224,7 @@ def _encode(data: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def encode(docs: DataFrame, model: bytes, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns of every row with ids, n_ids, parity and round_trip. model: the bytes of a model file."""
     flat = docs.select(F.col("text").cast("string").alias("__text"), *carry)
-    schema = flat.select(*carry).schema.add("ids", "array<int>").add("n_ids", "long").add("parity", "boolean").add("round_trip", "boolean")
+    schema = schema_of(flat.select(*carry), "ids array<int>, n_ids long, parity boolean, round_trip boolean")
     return flat.mapInArrow(partial(_encode, model), schema)
 
 
@@ -242,4 +242,4 @@ def _decode(data: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def decode(encoded: DataFrame, model: bytes, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns of every row with the text of its ids."""
     flat = encoded.select(F.col("ids").alias("__ids"), *carry)
-    return flat.mapInArrow(partial(_decode, model), flat.select(*carry).schema.add("text", "string"))
+    return flat.mapInArrow(partial(_decode, model), schema_of(flat.select(*carry), "text string"))

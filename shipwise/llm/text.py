@@ -140,3 +140,9 @@ def inside(counts: np.ndarray, n: int, size: int) -> np.ndarray:
     for end in np.cumsum(counts):
         mask[max(0, end - n + 1) : end] = False
     return mask
+
+
+def schema_of(carried, more: str):
+    """The schema of a DataFrame's columns followed by those of a DDL string."""
+    from pyspark.sql import types as T
+    return T.StructType([*carried.schema.fields, *T.StructType.fromDDL(more).fields])
