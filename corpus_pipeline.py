@@ -35,11 +35,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one of smallest doc_id; of rows that repeat a doc_id, the smallest. Rows without a doc_id stay."""
+    """One document of each class of near duplicates stays, the one of smallest doc_id; of rows that repeat a doc_id, one of smallest text. Rows without a doc_id stay."""
     ensure_checkpoint_dir(spark)
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     rows = docs.select("doc_id", _row(docs))
-    one = rows.where("doc_id is not null").join(gone, "doc_id", "left_anti").groupBy("doc_id").agg(F.min("__row").alias("__row"))
+    one = rows.where("doc_id is not null").join(gone, "doc_id", "left_anti").groupBy("doc_id").agg(F.min_by("__row", F.coalesce(F.col("__row.text").cast("string"), F.lit(""))).alias("__row"))
     return one.unionByName(rows.where("doc_id is null")).select("__row.*")
 
 
