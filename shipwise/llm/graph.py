@@ -26,9 +26,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", "m"))
                  .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().checkpoint())
-        parents = small.groupBy("u").agg(F.count("*").alias("n"))
-        forest = parents.where("n > 1").limit(1).count() == 0
-        flat = forest and small.alias("x").join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count() == 0
+        ends = small.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(small.select("v", F.lit(0), F.lit(1)))
+        flat = ends.groupBy("id").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
         edges = small
         if flat:
             roots = edges.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))

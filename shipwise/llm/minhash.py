@@ -21,10 +21,14 @@
    is one row from there on. In every bucket the smallest document is compared
    with all others. Buckets whose members are then not all connected have the
    remaining pairs compared as signatures, in blocks of at most BLOCK members
-   a side; only likely pairs leave a block. A pair already connected through
-   others needs no comparison, as classes are what is returned.
+   a side, in rounds: first each member's likeliest partners of a block, at
+   last all likely ones (LIKELY). A pair already connected through others needs
+   no comparison, as classes are what is returned.
 5. Every candidate pair is verified on the full weight vectors: it links if
-   sum(min) / sum(max) >= THRESHOLD. Classes are the connected components.
+   sum(min) / sum(max) >= THRESHOLD. Classes are the connected components. The
+   vectors of documents in shared buckets are made once and stored; they hold
+   32 bits of each shingle's hash (for two texts of n shingles, one false match
+   in n * n / 2**32 cases, which moves the similarity by about 1 / n).
 
 Defined cases: null and empty texts, and texts of separators only, link with
 nothing; rows with a null doc_id get a null class and are kept; rows that
@@ -43,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .text import U, WordHasher, inside, mix, ngrams, random_odd, word_slices
+from .text import U, WordHasher, expanded, inside, mix, ngrams, random_odd, shrink, word_slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -52,7 +56,8 @@ SAMPLES = BANDS * ROWS
 IDF_FLOOR = 0.001
 IDF_STEP = 0.5
 BLOCK = 256
-LIKELY = 0.55  # share of equal samples below which a similarity of 0.8 has odds under 1e-8
+LIKELY = 0.64  # share of equal samples that a similarity of 0.8 falls short of with odds of about 1e-5
+ROUNDS = (8, BLOCK)
 _TABLE_BITS = 15
 _COMPACT = 1 << 21
 
@@ -215,63 +220,73 @@ def signer(idf) -> object:
 
 
 def vectors(idf) -> object:
-    """mapInArrow function: (doc_id, shingles, weights) as sorted packed arrays."""
+    """mapInArrow function over compressed texts: (doc_id, shingles, weights), packed and sorted; weights in as few bytes as they need."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            ids = batch.column(0)
-            for i, j, words, counts in word_slices(batch.column(1), hasher):
+            texts, ids = expanded(batch.column(0)), batch.column(1)
+            for i, j, words, counts in word_slices(texts, hasher):
                 text, h, tf, step = weighted_shingles(words, counts, idf.value)
+                h, w = (h >> U(32)).astype(np.uint32), (tf * step).astype(np.uint32)
                 cut = np.searchsorted(text, np.arange(j - i + 1))
-                w = (tf * step).astype(np.float32)
+                widths = [np.uint8 if a == b or w[a:b].max() < 256 else np.uint32 for a, b in zip(cut, cut[1:])]
+                order = np.lexsort((h, text))
+                h, w = h[order], w[order]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, j - i), pa.array([h[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
-                     pa.array([w[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["doc_id", "shingles", "weights"])
+                     pa.array([w[a:b].astype(t).tobytes() for a, b, t in zip(cut, cut[1:], widths)], pa.binary())], ["doc_id", "shingles", "weights"])
     return run
 
 
+def unpacked(shingles: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    h = np.frombuffer(shingles, np.uint32)
+    return h, np.frombuffer(weights, np.uint8 if len(weights) == len(h) else np.uint32).astype(np.float64)
+
+
 def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -> float:
     """sum(min) / sum(max) of two sparse vectors with sorted keys."""
     if not len(h1) or not len(h2):
         return 0.0
     at = np.searchsorted(h1, h2).clip(0, len(h1) - 1)
     both = h1[at] == h2
-    shared = float(np.minimum(w1[at[both]], w2[both]).sum(dtype=np.float64))
-    return shared / (float(w1.sum(dtype=np.float64)) + float(w2.sum(dtype=np.float64)) - shared)
+    shared = float(np.minimum(w1[at[both]], w2[both]).sum())
+    return shared / (float(w1.sum()) + float(w2.sum()) - shared)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, *packed = (batch.column(k) for k in range(6))
-        keep = [k for k in range(len(a)) if weighted_jaccard(*(np.frombuffer(packed[c][k].as_buffer(), t) for c, t in enumerate((U, np.float32, U, np.float32)))) >= THRESHOLD]
+        a, b, h1, w1, h2, w2 = (batch.column(k) for k in range(6))
+        keep = [k for k in range(len(a)) if weighted_jaccard(*unpacked(h1[k].as_buffer(), w1[k].as_buffer()), *unpacked(h2[k].as_buffer(), w2[k].as_buffer())) >= THRESHOLD]
         yield pa.RecordBatch.from_arrays([x.take(pa.array(keep, pa.int64())) for x in (a, b)], ["a", "b"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf) -> DataFrame:
-    """The distinct pairs (a, b) whose weighted Jaccard similarity is at least THRESHOLD; only texts of pairs are read again."""
-    pairs = pairs.select("a", "b").distinct()
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    vec = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(vectors(idf), "doc_id long, shingles binary, weights binary")
-    one = pairs.join(vec.toDF("b", "h2", "w2"), "b")
-    return (one.join(vec.toDF("a", "h1", "w1"), "a").select("a", "b", "h1", "w1", "h2", "w2")
+def verified(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) whose weighted Jaccard similarity is at least THRESHOLD."""
+    one = pairs.select("a", "b").distinct().join(vecs.toDF("b", "h2", "w2"), "b")
+    return (one.join(vecs.toDF("a", "h1", "w1"), "a").select("a", "b", "h1", "w1", "h2", "w2")
             .mapInArrow(_verify, "a long, b long").distinct())
 
 
-def _likely(part: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components in one pair of blocks whose signatures agree enough."""
-    s = np.stack([np.frombuffer(x, np.uint32) for x in part["samples"]])
-    ids, comp, side = part["rep"].to_numpy(), part["component"].to_numpy(), part["side"].to_numpy()
-    i, j = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(part)),) * 2
-    a, b = [], []
-    for x in i:
-        hit = j[((s[j] == s[x]).sum(axis=1) >= LIKELY * SAMPLES) & (comp[j] != comp[x])]
-        a += [min(ids[x], ids[y]) for y in hit]
-        b += [max(ids[x], ids[y]) for y in hit]
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)}).drop_duplicates()
+def _likely(low: int, high: int):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        """In one pair of blocks, each member's partners at the places low to high by equal samples, if likely and not connected yet."""
+        s = np.stack([np.frombuffer(x, np.uint32) for x in part["samples"]])
+        ids, comp, side = part["rep"].to_numpy(), part["component"].to_numpy(), part["side"].to_numpy()
+        i, j = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(part)),) * 2
+        a, b = [], []
+        for x, others in [(x, j) for x in i] + ([] if i is j else [(x, i) for x in j]):
+            n = (s[others] == s[x]).sum(axis=1)
+            order = np.argsort(-n, kind="stable")
+            order = order[(n[order] >= LIKELY * SAMPLES) & (others[order] != x)][low:high]
+            hit = others[order[comp[others[order]] != comp[x]]]
+            a += [min(ids[x], ids[y]) for y in hit]
+            b += [max(ids[x], ids[y]) for y in hit]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)}).drop_duplicates()
+    return run
 
 
-def remaining_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of one bucket that are not yet connected.
+def remaining_pairs(members: DataFrame, labels: DataFrame, samples: DataFrame, low: int, high: int) -> DataFrame:
+    """Likely pairs (a, b) of one bucket that are not yet connected, at the given places in each other's order.
 
     members: (value, rep) of buckets with several texts. A bucket is cut into
     blocks of at most about BLOCK members by hash, and each pair of blocks is
@@ -279,32 +294,39 @@ def remaining_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame) -> D
     """
     m = members.join(labels.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     size = (m.groupBy("value").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-            .where("lo < hi and n > 2").select("value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+            .where("lo < hi and n > 2").select("value", F.ceil(F.col("n") * 2 / BLOCK).cast("int").alias("blocks")))
     m = (m.join(size, "value").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
          .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
          .select("value", "rep", "component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
                  (F.col("block") > F.col("other")).cast("int").alias("side")))
-    return (m.join(reps.select("rep", "samples"), "rep").groupBy("value", "lo", "hi")
-            .applyInPandas(_likely, "a long, b long").distinct())
+    return (m.join(samples, "rep").groupBy("value", "lo", "hi")
+            .applyInPandas(_likely(low, high), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, kept) of every row: class_id is the smallest doc_id of its class, kept marks that document."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     idf = spark.sparkContext.broadcast(fit_idf(docs, docs.count()))
-    signed = docs.mapInArrow(signer(idf), "doc_id long, words long, d1 long, d2 long, samples binary, bands array<long>").checkpoint()
+    signed = docs.select("doc_id", "text").mapInArrow(signer(idf), "doc_id long, words long, d1 long, d2 long, samples binary, bands array<long>").checkpoint()
     some = signed.where("words > 0 and doc_id is not null")
-    reps = some.groupBy("d1", "d2").agg(F.min_by(F.struct("samples", "bands"), "doc_id").alias("s"), F.min("doc_id").alias("rep"))
-    reps = reps.select("d1", "d2", "rep", "s.samples", "s.bands")
+    reps = some.groupBy("d1", "d2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))
     banded = reps.select("rep", F.explode("bands").alias("value")).distinct()
     buckets = banded.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = banded.join(buckets, "value").select("value", "hub", "rep").checkpoint()
-    stars = members.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    same_id = some.join(reps, ["d1", "d2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = verified(stars, docs, idf).checkpoint()
-    rest = remaining_pairs(members.select("value", "rep"), components(links), reps).checkpoint()
-    labels = components(links.union(verified(rest, docs, idf)).union(same_id))
+    ids = members.select(F.col("rep").alias("doc_id")).distinct()
+    vecs = (docs.mapInArrow(shrink, "z binary, doc_id long").join(ids, "doc_id", "left_semi").select("z", "doc_id")
+            .mapInArrow(vectors(idf), "doc_id long, shingles binary, weights binary").checkpoint())
+    samples = some.select(F.col("doc_id").alias("rep"), "samples")
+    links = verified(members.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")), vecs).checkpoint()
+    low = 0
+    for high in ROUNDS:
+        rest = remaining_pairs(members.select("value", "rep"), components(links), samples, low, high).checkpoint()
+        low = high
+        if not rest.isEmpty():
+            links = links.union(verified(rest, vecs)).distinct().checkpoint()
+    same_text = some.join(reps.select("d1", "d2", "rep"), ["d1", "d2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    labels = components(links.union(same_text))
     return (signed.select("doc_id").join(labels.toDF("doc_id", "class_id"), "doc_id", "left")
             .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))))

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import U, WordHasher, column_bytes, inside, ngrams, row_slices, spans
+from .text import U, WordHasher, column_bytes, inside, ngrams, shrink, spans
 
 WINDOW = 20
 BLOCK = WINDOW // 2
@@ -88,21 +88,10 @@ def _positions(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _shrink(docs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text column, compressed; the other columns as they are."""
-    import zstandard
-    press = zstandard.ZstdCompressor(level=1).compress
-    for batch in docs:
-        buf, bounds = column_bytes(batch.column(0))
-        for i, j in row_slices(bounds, 1 << 22):
-            z = [press(buf[a:b]) if b > a else None for a, b in zip(bounds[i:j], bounds[i + 1 : j + 1])]
-            yield pa.RecordBatch.from_arrays([pa.array(z, pa.binary()), *(c.slice(i, j - i) for c in batch.columns[1:])], ["__z", *batch.schema.names[1:]])
-
-
 def _anchors_out(n: int):
     def run(table: pa.Table) -> pa.Table:
         hasher, held = WordHasher(), []
-        for _, _, buf, starts, ends, counts in _texts(table.column("__z")):
+        for _, _, buf, starts, ends, counts in _texts(table.column("z")):
             h = ngrams(hasher.hash(buf, starts, ends), BLOCK, 11)
             ok = inside(counts, BLOCK, len(h))
             aligned = _positions(counts)[: len(h)] % BLOCK == 0
@@ -182,7 +171,7 @@ def _candidates(n: int):
             return _rows([], [], [])
         known = np.unique(np.concatenate([_unpack(x) for x in anchors.column("__data").to_pylist()]))
         hasher, held, size, ids = WordHasher(), [], 0, docs.column("__doc").to_numpy()
-        for i, j, buf, starts, ends, counts in _texts(docs.column("__z")):
+        for i, j, buf, starts, ends, counts in _texts(docs.column("z")):
             words = hasher.hash(buf, starts, ends)
             if len(words) < WINDOW:
                 continue
@@ -229,7 +218,7 @@ def _remove(carry: Sequence[str]):
         known = known[np.argsort(known["h"])]
         hasher, ids = WordHasher(), docs.column("__doc").to_numpy()
         text, n_words, n_removed = [], [], []
-        for i, j, buf, starts, ends, counts in _texts(docs.column("__z")):
+        for i, j, buf, starts, ends, counts in _texts(docs.column("z")):
             gone = np.zeros(len(starts), bool)
             if len(known) and len(starts) >= WINDOW:
                 a, b = _window_hashes(hasher.hash(buf, starts, ends))
@@ -261,8 +250,8 @@ def dedup_substrings(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> Dat
     names = [f"__c{k}" for k in range(len(carry))]
     flat = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("__doc"),
                        *(F.col(c).alias(x) for c, x in zip(carry, names)))
-    schema = T.StructType([T.StructField("__z", T.BinaryType()), *flat.schema.fields[1:]])
-    parts = (flat.mapInArrow(_shrink, schema).withColumn("__chunk", F.pmod(F.xxhash64("__doc"), F.lit(n)).cast("long")))
+    schema = T.StructType([T.StructField("z", T.BinaryType()), *flat.schema.fields[1:]])
+    parts = (flat.mapInArrow(shrink, schema).withColumn("__chunk", F.pmod(F.xxhash64("__doc"), F.lit(n)).cast("long")))
     rows = "__to long, __from long, __data binary"
     anchors = (parts.groupBy("__chunk").applyInArrow(_anchors_out(n), rows)
                .groupBy("__to").applyInArrow(_anchors_meet, rows))

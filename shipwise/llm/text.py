@@ -142,6 +142,24 @@ def inside(counts: np.ndarray, n: int, size: int) -> np.ndarray:
     return mask
 
 
+def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: the first column, a text, compressed (null if empty); the other columns as they are."""
+    import zstandard
+    press = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        buf, bounds = column_bytes(batch.column(0))
+        for i, j in row_slices(bounds, 1 << 22):
+            z = [press(buf[a:b]) if b > a else None for a, b in zip(bounds[i:j], bounds[i + 1 : j + 1])]
+            yield pa.RecordBatch.from_arrays([pa.array(z, pa.binary()), *(c.slice(i, j - i) for c in batch.columns[1:])], ["z", *batch.schema.names[1:]])
+
+
+def expanded(column: pa.Array) -> pa.Array:
+    """The texts of ``shrink``, as bytes."""
+    import zstandard
+    unzip = zstandard.ZstdDecompressor().decompress
+    return pa.array([unzip(z) if z else b"" for z in column.to_pylist()], pa.large_binary())
+
+
 def schema_of(carried, more: str):
     """The schema of a DataFrame's columns followed by those of a DDL string."""
     from pyspark.sql import types as T
