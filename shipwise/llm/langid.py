@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .text import column_bytes, row_slices, schema_of
+from .text import column_bytes, row_slices, schema_of, small_batches
 
 SAMPLE_DOCS = 200
 SAMPLE_DOC_CHARS = 16_384
@@ -154,7 +154,8 @@ class Parser:
         for p, n in enumerate(active.tolist()):
             at = state[:, :n] + cls[start[:n] + p]
             nxt = self.go.take(at)
-            phrases[:, :n] += nxt >> 30
+            if p:  # a lane's first character opens its first phrase, known or not
+                phrases[:, :n] += nxt >> 30
             np.bitwise_and(nxt, _MISS - 1, out=state[:, :n], casting="unsafe")
         total = np.zeros((len(texts), len(self.langs)))
         for k in range(len(self.langs)):
@@ -200,6 +201,7 @@ def _predict(parser, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def identify(docs: DataFrame, parser: Parser, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns of every row with lang_pred and score."""
+    small_batches(docs)
     flat = docs.select(F.col("text").cast("string").alias("__text"), *carry)
     schema = schema_of(flat.select(*carry), "lang_pred string, score double")
     return flat.mapInArrow(partial(_predict, docs.sparkSession.sparkContext.broadcast(parser)), schema)

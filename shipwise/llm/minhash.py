@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .text import U, WordHasher, expanded, inside, mix, ngrams, random_odd, shrink, word_slices
+from .text import U, WordHasher, expanded, inside, mix, ngrams, random_odd, shrink, word_slices, small_batches
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -305,6 +305,7 @@ def remaining_pairs(members: DataFrame, labels: DataFrame, samples: DataFrame, l
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, kept) of every row: class_id is the smallest doc_id of its class, kept marks that document."""
+    small_batches(docs)
     spark = docs.sparkSession
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     idf = spark.sparkContext.broadcast(fit_idf(docs, docs.count()))

@@ -15,8 +15,8 @@ import numpy as np
 
 from .text import SEPARATOR, U, WordHasher, mix
 
-LIMIT = 1_200_000
-_BITS = 22
+LIMIT = 600_000
+_BITS = 21
 
 
 def worker_cache(key, make: Callable[[], object]):

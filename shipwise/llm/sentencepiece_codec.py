@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .segments import FIRST, TEXT, SegmentTable, spaced_segments, worker_cache
-from .text import column_bytes, row_slices, schema_of
+from .text import column_bytes, row_slices, schema_of, small_batches
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the format
@@ -223,6 +223,7 @@ def _encode(data: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def encode(docs: DataFrame, model: bytes, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns of every row with ids, n_ids, parity and round_trip. model: the bytes of a model file."""
+    small_batches(docs)
     flat = docs.select(F.col("text").cast("string").alias("__text"), *carry)
     schema = schema_of(flat.select(*carry), "ids array<int>, n_ids long, parity boolean, round_trip boolean")
     return flat.mapInArrow(partial(_encode, model), schema)

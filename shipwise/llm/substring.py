@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import U, WordHasher, column_bytes, inside, ngrams, shrink, spans
+from .text import U, WordHasher, column_bytes, inside, ngrams, shrink, spans, small_batches
 
 WINDOW = 20
 BLOCK = WINDOW // 2
@@ -243,6 +243,7 @@ def _remove(carry: Sequence[str]):
 
 def dedup_substrings(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns of every row with text (kept words), n_words and n_removed."""
+    small_batches(docs)
     if clash := set(carry) & {*RESULT}:
         raise ValueError(f"columns to carry clash with result columns: {sorted(clash)}")
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0

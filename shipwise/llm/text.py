@@ -18,6 +18,7 @@ U = np.uint64
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _BLOCK = 1 << 15
+BATCH_ROWS = 512
 _SEED = 0x5EED
 
 
@@ -142,6 +143,11 @@ def inside(counts: np.ndarray, n: int, size: int) -> np.ndarray:
     return mask
 
 
+def small_batches(df) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows: texts are long, and a batch lies in memory several times."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow function: the first column, a text, compressed (null if empty); the other columns as they are."""
     import zstandard

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .segments import FIRST, SegmentTable, spaced_segments, worker_cache
 from .sentencepiece_codec import MARK, Model
-from .text import column_bytes, row_slices, schema_of
+from .text import column_bytes, row_slices, schema_of, small_batches
 
 UNKNOWN_PENALTY = 10.0
 SLICE = 1 << 20
@@ -105,5 +105,6 @@ def _count(data: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def count_tokens(docs: DataFrame, model: bytes, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns of every row with n_tokens. model: the bytes of a model file, whose pieces and scores are the vocabulary."""
+    small_batches(docs)
     flat = docs.select(F.col("text").cast("string").alias("__text"), *carry)
     return flat.mapInArrow(partial(_count, model), schema_of(flat.select(*carry), "n_tokens long"))

@@ -46,7 +46,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .segments import PART, WHOLE, SegmentTable, pattern_segments, worker_cache
-from .text import column_bytes, row_slices
+from .text import column_bytes, row_slices, small_batches
 
 END_ID = 2
 SHARD_BYTES = 32 << 20
@@ -209,6 +209,7 @@ def shard_edges(docs: DataFrame) -> list[int]:
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_json: str) -> None:
     """Encodes every text and writes the shard files to ``path``."""
+    small_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     (docs.mapInArrow(partial(_encode, tokenizer_json, shard_edges(docs)), "shard long, doc_id long, width long, ids binary")
      .groupBy("shard").applyInArrow(_write, "segment binary")

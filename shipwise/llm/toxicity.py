@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .langid import held_out
 from .segments import pattern_segments
-from .text import U, WordHasher, column_bytes, mix, row_slices, schema_of
+from .text import U, WordHasher, column_bytes, mix, row_slices, schema_of, small_batches
 
 SAMPLE = 30_000
 FEATURES = 8192
@@ -196,6 +196,7 @@ class Classifier:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     """Learns from the sampled documents that are not held out."""
+    small_batches(docs)
     spark = docs.sparkSession
     learnable = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
                  .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
@@ -232,5 +233,6 @@ def _score(model):
 
 def score(docs: DataFrame, model: Classifier, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns of every row with score and predicted."""
+    small_batches(docs)
     flat = docs.select(F.col("text").cast("string").alias("__text"), *carry)
     return flat.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema_of(flat.select(*carry), "score double, predicted int"))
