@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .text import column_bytes, row_slices, schema_of, small_batches
+from .text import column_bytes, fresh_worker, row_slices, schema_of, small_batches
 
 SAMPLE_DOCS = 200
 SAMPLE_DOC_CHARS = 16_384
@@ -191,6 +191,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Parser:
 
 
 def _predict(parser, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fresh_worker()
     parser = parser.value
     for batch in batches:
         _, bounds = column_bytes(batch.column(0))

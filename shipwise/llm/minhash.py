@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .text import U, WordHasher, expanded, inside, mix, ngrams, random_odd, shrink, word_slices, small_batches
+from .text import U, WordHasher, expanded, fresh_worker, inside, mix, ngrams, random_odd, shrink, small_batches, word_slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -64,6 +64,7 @@ _COMPACT = 1 << 21
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequencies (word, n) of the texts of one task, combined before they leave it."""
+    fresh_worker()
     hasher, held, size = WordHasher(), [], 0
 
     def combined():
@@ -197,6 +198,7 @@ def _text_digests(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def signer(idf) -> object:
     """mapInArrow function: (doc_id, words, d1, d2, samples, bands) of every document; samples and bands are null without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         hasher, sampler = WordHasher(), Sampler()
         for batch in batches:
             ids = batch.column(0)
@@ -222,6 +224,7 @@ def signer(idf) -> object:
 def vectors(idf) -> object:
     """mapInArrow function over compressed texts: (doc_id, shingles, weights), packed and sorted; weights in as few bytes as they need."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         hasher = WordHasher()
         for batch in batches:
             texts, ids = expanded(batch.column(0)), batch.column(1)

@@ -83,7 +83,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     plan = plan.join(cut, F.col("s").eqNullSafe(F.col("t")), "left").drop("t")
     dealt = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bin", bin_of)
     out = ["row", "doc_id", "size", "source_size", "target"]
-    clear = dealt.where("cut is null or bin <> cut").select(*out, (F.col("whole") + F.when(F.col("bin") < F.col("cut"), 1).otherwise(0)).alias("copies"))
+    clear = dealt.where("cut is null or bin <> cut").select(*out, (F.col("whole") + F.when((F.col("rest") > 0) & (F.col("bin") < F.col("cut")), 1).otherwise(0)).alias("copies"))
     ranked = W.partitionBy("source").orderBy(F.try_divide(F.col("u") / (1 - F.col("u")), F.col("odds")), "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     half_way = F.col("before") + F.sum("size").over(ranked) - F.col("size") / 2
     edge = dealt.where("bin = cut").withColumn("mid", half_way).select(*out, (F.col("whole") + F.when((F.col("rest") > 0) & (F.col("mid") <= F.col("rest")), 1).otherwise(0)).alias("copies"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .segments import FIRST, TEXT, SegmentTable, spaced_segments, worker_cache
-from .text import column_bytes, row_slices, schema_of, small_batches
+from .text import column_bytes, fresh_worker, row_slices, schema_of, small_batches
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the format
@@ -206,6 +206,7 @@ class Decoder:
 
 
 def _encode(data: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fresh_worker("sentencepiece")
     encoder = worker_cache(("sentencepiece", data), lambda: Encoder(data))
     decoder = Decoder(encoder.model)
     for batch in batches:

@@ -42,11 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import U, WordHasher, column_bytes, inside, ngrams, shrink, spans, small_batches
+from .text import U, WordHasher, column_bytes, inside, ngrams, shrink, small_batches, spans
 
 WINDOW = 20
 BLOCK = WINDOW // 2
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 RESULT = ("text", "n_words", "n_removed")
 _FLAGS = 0b11  # 1: an aligned block, 2: more than once in the chunk
 _LOW = np.iinfo(np.int64).min

@@ -9,6 +9,10 @@ so memory does not follow the batch size.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,9 +152,21 @@ def small_batches(df) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def fresh_worker(keep: str | None = None) -> None:
+    """At the start of a task: gives back what earlier tasks left in this Python worker (but for the cache entry ``keep``)."""
+    held = sys.__dict__.setdefault("_shipwise_worker_cache", {})
+    for key in [k for k in held if k != keep]:
+        del held[key]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow function: the first column, a text, compressed (null if empty); the other columns as they are."""
     import zstandard
+    fresh_worker()
     press = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         buf, bounds = column_bytes(batch.column(0))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .segments import FIRST, SegmentTable, spaced_segments, worker_cache
 from .sentencepiece_codec import MARK, Model
-from .text import column_bytes, row_slices, schema_of, small_batches
+from .text import column_bytes, fresh_worker, row_slices, schema_of, small_batches
 
 UNKNOWN_PENALTY = 10.0
 SLICE = 1 << 20
@@ -95,6 +95,7 @@ class Counter:
 
 
 def _count(data: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fresh_worker("token_count")
     counter = worker_cache(("token_count", data), lambda: Counter(Model.parse(data)))
     for batch in batches:
         buf, bounds = column_bytes(batch.column(0))

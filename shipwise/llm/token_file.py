@@ -46,7 +46,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .segments import PART, WHOLE, SegmentTable, pattern_segments, worker_cache
-from .text import column_bytes, row_slices, small_batches
+from .text import column_bytes, fresh_worker, row_slices, small_batches
 
 END_ID = 2
 SHARD_BYTES = 32 << 20
@@ -164,6 +164,7 @@ def encoder(tokenizer_json: str) -> SegmentTable:
 
 
 def _encode(tokenizer_json: str, edges: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fresh_worker("token_file")
     table = worker_cache(("token_file", tokenizer_json), lambda: encoder(tokenizer_json))
     for batch in batches:
         buf, bounds = column_bytes(batch.column(1))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .langid import held_out
 from .segments import pattern_segments
-from .text import U, WordHasher, column_bytes, mix, row_slices, schema_of, small_batches
+from .text import U, WordHasher, column_bytes, fresh_worker, mix, row_slices, schema_of, small_batches
 
 SAMPLE = 30_000
 FEATURES = 8192
@@ -222,6 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         features = Features()
         for batch in batches:
             buf, bounds = column_bytes(batch.column(0))
