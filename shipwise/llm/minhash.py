@@ -20,10 +20,10 @@
    collapsed to their smallest doc_id first, so a group of copies of any size
    is one row from there on. In every bucket the smallest document is compared
    with all others. Buckets whose members are then not all connected have the
-   remaining pairs compared as signatures, in blocks of at most BLOCK members
-   a side, in rounds: first each member's likeliest partners of a block, at
-   last all likely ones (LIKELY). A pair already connected through others needs
-   no comparison, as classes are what is returned.
+   remaining pairs compared as signatures, in blocks of at most about BLOCK / 2
+   members a side, and the likely ones (LIKELY) verified there, the likeliest
+   first, so that only links leave a block. A pair already connected through
+   others needs no comparison, as classes are what is returned.
 5. Every candidate pair is verified on the full weight vectors: it links if
    sum(min) / sum(max) >= THRESHOLD. Classes are the connected components. The
    vectors of documents in shared buckets are made once and stored; they hold
@@ -57,7 +57,6 @@ IDF_FLOOR = 0.001
 IDF_STEP = 0.5
 BLOCK = 256
 LIKELY = 0.64  # share of equal samples that a similarity of 0.8 falls short of with odds of about 1e-5
-ROUNDS = (8, BLOCK)
 _TABLE_BITS = 15
 _COMPACT = 1 << 21
 
@@ -270,30 +269,41 @@ def verified(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
             .mapInArrow(_verify, "a long, b long").distinct())
 
 
-def _likely(low: int, high: int):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        """In one pair of blocks, each member's partners at the places low to high by equal samples, if likely and not connected yet."""
-        s = np.stack([np.frombuffer(x, np.uint32) for x in part["samples"]])
-        ids, comp, side = part["rep"].to_numpy(), part["component"].to_numpy(), part["side"].to_numpy()
-        i, j = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(part)),) * 2
-        a, b = [], []
-        for x, others in [(x, j) for x in i] + ([] if i is j else [(x, i) for x in j]):
-            n = (s[others] == s[x]).sum(axis=1)
-            order = np.argsort(-n, kind="stable")
-            order = order[(n[order] >= LIKELY * SAMPLES) & (others[order] != x)][low:high]
-            hit = others[order[comp[others[order]] != comp[x]]]
-            a += [min(ids[x], ids[y]) for y in hit]
-            b += [max(ids[x], ids[y]) for y in hit]
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)}).drop_duplicates()
-    return run
-
+def _link_block(part: pd.DataFrame) -> pd.DataFrame:
+    """Links between different components in one pair of blocks of one bucket, enough to connect what is connected there.
 
-def remaining_pairs(members: DataFrame, labels: DataFrame, samples: DataFrame, low: int, high: int) -> DataFrame:
-    """Likely pairs (a, b) of one bucket that are not yet connected, at the given places in each other's order.
-
-    members: (value, rep) of buckets with several texts. A bucket is cut into
-    blocks of at most about BLOCK members by hash, and each pair of blocks is
-    one group, so a bucket of any size is spread over tasks.
+    Likely pairs are verified from the likeliest on; a pair whose components an
+    earlier link has joined is skipped, as is a pair that meets in an earlier band.
+    """
+    s = np.stack([np.frombuffer(x, np.uint32) for x in part["samples"]])
+    bands = np.stack(part["bands"].to_numpy())
+    ids, comp, side, value = part["rep"].to_numpy(), part["component"].to_numpy().copy(), part["side"].to_numpy(), part["value"].iloc[0]
+    vec = [unpacked(h, w) for h, w in zip(part["shingles"], part["weights"])]
+    i, j = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(part)),) * 2
+    found = []
+    for x in i:
+        y = j[comp[j] != comp[x]] if i is not j else j[(comp[j] != comp[x]) & (j > x)]
+        n = (s[y] == s[x]).sum(axis=1)
+        y, n = y[n >= LIKELY * SAMPLES], n[n >= LIKELY * SAMPLES]
+        first = (bands[y] == bands[x]).argmax(axis=1)
+        here = bands[x][first] == value
+        found += zip((-n[here]).tolist(), [int(x)] * int(here.sum()), y[here].tolist())
+    a, b = [], []
+    for _, x, y in sorted(found):
+        if comp[x] != comp[y] and weighted_jaccard(*vec[x], *vec[y]) >= THRESHOLD:
+            comp[comp == comp[y]] = comp[x]
+            a.append(min(ids[x], ids[y]))
+            b.append(max(ids[x], ids[y]))
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def remaining_links(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
+    """Verified links (a, b) within buckets whose members are not all connected yet.
+
+    members: (value, rep) of buckets with several texts; signed: rep with its
+    samples, bands, shingles and weights. A bucket is cut into blocks of at most
+    about BLOCK / 2 members by hash, and each pair of blocks is one group, so a
+    bucket of any size is spread over tasks.
     """
     m = members.join(labels.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     size = (m.groupBy("value").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -302,8 +312,7 @@ def remaining_pairs(members: DataFrame, labels: DataFrame, samples: DataFrame, l
          .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
          .select("value", "rep", "component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
                  (F.col("block") > F.col("other")).cast("int").alias("side")))
-    return (m.join(samples, "rep").groupBy("value", "lo", "hi")
-            .applyInPandas(_likely(low, high), "a long, b long").distinct())
+    return m.join(signed, "rep").groupBy("value", "lo", "hi").applyInPandas(_link_block, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -321,14 +330,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
     vecs = (docs.mapInArrow(shrink, "z binary, doc_id long").join(ids, "doc_id", "left_semi").select("z", "doc_id")
             .mapInArrow(vectors(idf), "doc_id long, shingles binary, weights binary").checkpoint())
-    samples = some.select(F.col("doc_id").alias("rep"), "samples")
     links = verified(members.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")), vecs).checkpoint()
-    low = 0
-    for high in ROUNDS:
-        rest = remaining_pairs(members.select("value", "rep"), components(links), samples, low, high).checkpoint()
-        low = high
-        if not rest.isEmpty():
-            links = links.union(verified(rest, vecs)).distinct().checkpoint()
+    full = some.select("doc_id", "samples", "bands").join(vecs, "doc_id").withColumnRenamed("doc_id", "rep")
+    links = links.union(remaining_links(members.select("value", "rep"), components(links), full))
     same_text = some.join(reps.select("d1", "d2", "rep"), ["d1", "d2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     labels = components(links.union(same_text))
     return (signed.select("doc_id").join(labels.toDF("doc_id", "class_id"), "doc_id", "left")
