@@ -82,7 +82,7 @@ def table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
 
 def _preview(name: str) -> Callable[[Tables], DataFrame]:
     def fn(t: Tables) -> DataFrame:
-        return ex.previews(t)[name]
+        return ex.previews(t, [name])[name]
     fn.__name__ = f"preview_{name}"
     fn.__doc__ = f"A11: preview of {name} in key order."
     return fn

@@ -114,16 +114,18 @@ def by_state(df: DataFrame, pred: str, base: str = PROMISE, min_n: int = 50, lat
     g = (df.groupBy("customer_state")
          .agg(n.alias("n"), _mean(F.abs(F.col(base) - a)).alias("_b"), _mean(F.abs(F.col(pred) - a)).alias("_m"),
               pct(count_when(a > F.col(base)), n, 1).alias("base_late_pct"),
-              pct(count_when(a > F.col(pred)), n, 1).alias("model_late_pct"))
+              pct(count_when(a > F.col(pred)), n, 1).alias("model_late_pct"),
+              (count_when(a > F.col(pred)) / n).alias("_late"))
          .filter(F.col("n") >= min_n))
     if not late:
         return (g.select(F.col("customer_state").alias("state"), F.col("n").alias("orders"),
                          bround("_b", 1).alias("base_mae"), bround("_m", 1).alias("model_mae"),
                          bround(improvement(F.col("_b"), F.col("_m")), 1).alias("improvement_pct"))
                 .orderBy(F.col("improvement_pct").desc(), "state"))
-    return (g.select(F.col("customer_state").alias("state"), "n", rnd("_b", 1).alias("base_mae"),
-                     rnd("_m", 1).alias("model_mae"), "base_late_pct", "model_late_pct")
-            .orderBy(F.col("model_late_pct").desc(), "state"))
+    # sorted by the share before it is rounded
+    return (g.orderBy(F.col("_late").desc(), "customer_state")
+            .select(F.col("customer_state").alias("state"), "n", rnd("_b", 1).alias("base_mae"),
+                    rnd("_m", 1).alias("model_mae"), "base_late_pct", "model_late_pct"))
 
 
 def split_report(df: DataFrame, ts: str = "order_purchase_timestamp") -> DataFrame:

@@ -171,29 +171,30 @@ def preview(df: DataFrame, cols: Sequence[str | Column], n: int, where: Column |
     return df.select(*cols).limit(n)
 
 
-def previews(t: Tables) -> dict[str, DataFrame]:
-    """The eight table previews."""
-    return {
-        "customers": preview(t.customers, ["customer_id", "customer_unique_id", "customer_city",
+def previews(t: Tables, only: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """The eight table previews, or those named; only their tables are built."""
+    made = {
+        "customers": lambda: preview(t.customers, ["customer_id", "customer_unique_id", "customer_city",
                                            "customer_state"], 5, order=["customer_id"]),
-        "orders": preview(t.orders, ["order_id", "customer_id", "order_status", "order_purchase_timestamp",
+        "orders": lambda: preview(t.orders, ["order_id", "customer_id", "order_status", "order_purchase_timestamp",
                                      DELIVERED, ESTIMATED], 5,
                           where=F.col("order_status") == "delivered", order=["order_id"]),
-        "order_items": preview(t.order_items, ["order_id", "order_item_id", "product_id", "seller_id",
+        "order_items": lambda: preview(t.order_items, ["order_id", "order_item_id", "product_id", "seller_id",
                                                "price", "freight_value"], 5,
                                order=["order_id", "order_item_id"]),
-        "products": preview(t.products, ["product_id", "product_category_name", "product_weight_g",
+        "products": lambda: preview(t.products, ["product_id", "product_category_name", "product_weight_g",
                                          "product_length_cm"], 5, order=["product_id"]),
-        "category_translation": preview(t.category_translation, ["*"], 10,
+        "category_translation": lambda: preview(t.category_translation, ["*"], 10,
                                         order=["product_category_name"]),
-        "order_payments": preview(t.order_payments, ["order_id", "payment_type", "payment_installments",
+        "order_payments": lambda: preview(t.order_payments, ["order_id", "payment_type", "payment_installments",
                                                      "payment_value"], 5,
                                   order=["order_id", "payment_sequential"]),
-        "order_reviews": preview(t.order_reviews,
+        "order_reviews": lambda: preview(t.order_reviews,
                                  ["review_id", "order_id", "review_score",
                                   head_chars("review_comment_message", 60).alias("comment_preview"),
                                   "review_creation_date"], 5,
                                  where=F.col("review_comment_message").isNotNull(),
                                  order=["review_id", "order_id"]),
-        "sellers": preview(t.sellers, ["seller_id", "seller_city", "seller_state"], 5, order=["seller_id"]),
+        "sellers": lambda: preview(t.sellers, ["seller_id", "seller_city", "seller_state"], 5, order=["seller_id"]),
     }
+    return {name: made[name]() for name in (made if only is None else only)}

@@ -325,3 +325,12 @@ def test_scoring_closure_runs_without_the_package(spark, tmp_path):
                          env={"PATH": "/usr/bin:/bin"})
     assert res.returncode == 0, res.stderr[-2000:]
     assert res.stdout.strip() == "2"
+
+
+def test_e8_sorts_states_by_the_unrounded_late_share(spark):
+    from shipwise.operators.evaluate import by_state
+    from shipwise.operators.features import TARGET
+    late = {"AA": (500, 3000), "BB": (501, 3000)}  # 16.67 and 16.70 %, both 16.7 when rounded
+    rows = [(s, 10.0 if k < a else 1.0, 5.0, 5.0) for s, (a, n) in late.items() for k in range(n)]
+    got = by_state(spark.createDataFrame(rows, f"customer_state string, {TARGET} double, promised_days double, p double"), "p", base="promised_days", late=True).collect()
+    assert [(r.state, r.model_late_pct) for r in got] == [("BB", 16.7), ("AA", 16.7)]
