@@ -21,7 +21,7 @@
    is one row from there on. In every bucket the smallest document is compared
    with all others. Buckets whose members are then not all connected have the
    remaining pairs compared as signatures, in blocks of at most about BLOCK / 2
-   members a side, and the likely ones (LIKELY) verified there, the likeliest
+   members and BLOCK_BYTES of vectors a side, and the likely ones (LIKELY) verified there, the likeliest
    first, so that only links leave a block. A pair already connected through
    others needs no comparison, as classes are what is returned.
 5. Every candidate pair is verified on the full weight vectors: it links if
@@ -55,7 +55,8 @@ BANDS, ROWS = 20, 6
 SAMPLES = BANDS * ROWS
 IDF_FLOOR = 0.001
 IDF_STEP = 0.5
-BLOCK = 256
+BLOCK = 1024
+BLOCK_BYTES = 4 << 20
 LIKELY = 0.64  # share of equal samples that a similarity of 0.8 falls short of with odds of about 1e-5
 _TABLE_BITS = 15
 _COMPACT = 1 << 21
@@ -276,17 +277,18 @@ def _link_block(part: pd.DataFrame) -> pd.DataFrame:
     earlier link has joined is skipped, as is a pair that meets in an earlier band.
     """
     s = np.stack([np.frombuffer(x, np.uint32) for x in part["samples"]])
-    bands = np.stack(part["bands"].to_numpy())
-    ids, comp, side, value = part["rep"].to_numpy(), part["component"].to_numpy().copy(), part["side"].to_numpy(), part["value"].iloc[0]
+    ids, comp, side, band = part["rep"].to_numpy(), part["component"].to_numpy().copy(), part["side"].to_numpy(), part["band"].iloc[0]
     vec = [unpacked(h, w) for h, w in zip(part["shingles"], part["weights"])]
     i, j = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(part)),) * 2
     found = []
     for x in i:
         y = j[comp[j] != comp[x]] if i is not j else j[(comp[j] != comp[x]) & (j > x)]
-        n = (s[y] == s[x]).sum(axis=1)
-        y, n = y[n >= LIKELY * SAMPLES], n[n >= LIKELY * SAMPLES]
-        first = (bands[y] == bands[x]).argmax(axis=1)
-        here = bands[x][first] == value
+        same = s[y] == s[x]
+        n = same.sum(axis=1)
+        likely = n >= LIKELY * SAMPLES
+        y, n = y[likely], n[likely]
+        met = same[likely].reshape(-1, BANDS, ROWS).all(axis=2)
+        here = met[:, band] & (met.argmax(axis=1) == band)
         found += zip((-n[here]).tolist(), [int(x)] * int(here.sum()), y[here].tolist())
     a, b = [], []
     for _, x, y in sorted(found):
@@ -300,17 +302,19 @@ def _link_block(part: pd.DataFrame) -> pd.DataFrame:
 def remaining_links(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
     """Verified links (a, b) within buckets whose members are not all connected yet.
 
-    members: (value, rep) of buckets with several texts; signed: rep with its
-    samples, bands, shingles and weights. A bucket is cut into blocks of at most
-    about BLOCK / 2 members by hash, and each pair of blocks is one group, so a
-    bucket of any size is spread over tasks.
+    members: (value, band, rep) of buckets with several texts; signed: rep with
+    its samples, shingles and weights. A bucket is cut by hash into blocks of at
+    most about BLOCK / 2 members and BLOCK_BYTES of vectors, and each pair of
+    blocks is one group, so a bucket of any size is spread over tasks.
     """
     m = members.join(labels.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    size = (m.groupBy("value").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-            .where("lo < hi and n > 2").select("value", F.ceil(F.col("n") * 2 / BLOCK).cast("int").alias("blocks")))
+    m = m.join(signed.select("rep", (F.length("shingles") + F.length("weights")).alias("bytes")), "rep")
+    size = (m.groupBy("value").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+            .where("lo < hi and n > 2")
+            .select("value", F.greatest(F.ceil(F.col("n") * 2 / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")))
     m = (m.join(size, "value").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
          .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-         .select("value", "rep", "component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+         .select("value", "band", "rep", "component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
                  (F.col("block") > F.col("other")).cast("int").alias("side")))
     return m.join(signed, "rep").groupBy("value", "lo", "hi").applyInPandas(_link_block, "a long, b long")
 
@@ -324,15 +328,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = docs.select("doc_id", "text").mapInArrow(signer(idf), "doc_id long, words long, d1 long, d2 long, samples binary, bands array<long>").checkpoint()
     some = signed.where("words > 0 and doc_id is not null")
     reps = some.groupBy("d1", "d2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))
-    banded = reps.select("rep", F.explode("bands").alias("value")).distinct()
+    banded = reps.select("rep", F.posexplode("bands").alias("band", "value")).distinct()
     buckets = banded.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = banded.join(buckets, "value").select("value", "hub", "rep").checkpoint()
+    members = banded.join(buckets, "value").select("value", "band", "hub", "rep").checkpoint()
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
     vecs = (docs.mapInArrow(shrink, "z binary, doc_id long").join(ids, "doc_id", "left_semi").select("z", "doc_id")
             .mapInArrow(vectors(idf), "doc_id long, shingles binary, weights binary").checkpoint())
     links = verified(members.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")), vecs).checkpoint()
-    full = some.select("doc_id", "samples", "bands").join(vecs, "doc_id").withColumnRenamed("doc_id", "rep")
-    links = links.union(remaining_links(members.select("value", "rep"), components(links), full))
+    full = some.select("doc_id", "samples").join(vecs, "doc_id").withColumnRenamed("doc_id", "rep")
+    links = links.union(remaining_links(members.select("value", "band", "rep"), components(links), full))
     same_text = some.join(reps.select("d1", "d2", "rep"), ["d1", "d2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     labels = components(links.union(same_text))
     return (signed.select("doc_id").join(labels.toDF("doc_id", "class_id"), "doc_id", "left")
