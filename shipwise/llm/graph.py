@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of steps whose results are checkpointed: it does so once the driver has
+    collected the objects that stand for them, which long jobs with a large heap rarely reach by themselves."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    """Every edge in both directions, in one pass over the edges."""
+    return edges.select(F.inline(F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id in ``links``; component is the smallest id it reaches.
 
@@ -19,14 +33,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
              .where("u is not null and v is not null and u <> v")
              .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint())
     while True:
-        both = edges.union(edges.select("v", "u"))
+        both = _both(edges)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", "m"))
                  .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().checkpoint())
-        ends = small.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(small.select("v", F.lit(0), F.lit(1)))
+        release(edges.sparkSession)
+        ends = small.select(F.inline(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                                             F.struct(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
         flat = ends.groupBy("id").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
         edges = small
         if flat:

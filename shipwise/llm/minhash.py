@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, release
 from .text import U, WordHasher, expanded, fresh_worker, inside, mix, ngrams, random_odd, shrink, small_batches, word_slices
 
 SHINGLE = 5
@@ -323,6 +323,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, kept) of every row: class_id is the smallest doc_id of its class, kept marks that document."""
     small_batches(docs)
     spark = docs.sparkSession
+    release(spark)
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     idf = spark.sparkContext.broadcast(fit_idf(docs, docs.count()))
     signed = docs.select("doc_id", "text").mapInArrow(signer(idf), "doc_id long, words long, d1 long, d2 long, samples binary, bands array<long>").checkpoint()
@@ -331,10 +332,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     banded = reps.select("rep", F.posexplode("bands").alias("band", "value")).distinct()
     buckets = banded.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = banded.join(buckets, "value").select("value", "band", "hub", "rep").checkpoint()
+    release(spark)
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
     vecs = (docs.mapInArrow(shrink, "z binary, doc_id long").join(ids, "doc_id", "left_semi").select("z", "doc_id")
             .mapInArrow(vectors(idf), "doc_id long, shingles binary, weights binary").checkpoint())
     links = verified(members.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")), vecs).checkpoint()
+    release(spark)
     full = some.select("doc_id", "samples").join(vecs, "doc_id").withColumnRenamed("doc_id", "rep")
     links = links.union(remaining_links(members.select("value", "band", "rep"), components(links), full))
     same_text = some.join(reps.select("d1", "d2", "rep"), ["d1", "d2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
