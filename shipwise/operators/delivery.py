@@ -211,7 +211,7 @@ def slowest_lanes(t: Tables, min_orders: int = 50, k: int = 10) -> DataFrame:
     # items join orders on the order id first (co-located when bucketed), then
     # rows are reduced per (seller, customer) before the two state lookups
     x = (nd_orders(t).select("order_id", "customer_id", "delay_us", "total_us")
-         .join(t.order_items.select("order_id", "seller_id"), "order_id"))
+         .join(t.item_rows.select("order_id", "seller_id"), "order_id"))
     per_pair = x.groupBy("seller_id", "customer_id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum(F.col("delay_us").cast("decimal(38,0)")).alias("_d"),
@@ -245,7 +245,7 @@ def slowest_categories(t: Tables, min_orders: int = 50, k: int = 10) -> DataFram
     """
     rv = review_totals(t.order_reviews).select("order_id", "n_reviews", "n_scored", "score_sum")
     x = (nd_orders(t).select("order_id", "delay_us")
-         .join(t.order_items.select("order_id", "product_id"), "order_id")
+         .join(t.item_rows.select("order_id", "product_id"), "order_id")
          .join(rv, "order_id", "left"))
     w = F.greatest(F.coalesce(F.col("n_reviews"), F.lit(0)), F.lit(1)).cast("bigint")
     per_product = x.groupBy("product_id").agg(
@@ -269,7 +269,7 @@ def slowest_categories(t: Tables, min_orders: int = 50, k: int = 10) -> DataFram
 def delay_by_weight(t: Tables) -> DataFrame:
     """Delay and late share by product weight bucket (weight known)."""
     x = (nd_orders(t).select("order_id", "delay_us", "late")
-         .join(t.order_items.select("order_id", "product_id"), "order_id"))
+         .join(t.item_rows.select("order_id", "product_id"), "order_id"))
     per_product = _delay_sums(x, "product_id")
     p = t.products.filter(F.col("product_weight_g").isNotNull()).select("product_id", "product_weight_g")
     y = per_product.join(p, "product_id")
@@ -282,7 +282,7 @@ def chronic_late_sellers(t: Tables, min_orders: int = 30, k: int = 10) -> DataFr
     """Sellers with the largest mean delay (items x reviews rows)."""
     rv = review_totals(t.order_reviews).select("order_id", "n_reviews", "n_scored", "score_sum")
     x = (nd_orders(t, CARRIER).select("order_id", "delay_us", "late", "seller_us")
-         .join(t.order_items.select("order_id", "seller_id"), "order_id")
+         .join(t.item_rows.select("order_id", "seller_id"), "order_id")
          .join(rv, "order_id", "left"))
     w = F.greatest(F.coalesce(F.col("n_reviews"), F.lit(0)), F.lit(1)).cast("bigint")
     per_seller = x.groupBy("seller_id").agg(

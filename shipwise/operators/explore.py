@@ -45,7 +45,7 @@ def _translated(t: Tables) -> DataFrame:
 
 def top_categories_by_revenue(t: Tables, k: int = 10) -> DataFrame:
     """K3: categories by item revenue (item rows counted as ``total_orders``)."""
-    per_product = t.order_items.groupBy("product_id").agg(
+    per_product = t.item_rows.groupBy("product_id").agg(
         F.count(F.lit(1)).alias("_n"), money_sum("price").alias("_rev"))
     res = (per_product.join(_translated(t), "product_id")
            .groupBy("category")
@@ -59,7 +59,7 @@ def lowest_rated_categories(t: Tables, min_reviews: int = 50, k: int = 10) -> Da
     orders = t.orders.select("order_id")
     rv = (review_totals(t.order_reviews).select("order_id", "n_reviews", "n_scored", "score_sum")
           .join(orders, "order_id", "left_semi"))
-    x = t.order_items.select("order_id", "product_id").join(rv, "order_id")
+    x = t.item_rows.select("order_id", "product_id").join(rv, "order_id")
     per_product = x.groupBy("product_id").agg(
         F.sum("n_reviews").alias("_n"), F.sum("n_scored").alias("_sn"), F.sum("score_sum").alias("_ss"))
     res = (per_product.join(_translated(t), "product_id")
@@ -89,7 +89,7 @@ def monthly_revenue(t: Tables) -> DataFrame:
     Items are summed per order first; counting the per-order rows then gives
     the distinct order count without a distinct aggregate.
     """
-    per_order = t.order_items.groupBy("order_id").agg(money_sum("price").alias("_rev"))
+    per_order = t.item_rows.groupBy("order_id").agg(money_sum("price").alias("_rev"))
     o = (t.orders.filter(F.col("order_status") == "delivered")
          .select("order_id", month_label("order_purchase_timestamp").alias("month")))
     return (o.join(per_order, "order_id").groupBy("month")
@@ -115,49 +115,45 @@ def pick_story_order(t: Tables) -> DataFrame:
     commented = t.order_reviews.filter(F.col("review_comment_message").isNotNull()).select("order_id")
     return (t.orders.filter(F.col("order_status") == "delivered").select("order_id")
             .join(commented, "order_id", "left_semi")
-            .join(t.order_items.select("order_id"), "order_id", "left_semi")
+            .join(t.item_rows.select("order_id"), "order_id", "left_semi")
             .agg(F.min("order_id").alias("order_id")))
 
 
 def order_story(t: Tables, order_id: str | None = None) -> DataFrame:
-    """The full story of orders, one row per item.
-
-    Customer city and state; item price, freight and English category;
-    payment count, total and first type; purchase, delivery and estimate; the
-    first review's score and first 100 comment characters. The source traces
-    one order; this gives every order (or only ``order_id``). Per-order
-    payment and review facts are bounded aggregates, never collected lists.
+    """The full story of orders, one row per fact (``section``, ``entry``).
+
+    ``order``: customer city and state, purchase, delivery and estimate (one
+    row, also for orders without items); ``item``: price, freight and English
+    category; ``payment``: type, installments and value; ``review``: score and
+    first 100 comment characters. ``entry`` is the item number, the payment
+    sequence or the review id. The source traces one order; this gives every
+    order (or only ``order_id``). Nothing is collected into lists, so an order
+    with any number of items, payments or reviews is only more rows.
     """
-    o = t.orders
-    items, pays, revs = t.order_items, t.order_payments, t.order_reviews
-    if order_id is not None:
-        o = o.filter(F.col("order_id") == F.lit(order_id))
-        items = items.filter(F.col("order_id") == F.lit(order_id))
-        pays = pays.filter(F.col("order_id") == F.lit(order_id))
-        revs = revs.filter(F.col("order_id") == F.lit(order_id))
-    pay = pays.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("payment_count"),
-        rnd(money_sum("payment_value"), 2).alias("payment_total"),
-        F.min_by("payment_type", "payment_sequential").alias("first_payment_type"))
-    rev = revs.groupBy("order_id").agg(
-        F.min_by("review_score", "review_id").alias("review_score"),
-        head_chars(F.min_by("review_comment_message", "review_id"), 100).alias("review_comment"))
-    cat = (t.products.select("product_id", "product_category_name")
-           .join(t.category_translation, "product_category_name", "left")
-           .select("product_id", F.col("product_category_name_english").alias("category")))
-    # order-keyed joins first (co-located when the tables are bucketed by
-    # order id), then the customer and product lookups
-    by_order = (o.select("order_id", "customer_id",
-                         F.col("order_purchase_timestamp").alias("ordered"),
-                         F.col(DELIVERED).alias("delivered"), F.col(ESTIMATED).alias("estimated"))
-                .join(items.select("order_id", "order_item_id", "product_id", "price", "freight_value"), "order_id")
-                .join(pay, "order_id", "left")
-                .join(rev, "order_id", "left"))
-    return (by_order.join(t.customers.select("customer_id", "customer_city", "customer_state"), "customer_id")
-            .join(cat, "product_id")
-            .select("order_id", "order_item_id", "customer_city", "customer_state", "price",
-                    "freight_value", "category", "payment_count", "payment_total", "first_payment_type",
-                    "ordered", "delivered", "estimated", "review_score", "review_comment"))
+    def of_order(df: DataFrame) -> DataFrame:
+        return df if order_id is None else df.filter(F.col("order_id") == F.lit(order_id))
+
+    def section(df: DataFrame, name: str, entry: Column, *cols: Column) -> DataFrame:
+        return df.select("order_id", F.lit(name).alias("section"), entry.cast("string").alias("entry"), *cols)
+
+    category = (t.products.select("product_id", "product_category_name")
+                .join(t.category_translation, "product_category_name", "left")
+                .select("product_id", F.col("product_category_name_english").alias("category")))
+    header = section(
+        of_order(t.orders).join(t.customers.select("customer_id", "customer_city", "customer_state"), "customer_id", "left"),
+        "order", F.lit(None), F.col("customer_city"), F.col("customer_state"),
+        F.col("order_purchase_timestamp").alias("ordered"), F.col(DELIVERED).alias("delivered"),
+        F.col(ESTIMATED).alias("estimated"))
+    items = section(of_order(t.order_items).join(category, "product_id", "left"), "item", F.col("order_item_id"),
+                    F.col("price"), F.col("freight_value"), F.col("category"))
+    payments = section(of_order(t.order_payments), "payment", F.col("payment_sequential"),
+                       F.col("payment_type"), F.col("payment_installments"), F.col("payment_value"))
+    reviews = section(of_order(t.order_reviews), "review", F.col("review_id"), F.col("review_score"),
+                      head_chars("review_comment_message", 100).alias("review_comment"))
+    story = header
+    for part in (items, payments, reviews):
+        story = story.unionByName(part, allowMissingColumns=True)
+    return story
 
 
 # ------------------------------------------------------------------ previews

@@ -103,8 +103,8 @@ def frequency_encode(df: DataFrame, cols: Sequence[str], fit: DataFrame | None =
 def label_encode(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None,
                  unknown: str = "unknown", suffix: str = "_le") -> DataFrame:
     """M6: NULL -> ``unknown``, then the index of the value among the sorted
-    distinct values of ``fit`` (default: ``df``). Values unseen in ``fit``
-    get NULL (the source raises instead).
+    distinct values of ``fit`` (default: ``df``). Values unseen in ``fit`` get
+    a code of their own, the vocabulary's size (the source raises instead).
 
     The ranking window runs over the distinct labels (one row per state or
     category), not over rows.
@@ -114,7 +114,9 @@ def label_encode(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = Non
         filled = F.coalesce(F.col(c), F.lit(unknown))
         vocab = (fit.select(filled.alias("_lab")).distinct()
                  .withColumn(c + suffix, (F.dense_rank().over(Window.orderBy("_lab")) - 1).cast("double")))
-        df = (df.withColumn("_lab", filled).join(vocab, "_lab", "left").drop("_lab"))
+        unseen = vocab.agg(F.count(F.lit(1)).cast("double")).scalar()
+        df = (df.withColumn("_lab", filled).join(vocab, "_lab", "left")
+              .withColumn(c + suffix, F.coalesce(F.col(c + suffix), unseen)).drop("_lab"))
     return df
 
 

@@ -123,7 +123,7 @@ def repeat_purchase(t: Tables, min_orders: int = 2) -> DataFrame:
 def _dispatch_items(t: Tables) -> DataFrame:
     """Item rows of orders with a carrier scan: order, product, seller, dispatch us."""
     o = order_facts(t.orders).filter(F.col(CARRIER).isNotNull()).select("order_id", "seller_us")
-    return o.join(t.order_items.select("order_id", "product_id", "seller_id"), "order_id")
+    return o.join(t.item_rows.select("order_id", "product_id", "seller_id"), "order_id")
 
 
 def dispatch_days_by_category(t: Tables, min_orders: int = 50) -> DataFrame:
@@ -190,7 +190,7 @@ def _lane_sums(t: Tables) -> DataFrame:
     are reduced per (seller, customer), and only then the two state lookups.
     """
     x = (nd_orders(t, CARRIER).select("order_id", "customer_id", "transit_us", "late")
-         .join(t.order_items.select("order_id", "seller_id"), "order_id"))
+         .join(t.item_rows.select("order_id", "seller_id"), "order_id"))
     per_pair = x.groupBy("seller_id", "customer_id").agg(
         F.count(F.lit(1)).alias("_n"), _dsum("transit_us").alias("_t"), count_when(F.col("late")).alias("_l"))
     per_seller = (per_pair.join(t.customers.select("customer_id", "customer_state"), "customer_id")
@@ -285,7 +285,7 @@ def over_promise_by_state(t: Tables, early: int = 15, min_orders: int = 1) -> Da
 def over_promise_by_category(t: Tables, early: int = 15, min_orders: int = 1) -> DataFrame:
     """R13 by product category (item rows)."""
     x = nd_orders(t).select("order_id", "delay_days", "promised_us", "total_us").join(
-        t.order_items.select("order_id", "product_id"), "order_id")
+        t.item_rows.select("order_id", "product_id"), "order_id")
     per_product = _early_sums(x, "product_id", early)
     y = per_product.join(_category(t), "product_id")
     return _over_promise(y, "category", early, min_orders)

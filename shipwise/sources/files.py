@@ -36,14 +36,17 @@ def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def read_csv_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    schema = SCHEMAS[name]
-    text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
-    raw = (spark.read.schema(text)
-           .option("header", True).option("multiLine", True)
+    """One CSV file as typed columns, matched by header name (a missing one is an
+    error). Only review comments hold line breaks, so only that table is read
+    as multi-line; the others stay splittable."""
+    raw = (spark.read.option("header", True).option("multiLine", name == "order_reviews")
            .option("quote", '"').option("escape", '"')
            .option("mode", "PERMISSIVE")
            .csv(path))
-    return _typed(raw, schema)
+    missing = [f.name for f in SCHEMAS[name].fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: columns missing from the header: {missing}")
+    return _typed(raw, SCHEMAS[name])
 
 
 def read_tables(spark: SparkSession, directory: str, fmt: str = "parquet",

@@ -115,19 +115,21 @@ def star_tables(spark: SparkSession, sf_dir: str) -> Tables:
                   "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", "o_orderdate"))
     # item number = row number inside the order, computed by a distributed rank
     # (no window per order: one order with a huge number of lines stays spread out);
-    # it runs a job, so the table is built on first access
+    # it runs a job, so the table is built on first access, and rows without the
+    # number are a plain projection
+    item_cols = [
+        F.col("l_orderkey").cast("string").alias("order_id"),
+        F.col("l_partkey").cast("string").alias("product_id"),
+        F.col("l_suppkey").cast("string").alias("seller_id"),
+        _hours(F.col("o_orderdate"), F.lit(72)).alias("shipping_limit_date"),
+        F.col("l_extendedprice").cast("double").alias("price"),
+        (F.col("l_quantity") * F.lit(0.5)).cast("double").alias("freight_value")]
+
     def order_items() -> DataFrame:
         numbered = number_within(lo, ["l_orderkey"], [
             "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
             "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus"], "_item")
-        return numbered.select(
-            F.col("l_orderkey").cast("string").alias("order_id"),
-            F.col("_item").alias("order_item_id"),
-            F.col("l_partkey").cast("string").alias("product_id"),
-            F.col("l_suppkey").cast("string").alias("seller_id"),
-            _hours(F.col("o_orderdate"), F.lit(72)).alias("shipping_limit_date"),
-            F.col("l_extendedprice").cast("double").alias("price"),
-            (F.col("l_quantity") * F.lit(0.5)).cast("double").alias("freight_value"))
+        return numbered.select(item_cols[0], F.col("_item").alias("order_item_id"), *item_cols[1:])
 
     # Payment types by order key modulo 4.
     pay_type = (F.when(k % 4 == 0, "boleto").when(k % 4 == 1, "voucher").otherwise("credit_card"))
@@ -155,4 +157,4 @@ def star_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     return Tables(category_translation=category_translation, customers=customers, sellers=sellers,
                   products=products, orders=orders, order_items=order_items,
-                  order_payments=order_payments, order_reviews=order_reviews, geolocation=None)
+                  item_rows=lo.select(*item_cols), order_payments=order_payments, order_reviews=order_reviews, geolocation=None)

@@ -15,10 +15,12 @@ class Tables:
 
     A table may be given as a zero-argument function instead of a DataFrame;
     it is then built on first access (for tables whose construction runs a
-    job, so operators that never read them do not pay for it).
+    job, so operators that never read them do not pay for it). ``item_rows``
+    may give the order items without their number where numbering costs
+    something; operators that do not use the number read that frame.
     """
 
-    def __init__(self, **frames):
+    def __init__(self, item_rows: DataFrame | None = None, **frames):
         unknown = set(frames) - set(TABLE_NAMES)
         if unknown:
             raise TypeError(f"unknown tables: {sorted(unknown)}")
@@ -26,6 +28,7 @@ class Tables:
         if missing:
             raise TypeError(f"missing tables: {sorted(missing)}")
         self._frames = {n: frames.get(n) for n in TABLE_NAMES}
+        self._item_rows = item_rows
 
     def __getattr__(self, name: str):
         frames = self.__dict__.get("_frames")
@@ -36,6 +39,11 @@ class Tables:
             v = frames[name] = v()
         return v
 
+    @property
+    def item_rows(self) -> DataFrame:
+        """The order items without ``order_item_id``."""
+        return self.order_items.drop("order_item_id") if self._item_rows is None else self._item_rows
+
     def items(self):
         for name in TABLE_NAMES:
             df = getattr(self, name)

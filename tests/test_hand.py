@@ -164,12 +164,26 @@ def test_csv_reader(spark, tmp_path):
     c.write_text("customer_id,customer_unique_id,customer_zip_code_prefix,customer_city,customer_state\n"
                  "c1,u1,01037,sao paulo,SP\n")
     assert read_csv_table(spark, str(c), "customers").first()["customer_zip_code_prefix"] == "01037"
+    d = tmp_path / "swapped.csv"
+    d.write_text("customer_unique_id,customer_id,customer_zip_code_prefix,customer_city,customer_state\nu1,c1,01037,sao paulo,SP\n")
+    row = read_csv_table(spark, str(d), "customers").first()
+    assert (row["customer_id"], row["customer_unique_id"]) == ("c1", "u1")
 
 
 def test_story_order_and_previews(hand):
+    from shipwise.tables import Tables
     assert ex.pick_story_order(hand).first()["order_id"] == "h3"  # the only commented review
     story = ex.order_story(hand, "h3").collect()
-    assert len(story) == 2 and {r["order_item_id"] for r in story} == {1, 2}
+    assert sorted((r["section"], r["entry"]) for r in story) == [
+        ("item", "1"), ("item", "2"), ("order", None), ("payment", "1"), ("review", "r_h3"), ("review", "r_h3b")]
+    second = next(r for r in story if r["entry"] == "r_h3b")
+    assert (second["review_score"], second["review_comment"]) == (1, 'said "hi"\nthen left')
+    # an order without items and with two payments keeps its header and both payments
+    bare = Tables(**{**dict(hand.items()), "order_items": hand.order_items.filter("order_id <> 'h1'"),
+                     "order_payments": hand.order_payments.union(hand.order_payments.filter("order_id = 'h1'").selectExpr(
+                         "order_id", "2", "'voucher'", "3", "4.5"))})
+    got = {(r["section"], r["entry"], r["payment_installments"], r["payment_value"]) for r in ex.order_story(bare, "h1").collect()}
+    assert got == {("order", None, None, None), ("payment", "1", 1, 10.0), ("payment", "2", 3, 4.5), ("review", "r_h1", None, None)}
     pv = ex.previews(hand)
     assert pv["category_translation"].count() == 3 and pv["orders"].count() == 5
 
@@ -215,7 +229,7 @@ def test_encoders_fitted_on_train_only(spark):
     enc = fe.label_encode(fe.frequency_encode(s, ["seller_state"], fit=train), ["seller_state"], fit=train)
     got = {r["order_id"]: (r["seller_state_encoded"], r["seller_state_le"]) for r in enc.collect()}
     assert got["0"] == (8.0, 0.0)
-    assert got["9"] == (0.0, None)  # a test-period value the train split never saw
+    assert got["9"] == (0.0, 1.0)  # a value the train split never saw: a code of its own
 
 
 def test_route_margin_rules_overrides(spark):

@@ -94,3 +94,11 @@ def test_hot_order_falls_back_to_plain_layout(spark, tmp_path):
     assert choice["bucketed"] is False
     ok = write_catalog_tables(live, "shipwise_test_even", str(tmp_path / "db2"), 16)
     assert ok["bucketed"] is True
+
+
+@pytest.mark.parametrize("name", ["k3_top_categories_by_revenue", "k6_monthly_revenue", "k20_slowest_categories",
+                                  "r9_slow_sellers_vs_category"])
+def test_items_without_their_number_stay_lazy(spark, name):
+    """No checkpoint and no sort of the item rows where the item number is not read."""
+    text = plan_text(catalog.queries()[name](spark, SF_SMALL))
+    assert "ExistingRDD" not in text and "rangepartitioning(l_orderkey" not in text
