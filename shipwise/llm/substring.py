@@ -16,8 +16,8 @@ wherever its copy lies, so:
 2. Extension. A window is a candidate if it holds an anchor. A chunk sends
    each distinct candidate window once, as a 96-bit hash with its first
    position, so a passage that many documents share costs at most one entry
-   for each chunk. The smallest position of all chunks comes back for windows
-   that occur elsewhere.
+   for each chunk. The smallest position of all chunks comes back where it is
+   another one, or where the chunk holds the window more than once.
 3. Removal. Windows that are not the earliest of their kind remove their words;
    overlapping windows make the maximal exact repeats.
 
@@ -134,7 +134,7 @@ def _anchors_meet(table: pa.Table) -> pa.Table:
     return _rows([c for c, _ in out], [0] * len(out), [d for _, d in out])
 
 
-_WINDOW_ENTRY = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("pos", "<i4")])
+_WINDOW_ENTRY = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("pos", "<i4"), ("many", "u1")])
 
 
 def _squeeze(entries: np.ndarray) -> bytes:
@@ -158,11 +158,15 @@ def _window_hashes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ngrams(words, WINDOW, 12), (ngrams(words, WINDOW, 13) & U(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _earliest(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first entry of each (h, g), and how many there were."""
+def _earliest(e: np.ndarray) -> np.ndarray:
+    """The first entry of each (h, g), marked if there were more."""
     e = e[np.lexsort((e["pos"], e["doc"], e["g"], e["h"]))]
     at = np.flatnonzero(np.r_[True, (e["h"][1:] != e["h"][:-1]) | (e["g"][1:] != e["g"][:-1])]) if len(e) else np.zeros(0, int)
-    return e[at], np.diff(np.r_[at, len(e)])
+    if not len(e):
+        return e
+    first = e[at]
+    first["many"] = np.bitwise_or.reduceat(e["many"], at) | (np.diff(np.r_[at, len(e)]) > 1)
+    return first
 
 
 def _candidates(n: int):
@@ -183,11 +187,11 @@ def _candidates(n: int):
             if not len(cand):
                 continue
             a, b = _window_hashes(words)
-            e = np.empty(len(cand), _WINDOW_ENTRY)
+            e = np.zeros(len(cand), _WINDOW_ENTRY)
             e["h"], e["g"] = a[cand], b[cand]
             e["doc"], e["pos"] = np.repeat(ids[i:j], counts)[cand], _positions(counts)[cand]
-            held.append(_earliest(e)[0])
-        e = _earliest(np.concatenate(held))[0] if held else np.empty(0, _WINDOW_ENTRY)
+            held.append(_earliest(e))
+        e = _earliest(np.concatenate(held)) if held else np.empty(0, _WINDOW_ENTRY)
         share = _range(e["h"], n)
         e, share = e[order := np.lexsort((e["pos"], e["doc"], share))], share[order]
         cut = np.flatnonzero(np.r_[True, share[1:] != share[:-1], True]) if len(e) else np.zeros(1, int)
@@ -197,18 +201,20 @@ def _candidates(n: int):
 
 
 def _windows_meet(table: pa.Table) -> pa.Table:
-    """For each chunk, the windows it holds with the earliest position of all chunks."""
+    """For each chunk, the earliest position of all chunks of the windows that it holds later or more than once."""
     parts = [_expand(x) for x in table.column("__data").to_pylist()]
     e = np.concatenate(parts)
     order = np.lexsort((e["pos"], e["doc"], e["g"], e["h"]))
     s = e[order]
     new = np.r_[True, (s["h"][1:] != s["h"][:-1]) | (s["g"][1:] != s["g"][:-1])]
-    first = s[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    e[order] = first
+    e[order] = s[np.flatnonzero(new)[np.cumsum(new) - 1]]
     out, k = [], 0
     for chunk, p in zip(table.column("__from").to_pylist(), parts):
-        out.append((chunk, _squeeze(e[k : k + len(p)])))
+        first = e[k : k + len(p)]
         k += len(p)
+        first = first[(p["many"] > 0) | (first["doc"] != p["doc"]) | (first["pos"] != p["pos"])]
+        if len(first):
+            out.append((chunk, _squeeze(first)))
     return _rows([c for c, _ in out], [0] * len(out), [d for _, d in out])
 
 
