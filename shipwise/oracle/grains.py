@@ -7,6 +7,7 @@ US_PER_DAY = "86400000000.0e0"
 #: One row an order with its durations in microseconds; a duration is NULL while one of its dates is missing.
 TRIPS = """trips AS (
     SELECT order_id, customer_id, order_status, order_estimated_delivery_date IS NOT NULL AS has_promise,
+           order_delivered_carrier_date IS NOT NULL AS has_carrier,
            date_diff('microsecond', order_estimated_delivery_date, order_delivered_customer_date) AS slip_us,
            date_diff('microsecond', order_purchase_timestamp, order_delivered_carrier_date) AS handover_us,
            date_diff('microsecond', order_delivered_carrier_date, order_delivered_customer_date) AS transit_us,

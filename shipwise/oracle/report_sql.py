@@ -4,53 +4,38 @@ from __future__ import annotations
 
 from ..operators import report as rp
 from .duck import q
-from .sql import AVG_DAYS, AVG_INT, CASE_LE, CW, DIV, PCT, PCT_WHEN, R, US, WHOLE_DAYS
-
-DEL, EST = "o.order_delivered_customer_date", "o.order_estimated_delivery_date"
-CAR, PUR = "o.order_delivered_carrier_date", "o.order_purchase_timestamp"
-ND = f"{DEL} IS NOT NULL AND {EST} IS NOT NULL"
-CAT = "COALESCE(ct.product_category_name_english, p.product_category_name)"
-ITEM_CAT = """m_order_items oi JOIN m_products p ON oi.product_id = p.product_id
-            LEFT JOIN m_category_translation ct ON p.product_category_name = ct.product_category_name"""
-
+from .grains import DISPATCHED, GOODS, ROUNDED_SLIP, TRIPS
+from .sql import AVG_DAYS, AVG_INT, CASE_LE, CW, DIV, PCT, PCT_WHEN, R
 
 def sqls() -> dict[str, str]:
-    dd = WHOLE_DAYS(DEL, EST)
     early_case = (f"CASE WHEN delay_days <= {rp.EARLY_CUTS[0]} THEN '{rp.EARLY_LABELS[0]}' "
                   f"WHEN delay_days <= {rp.EARLY_CUTS[1]} THEN '{rp.EARLY_LABELS[1]}' "
                   f"WHEN delay_days <= {rp.EARLY_CUTS[2]} THEN '{rp.EARLY_LABELS[2]}' "
                   f"WHEN delay_days <= {rp.EARLY_CUTS[3]} THEN '{rp.EARLY_LABELS[3]}' END")
-    lanes = f"""
-        SELECT s.seller_state, c.customer_state, count(*) AS n,
-               CAST(sum({US(DEL, CAR)}) AS BIGINT) AS t, {CW(f'{DEL} > {EST}')} AS l
-        FROM m_orders o JOIN m_customers c ON o.customer_id = c.customer_id
-        JOIN m_order_items oi ON o.order_id = oi.order_id
-        JOIN m_sellers s ON oi.seller_id = s.seller_id
-        WHERE {ND} AND {CAR} IS NOT NULL
-        GROUP BY s.seller_state, c.customer_state"""
-    disp_cat = f"""
-        SELECT {CAT} AS category, count(*) AS orders, {R(AVG_DAYS(US(CAR, PUR)), 2)} AS avg_dispatch_days
-        FROM m_orders o JOIN {ITEM_CAT}
-            ON o.order_id = oi.order_id
-        WHERE {CAR} IS NOT NULL GROUP BY 1 HAVING count(*) >= 50"""
-    disp_state = f"""
-        SELECT c.customer_state, count(*) AS orders, {R(AVG_DAYS(US(CAR, PUR)), 2)} AS avg_dispatch_days
-        FROM m_orders o JOIN m_customers c ON o.customer_id = c.customer_id
-        WHERE {CAR} IS NOT NULL GROUP BY 1 HAVING count(*) >= 50"""
+    lanes = f"""{TRIPS}, {DISPATCHED}, lanes AS (
+        SELECT from_state AS seller_state, customer_state, count(*) AS n, CAST(sum(transit_us) AS BIGINT) AS t,
+               count(*) FILTER (WHERE slip_us > 0) AS l
+        FROM dispatched JOIN trips USING (order_id) JOIN m_customers USING (customer_id)
+        WHERE slip_us IS NOT NULL AND transit_us IS NOT NULL GROUP BY seller_state, customer_state)"""
+    disp_cat, disp_state = (f"""
+        SELECT {key}, count(*) AS orders, {R(AVG_DAYS('handover_us'), 2)} AS avg_dispatch_days
+        FROM {rows} WHERE has_carrier GROUP BY {key} HAVING orders >= 50"""
+        for key, rows in (("category", "goods JOIN trips USING (order_id)"),
+                          ("customer_state", "m_customers JOIN trips USING (customer_id)")))
     return {
-        "r1_early_late_share": q(f"""
+        "r1_early_late_share": q(f"""WITH {TRIPS}
             SELECT count(*) AS orders, {PCT_WHEN('delay_days <= -1', 1)} AS early_pct,
                    {PCT_WHEN('delay_days > -1 AND delay_days <= 1', 1)} AS on_time_pct,
                    {PCT_WHEN('delay_days > 1', 1)} AS late_pct,
                    {R(AVG_INT('delay_days'), 1)} AS mean_delay_days
-            FROM (SELECT {dd} AS delay_days FROM m_orders o WHERE {ND})"""),
-        "r2_review_by_late_tail": q(f"""
+            FROM (SELECT {ROUNDED_SLIP} AS delay_days FROM trips WHERE slip_us IS NOT NULL)"""),
+        "r2_review_by_late_tail": q(f"""WITH {TRIPS}
             SELECT {CASE_LE('delay_days', rp.TAIL_CUTS, rp.TAIL_LABELS)} AS delay_bucket, count(*) AS reviews,
                    {R(AVG_INT('review_score'), 2)} AS avg_score,
                    {PCT_WHEN('review_score = 1', 1)} AS pct_1star,
                    {PCT_WHEN('review_score = 5', 1)} AS pct_5star
-            FROM (SELECT {dd} AS delay_days, r.review_score
-                  FROM m_orders o JOIN m_order_reviews r ON o.order_id = r.order_id WHERE {ND})
+            FROM (SELECT {ROUNDED_SLIP} AS delay_days, review_score
+                  FROM m_order_reviews JOIN trips USING (order_id) WHERE slip_us IS NOT NULL)
             GROUP BY 1 ORDER BY 1"""),
         "r3_review_coverage": q(f"""
             SELECT count(*) AS orders,
@@ -58,7 +43,7 @@ def sqls() -> dict[str, str]:
                      AS reviewed_orders,
                    {PCT('count(*) FILTER (WHERE EXISTS (SELECT 1 FROM m_order_reviews r WHERE r.order_id = o.order_id))', 'count(*)', 1)}
                      AS coverage_pct
-            FROM m_orders o WHERE {DEL} IS NOT NULL"""),
+            FROM m_orders o WHERE order_delivered_customer_date IS NOT NULL"""),
         "r4_comment_rate_by_score": q(f"""
             SELECT review_score, count(*) AS reviews, {CW('review_comment_message IS NOT NULL')} AS with_comment,
                    {PCT_WHEN('review_comment_message IS NOT NULL', 1)} AS comment_pct
@@ -88,10 +73,10 @@ def sqls() -> dict[str, str]:
             SELECT buyer_type, buyers, {PCT('buyers', '(SELECT sum(buyers) FROM g)', 1)} AS buyer_pct,
                    orders, reviews, avg_review
             FROM g ORDER BY buyer_type"""),
-        "r7_dispatch_days_by_category": q(disp_cat + " ORDER BY avg_dispatch_days DESC, category NULLS FIRST"),
-        "r8_dispatch_days_by_customer_state": q(disp_state + " ORDER BY avg_dispatch_days DESC, customer_state NULLS FIRST"),
+        "r7_dispatch_days_by_category": q(f"WITH {TRIPS}, {GOODS} {disp_cat} ORDER BY avg_dispatch_days DESC, category NULLS FIRST"),
+        "r8_dispatch_days_by_customer_state": q(f"WITH {TRIPS} {disp_state} ORDER BY avg_dispatch_days DESC, customer_state NULLS FIRST"),
         "r7_r8_dispatch_spread": q(f"""
-            WITH a AS ({disp_cat}), b AS ({disp_state})
+            WITH {TRIPS}, {GOODS}, a AS ({disp_cat}), b AS ({disp_state})
             SELECT 'category' AS grouping, count(*) AS groups, min(avg_dispatch_days) AS min_days,
                    max(avg_dispatch_days) AS max_days,
                    {R('max(avg_dispatch_days) - min(avg_dispatch_days)', 2)} AS spread_days FROM a
@@ -99,10 +84,9 @@ def sqls() -> dict[str, str]:
             SELECT 'customer_state', count(*), min(avg_dispatch_days), max(avg_dispatch_days),
                    {R('max(avg_dispatch_days) - min(avg_dispatch_days)', 2)} FROM b"""),
         "r9_slow_sellers_vs_category": q(f"""
-            WITH rows_ AS (
-              SELECT oi.seller_id, {CAT} AS category, {US(CAR, PUR)} AS us
-              FROM m_orders o JOIN {ITEM_CAT} ON o.order_id = oi.order_id
-              WHERE {CAR} IS NOT NULL),
+            WITH {TRIPS}, {GOODS},
+            rows_ AS (SELECT seller_id, category, handover_us AS us
+                      FROM goods JOIN trips USING (order_id) WHERE has_carrier),
             sc AS (SELECT seller_id, category, count(*) AS n, CAST(sum(us) AS BIGINT) AS s
                    FROM rows_ GROUP BY seller_id, category),
             cc AS (SELECT category, count(*) AS n, CAST(sum(us) AS BIGINT) AS s FROM rows_ GROUP BY category)
@@ -115,7 +99,7 @@ def sqls() -> dict[str, str]:
             WHERE sc.n >= 30
             ORDER BY excess_days DESC, orders DESC, seller_id, category NULLS FIRST LIMIT 10"""),
         "r10_lanes_from_origin": q(f"""
-            WITH lanes AS ({lanes}),
+            WITH {lanes},
             top AS (SELECT seller_state FROM lanes GROUP BY seller_state
                     ORDER BY sum(n) DESC, seller_state LIMIT 1)
             SELECT l.seller_state AS from_state, l.customer_state AS to_state, l.n AS orders,
@@ -124,34 +108,29 @@ def sqls() -> dict[str, str]:
             FROM lanes l JOIN top ON l.seller_state = top.seller_state
             ORDER BY avg_transit_days, to_state"""),
         "r11_late_by_destination_across_origins": q(f"""
-            WITH lanes AS ({lanes}),
+            WITH {lanes},
             p AS (SELECT customer_state, CAST(l AS DOUBLE) * 100.0e0 / CAST(n AS DOUBLE) AS p FROM lanes WHERE n >= 30)
             SELECT customer_state AS to_state, count(*) AS origins, {R('min(p)', 1)} AS min_late_pct,
                    {R('avg(p)', 1)} AS avg_late_pct, {R('max(p)', 1)} AS max_late_pct
             FROM p GROUP BY customer_state ORDER BY min_late_pct DESC, to_state"""),
-        "r12_early_breakdown": q(f"""
+        "r12_early_breakdown": q(f"""WITH {TRIPS}
             SELECT early_bucket, count(*) AS orders,
-                   {R(AVG_DAYS('s'), 1)} AS avg_seller_days, {R(AVG_DAYS('tr'), 1)} AS avg_transit_days,
-                   {R(AVG_DAYS('pr'), 1)} AS avg_promised_days, {R(AVG_DAYS('a'), 1)} AS avg_actual_days
-            FROM (SELECT {early_case} AS early_bucket, s, tr, pr, a FROM (
-                    SELECT {dd} AS delay_days, {US(CAR, PUR)} AS s, {US(DEL, CAR)} AS tr,
-                           {US(EST, PUR)} AS pr, {US(DEL, PUR)} AS a
-                    FROM m_orders o WHERE {ND} AND {CAR} IS NOT NULL))
+                   {R(AVG_DAYS('handover_us'), 1)} AS avg_seller_days, {R(AVG_DAYS('transit_us'), 1)} AS avg_transit_days,
+                   {R(AVG_DAYS('promise_us'), 1)} AS avg_promised_days, {R(AVG_DAYS('trip_us'), 1)} AS avg_actual_days
+            FROM (SELECT *, {early_case} AS early_bucket
+                  FROM (SELECT *, {ROUNDED_SLIP} AS delay_days FROM trips WHERE transit_us IS NOT NULL))
             WHERE early_bucket IS NOT NULL GROUP BY 1 ORDER BY 1"""),
-        "r13_over_promise_by_state": q(_over_sql("c.customer_state", "customer_state",
-                                                 "JOIN m_customers c ON o.customer_id = c.customer_id", dd)),
-        "r14_over_promise_by_category": q(_over_sql(CAT, "category", f"JOIN {ITEM_CAT} ON o.order_id = oi.order_id",
-                                                    dd)),
+        "r13_over_promise_by_state": q(_over_sql("customer_state", "m_customers JOIN trips USING (customer_id)")),
+        "r14_over_promise_by_category": q(_over_sql("category", "goods JOIN trips USING (order_id)")),
     }
 
 
-def _over_sql(key_expr: str, key: str, joins: str, dd: str) -> str:
-    pr = f"{DIV('CAST(sum(pr) AS BIGINT)', 'count(*)')} / 86400000000.0e0"
-    ac = f"{DIV('CAST(sum(a) AS BIGINT)', 'count(*)')} / 86400000000.0e0"
-    return f"""
+def _over_sql(key: str, rows: str) -> str:
+    pr = f"{DIV('CAST(sum(promise_us) AS BIGINT)', 'count(*)')} / 86400000000.0e0"
+    ac = f"{DIV('CAST(sum(trip_us) AS BIGINT)', 'count(*)')} / 86400000000.0e0"
+    return f"""WITH {TRIPS}, {GOODS}
         SELECT {key}, count(*) AS orders, {PCT_WHEN('delay_days <= -15', 1)} AS early_pct,
                {R(pr, 1)} AS avg_promised_days, {R(ac, 1)} AS avg_actual_days,
                {R(f'{pr} - {ac}', 1)} AS over_days
-        FROM (SELECT {key_expr} AS {key}, {dd} AS delay_days, {US(EST, PUR)} AS pr, {US(DEL, PUR)} AS a
-              FROM m_orders o {joins} WHERE {ND})
+        FROM (SELECT *, {ROUNDED_SLIP} AS delay_days FROM {rows} WHERE slip_us IS NOT NULL)
         GROUP BY {key} ORDER BY early_pct DESC, {key} NULLS FIRST"""
