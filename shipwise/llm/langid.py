@@ -1,10 +1,11 @@
 """Language identification by cross-parsing against suffix automata.
 
-Training: for every label value, up to SAMPLE_DOCS labelled documents of at
-most SAMPLE_DOC_CHARS characters (the smallest hashes of doc_id), of which the
-first SAMPLE_CHARS characters in all make the language's text; a suffix
-automaton of it recognises every substring. These bounds are parameters of
-``fit``; nothing else is bounded.
+Training: for every label value, up to SAMPLE_DOCS distinct texts of any length
+(the smallest hashes of the text) make the language's text of at most
+SAMPLE_CHARS characters: an equal piece of each, at a place that its hash
+chooses, where what short texts leave goes to the longer ones. A suffix
+automaton of it recognises every substring. Both bounds are parameters of
+``fit``.
 
 Prediction: a text is parsed greedily into the longest phrases that occur in
 the language's text. A language's cross-parsing entropy is phrases *
@@ -30,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import column_bytes, fresh_worker, row_slices, schema_of, small_batches
 
 SAMPLE_DOCS = 200
-SAMPLE_DOC_CHARS = 16_384
 SAMPLE_CHARS = 32_768
 LANE = 2048
 SLICE = 2 << 20
@@ -179,15 +180,37 @@ class Parser:
         return [self.langs[b] if s else "und" for b, s in zip(best, some)], score.clip(0, 1)
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Parser:
-    """Learns from text and lang of the documents that are not held out; at most ``sample_docs`` of each language reach the driver."""
-    usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.length("text").between(1, SAMPLE_DOC_CHARS) & F.col("doc_id").isNotNull())
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = [r.doc_id for r in usable.select("lang", "doc_id").withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample_docs).select("doc_id").distinct().collect()]
-    samples: dict[str, set] = {}
-    for r in usable.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").collect() if ids else []:
-        samples.setdefault(r.lang, set()).add((r.doc_id, r.text))
-    return Parser({k: [t for _, t in sorted(v)] for k, v in samples.items()})
+def shares(sizes: list[int], budget: int) -> list[int]:
+    """An equal share of the budget for each text; what short texts leave goes to the others."""
+    out = [0] * len(sizes)
+    for i, k in enumerate(sorted(range(len(sizes)), key=sizes.__getitem__)):
+        out[k] = min(sizes[k], budget // (len(sizes) - i))
+        budget -= out[k]
+    return out
+
+
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Parser:
+    """Learns from text and lang of the documents that are not held out; at most ``sample_chars`` characters of ``sample_docs`` distinct texts of each language reach the driver."""
+    text = F.col("text").cast("string")
+    usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length(text) > 0) & F.col("doc_id").isNotNull()).select("lang", text.alias("text"), F.xxhash64(text).alias("h"))
+    first = W.partitionBy("lang").orderBy("h")
+    sizes = usable.groupBy("lang", "h").agg(F.min(F.length("text")).alias("n")).withColumn("k", F.row_number().over(first))
+    chosen: dict[str, list] = {}
+    for r in sizes.where(F.col("k") <= min(sample_docs, (sample_chars + 1) // 2)).orderBy("lang", "k").collect():
+        chosen.setdefault(r.lang, []).append((r.h, r.n))
+    rows = []
+    for lang, texts in chosen.items():
+        own = shares([n for _, n in texts], sample_chars - len(texts) + 1)  # a line break between two
+        rows += [(lang, h, h % (n - m + 1) + 1, m) for (h, n), m in zip(texts, own)]
+    if not rows:
+        return Parser({})
+    schema = T.StructType([usable.schema["lang"], *T.StructType.fromDDL("h long, start int, m int").fields])
+    places = docs.sparkSession.createDataFrame(rows, schema)
+    pieces = usable.join(F.broadcast(places), ["lang", "h"]).select("lang", "h", F.col("text").substr(F.col("start"), F.col("m")).alias("piece"))
+    samples: dict[str, list] = {}
+    for r in pieces.groupBy("lang", "h").agg(F.min("piece").alias("piece")).orderBy("lang", "h").collect():
+        samples.setdefault(r.lang, []).append(r.piece)
+    return Parser(samples, sample_chars)
 
 
 def _predict(parser, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -280,6 +280,25 @@ def test_language_id(spark, odd, empty, real):
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
 
 
+def test_language_sample_spans_all_distinct_texts(spark):
+    rng = np.random.default_rng(8)
+    vocab = [["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)] for _ in range(4)]
+
+    def text(v, n):
+        return " ".join(rng.choice(vocab[v], n))
+    # lang a: most rows, and the smallest ids, are copies of one passage; lang c: only long texts
+    copied = text(0, 300)
+    rows = [(copied, "a")] * 60 + [(text(1, 300), "a") for _ in range(15)] + [(text(2, 300), "b") for _ in range(15)] + [(text(3, 5000), "c") for _ in range(6)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    parser = langid.fit(docs)
+    assert parser.langs == ["a", "b", "c"]
+    pred, score = parser.predict([text(v, 100) for v in (0, 1, 2, 3)])
+    assert pred == ["a", "a", "b", "c"] and score.min() > 0.3
+    few = langid.fit(docs, sample_docs=2, sample_chars=100)
+    assert few.langs == ["a", "b", "c"] and 2 ** max(few.bits) <= 100
+    assert langid.shares([5, 100, 1, 50], 56) == [5, 25, 1, 25]
+
+
 def test_cross_parsing_counts_phrases():
     parser = langid.Parser({"a": ["abcabd"], "b": ["xyz"]})
     h = parser.entropies(["abcabdab", "xyxz", "q"])
