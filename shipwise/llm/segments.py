@@ -2,20 +2,23 @@
 
 Where a tokenizer never joins characters across a segment border, the encoding
 of a text is the concatenation of its segments' encodings; repeated segments
-then cost one look-up in a hash table of NumPy arrays. The table is emptied
-when it holds LIMIT segments, so its memory is bounded.
+then cost one look-up in a hash table of NumPy arrays. The segments are walked
+in runs of at most RUN, and the table is emptied before a run when it holds
+more than LIMIT or might not hold the run, so its memory is bounded whatever
+the length of a text.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
 from .text import SEPARATOR, U, WordHasher, mix
 
 LIMIT = 600_000
+RUN = 1 << 17
 _BITS = 21
 
 
@@ -30,7 +33,7 @@ def worker_cache(key, make: Callable[[], object]):
 class HashTable:
     """Open-addressing map from non-zero 64-bit keys to small integers, read and written array-wise."""
 
-    def __init__(self, bits: int = _BITS):
+    def __init__(self, bits: int):
         self.bits = bits
         self.keys, self.rows = np.zeros(1 << bits, U), np.zeros(1 << bits, np.int32)
 
@@ -65,16 +68,24 @@ class HashTable:
 class SegmentTable:
     """Distinct segments with the values that ``encode(segments, kinds)`` gives for each: their numbers of values, and all values."""
 
-    def __init__(self, encode: Callable[[list[str], np.ndarray], tuple[np.ndarray, np.ndarray]], limit: int = LIMIT):
-        self.encode, self.limit, self.hasher, self.table = encode, limit, WordHasher(), HashTable()
+    def __init__(self, encode: Callable[[list[str], np.ndarray], tuple[np.ndarray, np.ndarray]]):
+        self.encode, self.hasher, self.table = encode, WordHasher(), HashTable(_BITS)
+        self.room = 1 << (_BITS - 1)
+        self.limit, self.run = min(LIMIT, self.room), min(RUN, self.room)
         self.clear()
 
     def clear(self) -> None:
         self.table.clear()
         self.size, self.start, self.flat = 0, np.zeros(1, np.int64), np.zeros(0, np.int32)
 
-    def rows(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        if self.size > self.limit:
+    def runs(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows of the segments, run by run; each run's hold until the next is asked for."""
+        for i in range(0, len(starts), self.run):
+            a, b = starts[i : i + self.run], ends[i : i + self.run]
+            yield self._rows(buf[a[0] : b[-1]], a - a[0], b - a[0], kinds[i : i + self.run])
+
+    def _rows(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        if self.size > self.limit or self.size + len(starts) > self.room:
             self.clear()
         h = mix(self.hasher.hash(buf, starts, ends) + kinds.astype(U) * U(0x9E3779B97F4A7C15)) | U(1)
         rows = self.table.find(h)
@@ -84,8 +95,6 @@ class SegmentTable:
             at = miss[first]
             data = buf.tobytes()
             sizes, values = self.encode([data[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())], kinds[at])
-            if self.size + len(new) > 1 << (_BITS - 1):
-                raise MemoryError("too many distinct segments in one slice of text")
             self.table.add(new, np.arange(self.size, self.size + len(new)))
             self.size += len(new)
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
@@ -93,14 +102,20 @@ class SegmentTable:
             rows[miss] = self.table.find(h[miss])
         return rows
 
+    def values(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All values of the segments one after another, and the bounds of the segments in them."""
+        flat, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for rows in self.runs(buf, starts, ends, kinds):
+            sizes = self.start[rows + 1] - self.start[rows]
+            last = np.cumsum(sizes)
+            flat.append(self.flat[np.arange(last[-1]) + np.repeat(self.start[rows] - (last - sizes), sizes)])
+            counts.append(sizes)
+        return np.concatenate(flat), np.cumsum(np.concatenate(counts))
+
     def join(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All values of the texts one after another, and the bounds of the texts in them; counts: segments per text."""
-        rows = self.rows(buf, starts, ends, kinds)
-        sizes = self.start[rows + 1] - self.start[rows]
-        last = np.cumsum(sizes)
-        total = int(last[-1]) if len(last) else 0
-        at = np.arange(total) + np.repeat(self.start[rows] - (last - sizes), sizes)
-        return self.flat[at], np.concatenate([[0], last])[np.concatenate([[0], np.cumsum(counts)])]
+        flat, bounds = self.values(buf, starts, ends, kinds)
+        return flat, bounds[np.concatenate([[0], np.cumsum(counts)])]
 
 
 _OTHER, _LETTER, _DIGIT, _SYMBOL, _UNSURE = range(5)

@@ -173,13 +173,11 @@ class Encoder:
             counts = (np.diff(bounds) > 0).astype(np.int64)
             starts, ends = bounds[:-1][counts > 0], bounds[1:][counts > 0]
             kinds = np.full(len(starts), TEXT)
-        rows = self.table.rows(buf, starts, ends, kinds)
-        first, sizes = self.table.start[rows] + 1, self.table.start[rows + 1] - self.table.start[rows] - 1
-        agree = np.r_[0, np.cumsum(self.table.flat[first - 1])]
-        last = np.r_[0, np.cumsum(sizes)]
+        values, bounds = self.table.values(buf, starts, ends, kinds)
+        agree = np.r_[0, np.cumsum(values[bounds[:-1]])]
         at = np.r_[0, np.cumsum(counts)]
-        ids = self.table.flat[np.arange(last[-1]) + np.repeat(first - last[:-1], sizes)]
-        return ids, last[at], np.diff(agree[at]) == counts
+        ids = np.delete(values, bounds[:-1])
+        return ids, (bounds - np.arange(len(bounds)))[at], np.diff(agree[at]) == counts
 
 
 class Decoder:

@@ -90,7 +90,7 @@ class Counter:
             counts = (np.diff(bounds) > 0).astype(np.int64)
             starts, ends = bounds[:-1][counts > 0], bounds[1:][counts > 0]
             kinds = np.full(len(starts), FIRST)
-        n = self.table.flat[rows] if len(rows := self.table.rows(buf, starts, ends, kinds)) else np.zeros(0, np.int32)
+        n, _ = self.table.values(buf, starts, ends, kinds)
         return np.diff(np.r_[0, np.cumsum(n, dtype=np.int64)][np.r_[0, np.cumsum(counts)]])
 
 

@@ -192,6 +192,39 @@ def test_plain_words_encode_like_the_whole_text():
         assert ids[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_texts_of_more_distinct_segments_than_the_table_holds(monkeypatch):
+    import pyarrow as pa
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from shipwise.llm import segments
+    from shipwise.llm.text import column_bytes
+    monkeypatch.setattr(segments, "_BITS", 8)
+    monkeypatch.setattr(segments, "LIMIT", 60)
+    rng = np.random.default_rng(4)
+    vocab = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(2000)]
+    texts = ["short one", " ".join(vocab + vocab[::-1]), "", "short one", " ".join(vocab[:100]) + " Don't", " ".join(vocab[50:300])]
+    buf, bounds = column_bytes(pa.array(texts))
+
+    spec = open(public_tokenizers.path(WORD_BPE), encoding="utf-8").read()
+    tokenizer = Tokenizer.from_str(spec)
+    ids, at = token_file.encoder(spec).join(*segments.pattern_segments(buf, bounds))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+    model = piece_model()
+    theirs = sentencepiece.SentencePieceProcessor(model_proto=model)
+    ids, at, parity = sentencepiece_codec.Encoder(model)(buf, bounds)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [theirs.encode(t) for t in texts] and parity.all()
+
+    unigram = sentencepiece_codec.Model.parse(model)
+    unigram.kind = sentencepiece_codec.UNIGRAM
+    tokenizer = unigram.tokenizer()
+    counter = token_count.Counter(sentencepiece_codec.Model.parse(model))
+    assert counter(buf, bounds).tolist() == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    empty = column_bytes(pa.array(["", None]))
+    assert counter(*empty).tolist() == [0, 0] and len(sentencepiece_codec.Encoder(model)(*empty)[0]) == 0
+
+
 @pytest.mark.parametrize("sizes", [[1], [0, 0, 0], [5, 0, 1000, 3], [1 << 20], list(range(300)), [1] * 1000])
 def test_boundaries_select(sizes):
     values = np.cumsum(sizes)
