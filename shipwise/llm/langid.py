@@ -10,7 +10,9 @@ automaton of it recognises every substring. Both bounds are parameters of
 Prediction: a text is parsed greedily into the longest phrases that occur in
 the language's text. A language's cross-parsing entropy is phrases *
 log2(training length) / characters; the least wins, ties to the smaller label.
-Letters are folded to lower case, runs of anything else are one separator. All
+Letters are folded to lower case, runs of anything else are one separator. Every
+letter of the samples is a symbol of its own: the 62 most frequent have dense
+transitions, the others sorted ones; a letter of no sample matches nothing. All
 characters of a text are parsed; it is cut into lanes of LANE characters (a
 phrase ends there), which step through the automata together as NumPy rows.
 
@@ -39,7 +41,7 @@ SAMPLE_DOCS = 200
 SAMPLE_CHARS = 32_768
 LANE = 2048
 SLICE = 2 << 20
-_CLASSES = 64  # separator, 62 letters, any other letter
+_CLASSES = 64  # with dense transitions: separator, 62 letters, letters of no sample; rarer letters follow
 _MISS = 1 << 30
 
 
@@ -59,17 +61,15 @@ def code_points(texts: list[str]) -> np.ndarray:
 def class_table(sample: str, letter: np.ndarray) -> np.ndarray:
     """Class of every code point, upper and lower case alike."""
     seen, n = np.unique(code_points([sample.lower()]), return_counts=True)
-    n = n * letter[seen]
-    common = seen[np.lexsort((seen, -n))][: _CLASSES - 2]
-    out = np.where(letter, _CLASSES - 1, 0).astype(np.uint8)
-    for k, c in enumerate(common):
-        if letter[c]:
-            out[c] = k + 1
+    seen, n = seen[letter[seen]], n[letter[seen]]
+    out = np.where(letter, _CLASSES - 1, 0)
+    rank = np.arange(1, len(seen) + 1)
+    out[seen[np.lexsort((seen, -n))]] = rank + (rank >= _CLASSES - 1)
     for c in np.flatnonzero(letter):
         low = chr(c).lower()
         if len(low) == 1 and ord(low) != c:
             out[c] = out[ord(low)]
-    return out
+    return out.astype(np.min_scalar_type(out.max()))
 
 
 def folded(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +83,8 @@ def folded(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return cls[keep], at[bounds]
 
 
-def automaton(cls: np.ndarray) -> np.ndarray:
-    """Transitions (states x classes) of the suffix automaton; -1 where there is none."""
+def automaton(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions of the suffix automaton: (states x dense classes), -1 where there is none, and rows of state, class and next state for the rarer letters."""
     go, link, length, last = [{}], [-1], [0], 0
     for c in cls.tolist():
         cur = len(go)
@@ -110,10 +110,12 @@ def automaton(cls: np.ndarray) -> np.ndarray:
                     p = link[p]
         last = cur
     out = np.full((len(go), _CLASSES), -1, np.int32)
+    rare = []
     for s, edges in enumerate(go):
-        if edges:
-            out[s, list(edges)] = list(edges.values())
-    return out
+        dense = [c for c in edges if c < _CLASSES]
+        out[s, dense] = [edges[c] for c in dense]
+        rare += [(s, c, t) for c, t in edges.items() if c >= _CLASSES]
+    return out, np.array(rare, np.int64).reshape(-1, 3)
 
 
 class Parser:
@@ -124,19 +126,33 @@ class Parser:
         self.langs = sorted(samples)
         texts = {k: "\n".join(v)[:sample_chars] for k, v in samples.items()}
         self.table = class_table("".join(texts.values()), self.letter)
-        parts, self.roots, self.bits, base = [], [], [], 0
+        self.size = int(self.table.max()) + 1
+        parts, keys, values, self.roots, self.bits, base = [], [], [], [], [], 0
         for k in self.langs:
             cls, _ = folded([texts[k]], self.table)
-            own = automaton(cls)
+            own, rare = automaton(cls)
             # one entry holds the next state's row; a miss restarts at the root and is flagged
             again = np.where(own[0] >= 0, own[0], 0) * _CLASSES + base + _MISS
             parts.append(np.where(own >= 0, own * _CLASSES + base, again[None, :]).astype(np.int32).ravel())
+            keys.append((rare[:, 0] * _CLASSES + base) * self.size + rare[:, 1])
+            values.append(rare[:, 2] * _CLASSES + base)
             self.roots.append(base)
             self.bits.append(np.log2(max(2, len(cls))))
             base += own.size
         if base >= _MISS:
             raise ValueError("too many languages for this sample size")
         self.go = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.keys, self.values = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, values))
+        order = np.argsort(self.keys)
+        self.keys, self.values = self.keys[order], self.values[order]
+
+    def _rare(self, state: np.ndarray, cls: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+        """Next entries for letters without dense transitions; ``nxt`` where not even the root has one."""
+        for own, flag in ((np.array(self.roots, np.int64)[:, None], _MISS), (state, 0)):
+            want = own * self.size + cls
+            at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+            nxt = np.where(self.keys[at] == want, self.values[at] + flag, nxt)
+        return nxt
 
     def entropies(self, texts: list[str]) -> np.ndarray:
         """(texts x languages); inf for an empty text."""
@@ -151,10 +167,16 @@ class Parser:
         state = np.repeat(np.array(self.roots, np.int64)[:, None], len(doc), axis=1)
         phrases = np.ones((len(self.langs), len(doc)), np.int64)
         cls = cls.astype(np.int64)
+        dense = np.minimum(cls, _CLASSES - 1)
+        rare = bool((cls >= _CLASSES).any())
         active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
         for p, n in enumerate(active.tolist()):
-            at = state[:, :n] + cls[start[:n] + p]
+            at = state[:, :n] + dense[start[:n] + p]
             nxt = self.go.take(at)
+            if rare:
+                c = cls[start[:n] + p]
+                few = np.flatnonzero(c >= _CLASSES)
+                nxt[:, few] = self._rare(state[:, few], c[few], nxt[:, few])
             if p:  # a lane's first character opens its first phrase, known or not
                 phrases[:, :n] += nxt >> 30
             np.bitwise_and(nxt, _MISS - 1, out=state[:, :n], casting="unsafe")

@@ -342,6 +342,27 @@ def test_cross_parsing_counts_phrases():
     assert abs(cut[0, 0] / (train[0] / 3) - 1) < 0.01
 
 
+def test_cross_parsing_tells_all_letters_apart():
+    rng = np.random.default_rng(6)
+    letters = [chr(0x4E00 + k) for k in range(200)] + list("abcdefghij")
+    words = {k: ["".join(rng.choice(letters, 3)) for _ in range(150)] for k in ("x", "y")}
+    train = {k: "".join(rng.choice(w, 900)) + "".join(letters) for k, w in words.items()}
+    parser = langid.Parser({k: [t] for k, t in train.items()})
+    texts = ["".join(rng.choice(words[k], 40)) for k in "xyxy"]
+
+    def phrases(text, sample):
+        n = at = 0
+        while at < len(text):
+            size = 1
+            while at + size < len(text) and text[at : at + size + 1] in sample:
+                size += 1
+            n, at = n + 1, at + size
+        return n
+    expected = [[phrases(t, train[k]) * np.log2(len(train[k])) / len(t) for k in "xy"] for t in texts]
+    assert np.allclose(parser.entropies(texts), expected)
+    assert parser.predict(texts)[0] == list("xyxy")
+
+
 def test_sentencepiece(odd, empty):
     import sentencepiece
     model = piece_model()
