@@ -35,12 +35,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one of smallest doc_id; of rows that repeat a doc_id, one of smallest text. Rows without a doc_id stay."""
+    """One row of each class of near duplicates stays, the one of smallest doc_id. Texts that share a doc_id are classed each on their own; of rows equal in doc_id and text, one stays. Rows without a doc_id stay."""
     ensure_checkpoint_dir(spark)
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    rows = docs.select("doc_id", _row(docs))
-    one = rows.where("doc_id is not null").join(gone, "doc_id", "left_anti").groupBy("doc_id").agg(F.min_by("__row", F.coalesce(F.col("__row.text").cast("string"), F.lit(""))).alias("__row"))
-    return one.unionByName(rows.where("doc_id is null")).select("__row.*")
+    text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    names = docs.where("doc_id is not null").select(doc_id.alias("doc"), F.xxhash64(text).alias("h"))
+    several = names.groupBy("doc").agg(F.min("h").alias("h"), F.max("h").alias("last")).where("h <> last").select("doc").checkpoint()
+    rows = docs.select(doc_id.alias("doc"), text.alias("text"), _row(docs))
+    if several.isEmpty():
+        found = near_duplicates(rows.select(F.col("doc").alias("doc_id"), "text"))
+        gone = found.where("not kept").select(F.col("doc_id").alias("id")).distinct()
+        rows = rows.withColumn("id", F.col("doc"))
+    else:
+        # a text of a doc_id with several goes by a hash of both
+        rows = rows.join(several.withColumn("many", F.lit(True)), "doc", "left").withColumn("id", F.when(F.col("many"), F.xxhash64("doc", "text")).otherwise(F.col("doc")))
+        found = near_duplicates(rows.select(F.col("id").alias("doc_id"), "text")).where("doc_id is not null").select(F.col("doc_id").alias("id"), "class_id").distinct()
+        first = found.join(rows.select("id", "doc").distinct(), "id").groupBy("class_id").agg(F.min(F.struct("doc", "id")).getField("id").alias("first"))
+        gone = found.join(first, "class_id").where("id <> first").select("id")
+    one = rows.where("doc is not null").join(gone, "id", "left_anti").groupBy("id").agg(F.min_by("__row", "text").alias("__row"))
+    return one.select("__row").unionByName(rows.where("doc is null").select("__row")).select("__row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,14 @@ def test_each_stage_acts(spark):
     assert 2 not in out and out[13].text == "tail" and out[13].n_chars == 4
     assert len(brute_substrings([(r[0], r[1]) for r in odd_rows()])) == len(odd_rows())
     assert np.isin([5, 6, 9], list(out)).all()
+
+
+def test_near_dedup_keeps_every_text_of_a_repeated_doc_id(spark):
+    rng = np.random.default_rng(9)
+    a, b, c, d = (" ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (1, b), (2, b), (3, c), (4, d), (4, d), (5, c), (5, a), (5, ""), (5, None), (0, d), (None, c)]
+    docs = spark.createDataFrame([(i, t, "l", "s", None, 1, 0.5, "r") for i, t in rows], DOCS)
+    out = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text or "") for r in out.collect()), key=str)
+    assert got == sorted([(0, d), (1, a), (1, b), (3, c), (5, ""), (None, c)], key=str)
