@@ -24,6 +24,7 @@ without labelled documents of both kinds all scores are the share of label 1
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import held_out
-from .segments import pattern_segments
+from .segments import WHOLE, pattern_segments
 from .text import U, WordHasher, column_bytes, fresh_worker, mix, row_slices, schema_of, small_batches
 
 SAMPLE = 30_000
@@ -51,6 +52,8 @@ IDENTITY = (
     ("disabled", "blind", "deaf", "autistic"),
 )
 
+_PARTS = re.compile(r"[^\W\d_]+|\d|[\W_]+")
+
 
 class Features:
     """Hashed features of texts."""
@@ -59,9 +62,24 @@ class Features:
         self.hasher = WordHasher()
 
     def __call__(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text number, feature), sorted by text; also of repeated words."""
-        buf, starts, ends, _, counts = pattern_segments(buf, bounds)
+        """(text number, feature); also of repeated words."""
+        buf, starts, ends, kinds, counts = pattern_segments(buf, bounds)
         text = np.repeat(np.arange(len(counts)), counts)
+        whole = np.flatnonzero(kinds == WHOLE)
+        if not len(whole):
+            return self._hashed(buf, starts, ends, text)
+        # words that op2 leaves as they are: folded and cut here
+        part, owner = kinds != WHOLE, []
+        cut = []
+        for a, b, t in zip(starts[whole].tolist(), ends[whole].tolist(), text[whole].tolist()):
+            parts = _PARTS.findall(buf[a:b].tobytes().decode("utf-8", "replace").lower())
+            cut += parts
+            owner += [t] * len(parts)
+        more, at = column_bytes(pa.array(cut, pa.string()))
+        x, y = self._hashed(buf, starts[part], ends[part], text[part]), self._hashed(more, at[:-1], at[1:], np.array(owner, np.int64))
+        return np.concatenate([x[0], y[0]]), np.concatenate([x[1], y[1]])
+
+    def _hashed(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         long = ends - starts > PREFIX
         h = self.hasher.hash(buf, starts, ends)
         p = mix(self.hasher.hash(buf, starts[long], starts[long] + PREFIX))

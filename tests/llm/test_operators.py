@@ -389,6 +389,15 @@ def test_sentencepiece_odd_spaces_and_unigram(spark):
         assert r.n_tokens == len(tokenizer.encode(r.text, add_special_tokens=False).ids), r.text
 
 
+def test_toxicity_features_of_words_beside_quotes():
+    features = toxicity.Features()
+    plain = set(features.of_words(["idiots"])[0].tolist())
+    for w in ("“Idiots”", "idiots’", "Idiots…", "—idiots—", "idiots's", "<IDIOTS>", "ИДИОТ idiots"):
+        assert plain <= set(features.of_words([w])[0].tolist()), w
+    one, other = features.of_words(["“Идиот”", "идиот"])
+    assert set(other.tolist()) <= set(one.tolist())
+
+
 def test_token_counts(odd, empty):
     model = sentencepiece_codec.Model.parse(piece_model())
     model.kind = sentencepiece_codec.UNIGRAM
