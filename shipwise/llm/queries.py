@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import ann, embed_dedup, langid, mixing, sentencepiece_codec, token_count, token_file, toxicity
+from . import ann, embed_dedup, hard_negatives, langid, mixing, sentencepiece_codec, token_count, token_file, toxicity
 from .minhash import near_duplicates
 from .substring import dedup_substrings
 
@@ -86,11 +86,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return (hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+            .select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"))
+
+
 def queries() -> dict[str, Query]:
     found = (op1_minhash_near_dedup, op2_token_files, op3_embedding_near_dedup, op4_language_id, op5_substring_dedup,
-             op6_sentencepiece_codec, op7_toxicity, op8_nearest_neighbours, op9_source_mixing, op10_token_counts)
+             op6_sentencepiece_codec, op7_toxicity, op8_nearest_neighbours, op9_source_mixing, op10_token_counts,
+             op11_hard_negatives)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": mixing.ORACLE_SQL}
+    return {"op9_source_mixing": mixing.ORACLE_SQL, "op11_hard_negatives": hard_negatives.ORACLE_SQL}
