@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import ann, embed_dedup, hard_negatives, langid, mixing, sentencepiece_codec, token_count, token_file, toxicity
+from . import ann, collocations, embed_dedup, hard_negatives, langid, lm_score, mixing, sentencepiece_codec, token_count, token_file, toxicity
 from .minhash import near_duplicates
 from .substring import dedup_substrings
 
@@ -93,12 +93,24 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"))
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, by the model and by word counts."""
+    held = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 2, F.lit(False))
+    return lm_score.score_texts(_table(spark, sf_dir, "documents"), ~held).withColumn("held_out", held)
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 collocations."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = (op1_minhash_near_dedup, op2_token_files, op3_embedding_near_dedup, op4_language_id, op5_substring_dedup,
              op6_sentencepiece_codec, op7_toxicity, op8_nearest_neighbours, op9_source_mixing, op10_token_counts,
-             op11_hard_negatives)
+             op11_hard_negatives, op12_lm_scores, op13_phrase_collocations)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": mixing.ORACLE_SQL, "op11_hard_negatives": hard_negatives.ORACLE_SQL}
+    return {"op9_source_mixing": mixing.ORACLE_SQL, "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+            "op13_phrase_collocations": collocations.ORACLE_SQL}
