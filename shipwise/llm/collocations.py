@@ -3,10 +3,11 @@
 Texts are lower-cased (A to Z only), cut into pieces at ``[.,;:!?\\x0A-\\x0D]``
 and into words ``[^\\x20\\x09]+``. Everything is counted per language.
 
-1. Chunks of text are numbered by their own vocabularies; one row a distinct
-   word of a chunk gives the word counts of the corpus. Words in at least
-   ``least`` places are ranked by frequency within their language; the ranks go
-   back to the chunks, so a chunk is now a sequence of ranks.
+1. Chunks of text are numbered by their own vocabularies; the chunks' distinct
+   words meet by hash range (``chunks``) and give the word counts of the corpus.
+   Words in at least ``least`` places are ranked by frequency within their
+   language; the ranks go back to the chunks, so a chunk is now a sequence of
+   ranks.
 2. Pairs of neighbouring symbols are counted by tile: TILE x TILE ranks. Within
    a chunk a tile with many pairs is counted by ``bincount`` on its cells, the
    others as sorted (cell, count) lists. Rows of one tile are merged, first by
@@ -36,14 +37,15 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ranking import rank_rows
 from ..session import ensure_checkpoint_dir
-from .chunks import CHUNK_BYTES, expand, lowered, numbered, squeeze, task_number
-from .text import column_bytes, fresh_worker, small_batches
+from .chunks import CHUNK_BYTES, VOCABULARY, by_language, dealt, expand, lowered, numbered, returned, squeeze, task_number, vocabulary
+from .text import U, WordHasher, column_bytes, fresh_worker, small_batches
 
 LEAST = 100
 LONGEST = 5
@@ -61,7 +63,7 @@ _PIECE[[*b".,;:!?", 10, 11, 12, 13]] = True
 _GAP = _PIECE.copy()
 _GAP[[32, 9]] = True
 
-_CHUNKS = "chunk long, lang string, n long, seq binary, words array<string>, counts array<long>"
+_CHUNKS = f"chunk long, lang string, n long, seq binary, {VOCABULARY}"
 _CELLS = "tile long, part int, chunk long, codes binary, counts binary"
 
 
@@ -81,7 +83,7 @@ def _runs(data: np.ndarray) -> Iterator[np.ndarray]:
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fresh_worker()
-    number, held, size = task_number(), {}, {}
+    number, held, size, hasher = task_number(), {}, {}, WordHasher()
 
     def chunk(lang: str) -> pa.RecordBatch | None:
         nonlocal number
@@ -99,9 +101,8 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq[np.arange(len(ids)) + np.cumsum(cut)] = ids
         number += 1
         return pa.RecordBatch.from_arrays(
-            [pa.array([number - 1]), pa.array([lang]), pa.array([len(ids)]), pa.array([squeeze(seq)], pa.binary()),
-             pa.array([words.cast(pa.large_string()).cast(pa.string())], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))],
-            ["chunk", "lang", "n", "seq", "words", "counts"])
+            [pa.array([number - 1]), pa.array([lang]), pa.array([len(ids)]), pa.array([squeeze(seq)], pa.binary()), *vocabulary(words, counts, hasher)],
+            [c.split()[0] for c in _CHUNKS.split(", ")])
 
     def flushed(least: int):
         for lang in [x for x, n in size.items() if n >= least]:
@@ -208,6 +209,7 @@ def _merge(least: int):
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a cell: a, b, f."""
+    fresh_worker()
     for batch in batches:
         for tile, codes, counts in zip(batch.column(0).to_pylist(), batch.column(3), batch.column(4)):
             c, f = expand(codes.as_py(), np.int32).astype(np.int64), expand(counts.as_py(), np.int64)
@@ -217,6 +219,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _table(table: pa.Table) -> pa.Table:
     """The symbols of one tile as one row; they take the place of counts."""
+    fresh_worker()
     code, symbol = table.column("code").to_numpy(), table.column("id").to_numpy()
     order = np.argsort(code)
     return pa.table({"tile": table.column("tile").slice(0, 1), "codes": pa.array([squeeze(code[order].astype(np.int32))], pa.binary()), "counts": pa.array([squeeze(symbol[order])], pa.binary())})
@@ -241,19 +244,52 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["chunk", "tile", "codes", "symbols"])
 
 
-def _ranked_words(chunk: pa.Table, ranks: pa.Table) -> pa.Table:
-    """A chunk's own word numbers become ranks; -1 for rarer words and between pieces."""
-    if not chunk.num_rows:
-        return pa.table({"chunk": pa.array([], pa.int64()), "seq": pa.array([], pa.binary())})
-    seq = expand(chunk.column("seq")[0].as_py(), np.int32)
-    own = np.full(int(seq.max(initial=-1)) + 2, -1, np.int64)
-    own[ranks.column("pos").to_numpy()] = ranks.column("id").to_numpy()
-    own[-1] = -1
-    return pa.table({"chunk": chunk.column("chunk").slice(0, 1), "seq": pa.array([squeeze(own[seq])], pa.binary())})
+def _frequent(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The words of one range in at least ``least`` places: range, lang, word, f."""
+        fresh_worker()
+        langs, words, totals = [], [], []
+        for lang, _, _, held, counts in by_language(table):
+            coded = held.dictionary_encode()
+            f = np.bincount(np.asarray(coded.indices), counts, len(coded.dictionary)).astype(np.int64)
+            often = np.flatnonzero(f >= least)
+            langs += [lang] * len(often)
+            words.append(coded.dictionary.take(pa.array(often)).cast(pa.large_string()).cast(pa.string()))
+            totals.append(f[often])
+        return pa.table({"range": pa.array([table.column("range")[0].as_py()] * len(langs), pa.int64()), "lang": pa.array(langs, pa.string()),
+                         "word": pa.concat_arrays(words), "f": pa.array(np.concatenate(totals))})
+    return run
+
+
+def _ids(table: pa.Table, symbols: pa.Table) -> pa.Table:
+    """For each chunk of one range, the ranks of its words, -1 for rarer ones: chunk, range, values."""
+    fresh_worker()
+    chunk, values = [], []
+    for lang, rows, sizes, words, _ in by_language(table) if table.num_rows else ():
+        own = symbols.filter(pc.equal(symbols.column("lang"), lang))
+        known = own.column("word").combine_chunks().cast(pa.large_string()).cast(pa.large_binary())
+        rank = np.r_[own.column("id").to_numpy(), -1].astype(np.int64)
+        at = pc.index_in(words, known).fill_null(len(known)).to_numpy(zero_copy_only=False) if len(known) else np.zeros(len(words), np.int64)
+        cut = np.r_[0, np.cumsum(sizes)]
+        chunk += rows.column("chunk").to_pylist()
+        values += [squeeze(rank[at[a:b]]) for a, b in zip(cut, cut[1:])]
+    number = table.column("range")[0].as_py() if table.num_rows else 0
+    return pa.table({"chunk": pa.array(chunk, pa.int64()), "range": pa.array([number] * len(chunk), pa.int64()), "values": pa.array(values, pa.binary())})
+
+
+def _ranked_words(n: int):
+    def run(chunk: pa.Table, ranks: pa.Table) -> pa.Table:
+        """A chunk's own word numbers become ranks; -1 for rarer words and between pieces."""
+        fresh_worker()
+        seq = expand(chunk.column("seq")[0].as_py(), np.int32)
+        own = np.r_[returned(ranks, expand(chunk.column("hashes")[0].as_py(), U), n), -1]
+        return pa.table({"chunk": chunk.column("chunk").slice(0, 1), "seq": pa.array([squeeze(own[seq])], pa.binary())})
+    return run
 
 
 def _ranked_pairs(chunk: pa.Table, symbols: pa.Table) -> pa.Table:
     """A chunk's pairs become symbols, each in the place of its first half; -1 for rarer pairs. A chunk without any goes."""
+    fresh_worker()
     if not chunk.num_rows or not symbols.num_rows:
         return pa.table({"chunk": pa.array([], pa.int64()), "seq": pa.array([], pa.binary())})
     seq = expand(chunk.column("seq")[0].as_py(), np.int64)
@@ -286,14 +322,17 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, f
     flat.mapInArrow(_encode, _CHUNKS).write.parquet(f"{folder}/chunks")
     chunks = spark.read.parquet(f"{folder}/chunks")
     total = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = (chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w"))
-             .select("chunk", "lang", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("count")))
-    often = words.groupBy("lang", "word").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+    words, n = dealt(chunks)
+    words.write.parquet(f"{folder}/words")
+    words = spark.read.parquet(f"{folder}/words")
+    often = words.groupBy("range").applyInArrow(_frequent(least), "range long, lang string, word string, f long")
     symbols = rank_rows(often, ["lang", F.col("f").desc(), "word"], "id")
     phrases = symbols.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f")
     levels = [phrases.withColumn("size", F.lit(1))]
-    ranks = words.join(symbols.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "pos", "id")
-    seqs = spark.read.parquet(f"{folder}/chunks").select("chunk", "seq").groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(_ranked_words, "chunk long, seq binary")
+    ranks = (spark.read.parquet(f"{folder}/words").groupBy("range").cogroup(symbols.select("range", "lang", "word", "id").groupBy("range"))
+             .applyInArrow(_ids, "chunk long, range long, values binary"))
+    seqs = (spark.read.parquet(f"{folder}/chunks").select("chunk", "seq", "hashes").groupBy("chunk").cogroup(ranks.groupBy("chunk"))
+            .applyInArrow(_ranked_words(n), "chunk long, seq binary"))
     for size in range(2, longest + 1):
         seqs = seqs.checkpoint()
         seqs.mapInArrow(_pairs, _CELLS).write.parquet(f"{folder}/cells-{size}")
