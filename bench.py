@@ -6,10 +6,10 @@
    with the ``noop`` sink (nothing is collected to the driver);
 3. the delivery-time pipeline: features with the chronological split, the
    route-model comparison (buffers, hybrid, scoreboard, bins, states) and the
-   boosted comparison (GBT mean + pinball-boosted 85th percentile).
+   boosted comparison (mean and 85th-percentile trees, the source's 500 rounds each) with its reports.
 
 Prints one JSON line. Env: BENCH_SF_DIR (default /root/testdata/sf0.1),
-BENCH_CPUS (default 8), BENCH_ROUNDS (boosting rounds, default 30).
+BENCH_CPUS (default 8), BENCH_ROUNDS (boosting rounds, default 500).
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def run(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    rounds = int(os.environ.get("BENCH_ROUNDS", str(mr.CHECK_ROUNDS)))
+    rounds = int(os.environ.get("BENCH_ROUNDS", str(mr.ROUNDS)))
     scratch = tempfile.mkdtemp(prefix="shipwise-bench-")
     spark = local_session(cpus, max(8, 2 * cpus), app="shipwise-bench",
                           extra={"spark.checkpoint.dir": os.path.join(scratch, "ckpt"),
@@ -72,9 +72,10 @@ def main() -> None:
     timed("e6_by_duration_hybrid", lambda: run(ev.by_duration(cmp.test, "pred_hybrid")))
     timed("e8_by_state_hybrid", lambda: run(ev.by_state(cmp.test, "pred_hybrid", late=True)))
     if rounds > 0:
-        base, quant = mr.boosted(rounds)
-        bcmp = timed("m9_m10_boosted_comparison", lambda: compare_methods(frame, base=base, quantile=quant))
-        timed("e4_scoreboard_boosted", lambda: run(ev.scoreboard(bcmp.test, METHODS)))
+        bcmp = timed("m9_m10_boosted_comparison", lambda: compare_methods(frame, *mr.boosted(rounds)))
+        cells = timed("e1_e8_boosted_cells", lambda: ev.report_cells(bcmp.test, METHODS).checkpoint(eager=True))
+        timed("e4_scoreboard_boosted", lambda: run(ev.cells_scoreboard(cells)))
+        timed("e8_by_state_hybrid_boosted", lambda: run(ev.cells_by_state(cells, "5_hybrid", late=True)))
 
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "total_sec", "value": total, "unit": "sec", "queries": times,

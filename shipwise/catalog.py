@@ -44,6 +44,7 @@ def table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "k7_spend_by_state": ex.spend_by_state,
         "k9_pick_story_order": ex.pick_story_order,
         "k10_order_story": ex.order_story,
+        "k10_one_order_story": ex.one_order_story,
         "k11_delay_histogram": dl.delay_histogram,
         "k12_delay_mean": dl.delay_mean,
         "k13_delay_buckets": dl.delay_buckets,

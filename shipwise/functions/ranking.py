@@ -2,18 +2,16 @@
 
 ``rank_rows`` gives every row its 0-based position in a total order without a
 single-partition window: rows are range-partitioned on the order columns
-(Spark samples the boundaries, so one hot value of the first column is split
-across partitions by the later columns), sorted within each partition and
-numbered there; the checkpoint fixes partition contents so the per-partition
-counts and the numbering agree; the offset of each partition is a running sum
-over one row per partition (a frame bounded by the partition count).
-
-``percentile`` is exact linear interpolation between the two closest ranks
-(numpy's default and DuckDB's ``quantile_cont``): rows are ranked on
-``(group keys, value)``, each group's first rank and size come from one
-aggregation, and only the one or two rows at the target ranks reach the final
-aggregation. No group is ever collected into one task. ``method='approx'``
-uses ``percentile_approx`` (mergeable sketch, no interpolation) instead.
+(Spark samples the boundaries), sorted within each partition and numbered
+there; the checkpoint fixes partition contents so the per-partition counts and
+the numbering agree; the offset of each partition is a running sum over one
+row per partition (a frame bounded by the partition count). Rows equal on all
+order columns lie in one partition: give it columns that tell rows apart.
+
+``percentile`` and ``chrono_split`` select instead of sorting: sketches or
+counts by day and hour narrow the target ranks down to a small range, and only
+that range is put in order. Percentiles interpolate linearly between the two
+closest ranks (numpy's default and DuckDB's ``quantile_cont``).
 """
 
 from __future__ import annotations
@@ -21,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -67,40 +65,82 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
             .drop("_grank", "_g0"))
 
 
+# Width of the bracket around a target rank (a share of the group's rows), the accuracy of the sketch that gives it
+# (rank errors of at most a tenth of the width), and the cells into which a bracket is cut before its values are ranked.
+BRACKET, SKETCH, CELLS = 0.001, 10_000, 1024
+
+
 def percentile(df: DataFrame, value: str, q: float, keys: Sequence[str] = (),
                alias: str | None = None, method: str = "exact") -> DataFrame:
     """Per-group ``q``-percentile of ``value`` (NULL values ignored; a NULL
-    group key is a group of its own). One row per group: keys + ``alias``."""
+    group key is a group of its own). One row per group: keys + ``alias``.
+
+    Exact, by selection: a mergeable sketch (one pass) brackets the target
+    ranks of every group; a second pass reduces the rows to one count below
+    the bracket and one a distinct value inside it, combined before the
+    shuffle, so a value that most rows share is one row. The bracket's values
+    are first counted in CELLS ranges, and only the cells that hold the target
+    ranks are put in order. No row is sorted, and none outside the bracket
+    is shuffled. ``method='approx'`` returns the sketch's value instead.
+    """
     alias = alias or f"p{int(round(q * 100))}_{value}"
     keys = list(keys)
-    x = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    # 0.0 and -0.0 are one value
+    x = df.select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("_v")).filter(F.col("_v").isNotNull())
     if method == "approx":
-        return x.groupBy(*keys).agg(F.percentile_approx("_v", q, 10000).alias(alias))
+        return x.groupBy(*keys).agg(F.percentile_approx("_v", q, SKETCH).alias(alias))
     if method != "exact":
         raise ValueError(method)
-    r = rank_rows(x, [*keys, "_v"])
-    g = r.groupBy(*keys).agg(F.min("_rank").alias("_r0"), F.count(F.lit(1)).alias("_n"))
+    n = F.count(F.lit(1))
+    ends = F.percentile_approx("_v", [max(0.0, q - BRACKET), min(1.0, q + BRACKET)], SKETCH)
     pos = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-    g = g.select(*keys, "_r0", pos.alias("_p"))
-    g = g.select(*keys, "_r0", "_p", F.floor("_p").cast("bigint").alias("_lo"),
-                 F.ceil("_p").cast("bigint").alias("_hi"))
+    # a bracket of a few ranks is the whole group, as is one that reaches the end of the ranks
+    thin = F.col("_n") * F.lit(BRACKET) < 4
+    g = (x.groupBy(*keys).agg(n.alias("_n"), ends.alias("_e"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+         .select(*keys, "_n", pos.alias("_p"),
+                 F.when(thin | F.lit(q <= BRACKET), F.col("_min")).otherwise(F.col("_e")[0]).alias("_a"),
+                 F.when(thin | F.lit(q >= 1 - BRACKET), F.col("_max")).otherwise(F.col("_e")[1]).alias("_b"))
+         .withColumn("_lo", F.floor("_p").cast("bigint")).withColumn("_hi", F.ceil("_p").cast("bigint")))
+    j = _with_group(x, g, keys)
+    if j is None:
+        return df.sparkSession.createDataFrame([(None,)], f"`{alias}` double")
+    inside = F.col("_v") >= F.col("_a")
+    cell = F.floor(F.try_divide(F.col("_v") - F.col("_a"), F.col("_b") - F.col("_a")) * F.lit(CELLS)).cast("int")
+    groups = [*keys, "_p", "_lo", "_hi"]
+    counts = (j.filter(F.col("_v") <= F.col("_b"))
+              .groupBy(*groups, F.when(inside, F.coalesce(cell, F.lit(0))).otherwise(-1).alias("_cell"), F.when(inside, F.col("_v")).alias("_u"))
+              .agg(F.count(F.lit(1)).alias("_c")))
+    # at most CELLS + 2 rows a group
+    cells = counts.groupBy(*groups, "_cell").agg(F.sum("_c").alias("_c"))
+    run = Window.partitionBy(*groups).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = (cells.withColumn("_to", F.sum("_c").over(run)).withColumn("_from", F.col("_to") - F.col("_c"))
+            .filter(_holds("_from", "_to")).select(*[F.col(k).alias(f"_g_{k}") for k in keys], F.col("_cell").alias("_k"), "_from"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys] + [F.col("_cell") == F.col("_k")])
+    near = counts.join(held, on).select(*groups, "_k", "_u", "_c", "_from")
+    run = Window.partitionBy(*groups, "_k").orderBy("_u").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = (near.withColumn("_to", F.col("_from") + F.sum("_c").over(run)).withColumn("_from", F.col("_to") - F.col("_c"))
+            .filter(_holds("_from", "_to")))
+    at = lambda r: F.max(F.when((F.col("_from") <= F.col(r)) & (F.col(r) < F.col("_to")), F.col("_u")))
+    res = near.groupBy(*groups).agg(at("_lo").alias("_x"), at("_hi").alias("_y"))
+    return res.select(*keys, lerp(F.col("_x"), F.col("_y"), F.col("_p") - F.col("_lo").cast("double")).alias(alias))
+
+
+def _holds(start: str, end: str) -> Column:
+    """Does the range of ranks hold a target rank?"""
+    return reduce(lambda a, b: a | b, [(F.col(start) <= F.col(r)) & (F.col(r) < F.col(end)) for r in ("_lo", "_hi")])
+
+
+def _with_group(x: DataFrame, g: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Each row with its group's numbers; without keys these are scalars, read once on the driver (None without rows)."""
+    names = ("_p", "_lo", "_hi", "_a", "_b")
     if keys:
-        gr = g.select(*[F.col(k).alias(f"_g_{k}") for k in keys], "_r0", "_p", "_lo", "_hi")
+        gr = g.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *names)
         on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
-        j = r.join(gr, on).drop(*[f"_g_{k}" for k in keys])
-    else:
-        # a single group: its four numbers are scalars, read once on the driver
-        row = g.first()
-        if row is None:
-            return df.sparkSession.createDataFrame([(None,)], f"`{alias}` double")
-        j = r.select("_rank", "_v", *[F.lit(row[c]).alias(c) for c in ("_r0", "_p", "_lo", "_hi")])
-    local = F.col("_rank") - F.col("_r0")
-    picked = j.filter((local == F.col("_lo")) | (local == F.col("_hi")))
-    lo_v = F.max(F.when(local == F.col("_lo"), F.col("_v")))
-    hi_v = F.max(F.when(local == F.col("_hi"), F.col("_v")))
-    d = F.first(F.col("_p") - F.col("_lo").cast("double"))
-    res = picked.groupBy(*keys).agg(lo_v.alias("_a"), hi_v.alias("_b"), d.alias("_d"))
-    return res.select(*keys, lerp(F.col("_a"), F.col("_b"), F.col("_d")).alias(alias))
+        return x.join(gr, on).drop(*[f"_g_{k}" for k in keys])
+    row = g.first()
+    if not row["_n"]:
+        return None
+    return x.select("_v", *[F.lit(row[c]).cast("bigint" if c in ("_lo", "_hi") else "double").alias(c) for c in names])
 
 
 def lerp(a: Column, b: Column, t: Column) -> Column:
@@ -108,12 +148,38 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
     return F.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t)).otherwise(a + (b - a) * t)
 
 
+def split_boundary(df: DataFrame, rows: int, order: Sequence[str]) -> Row | None:
+    """The ``order`` key (as strings) of the ``rows``-th row in that order, NULL first; None if there is no such row.
+
+    The first column is a timestamp. Days are counted, then the hours of the
+    day that holds the row, and only the rows of that hour are put in order.
+    """
+    if rows < 1:
+        return None
+    part, before = df, 0
+    for unit in (F.to_date(order[0]), F.hour(order[0])):
+        cells = part.groupBy(unit.alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+        # a running count over one row a day, then over at most 24
+        run = Window.orderBy(F.col("_t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cut = cells.withColumn("_to", F.sum("_n").over(run) + F.lit(before)).filter(F.col("_to") >= F.lit(rows)).orderBy("_to").first()
+        if cut is None:
+            return None
+        part, before = part.filter(unit.eqNullSafe(F.lit(cut["_t"]))), cut["_to"] - cut["_n"]
+    ranked = rank_rows(part.select(*order), [F.col(c).asc_nulls_first() for c in order])
+    return ranked.filter(F.col("_rank") == F.lit(rows - before - 1)).select(*[F.col(c).cast("string").alias(c) for c in order]).first()
+
+
 def chrono_split(df: DataFrame, frac: float = 0.8,
                  order: Sequence[str] = ("order_purchase_timestamp", "order_id", "order_item_id"),
                  split_col: str = "split") -> DataFrame:
     """Label the first ``int(frac * n)`` rows in ``order`` as ``train``
-    and the rest as ``test``. ``order`` must be unique for a repeatable split.
-    The result is checkpointed (it is the frame the models iterate over)."""
-    r = rank_rows(df, list(order))
-    k = int(r.count() * frac)  # the source's int(len(df) * 0.8)
-    return r.withColumn(split_col, F.when(F.col("_rank") < F.lit(k), "train").otherwise("test"))
+    and the rest as ``test``, by comparing each row with the key of the last
+    train row (``split_boundary``): the rows themselves are not moved.
+    ``order`` must be unique for a repeatable split."""
+    k = int(df.count() * frac)  # the source's int(len(df) * 0.8)
+    last = split_boundary(df, k, order)
+    if last is None:
+        return df.withColumn(split_col, F.lit("test"))
+    types = dict(df.dtypes)
+    key = F.struct(*[F.lit(last[c]).cast(types[c]).alias(c) for c in order])
+    return df.withColumn(split_col, F.when(F.struct(*order) <= key, "train").otherwise("test"))

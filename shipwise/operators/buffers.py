@@ -8,7 +8,9 @@ distributed (``functions.ranking.percentile``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import percentile
@@ -98,13 +100,60 @@ def apply_hybrid(df: DataFrame, extra: DataFrame, pred: str, default: float = 2.
             .withColumn(out, F.col(pred) + F.col("extra_buffer")))
 
 
-def route_margin_rules(buffers: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """Margin per route from past arrivals (the route buffers), with an
-    optional override frame ``(route, margin)`` taking precedence."""
-    b = buffers.select(ROUTE, F.col("buffer").alias("_b"))
+# ------------------------------------------------------------------ R16: margins from past arrivals
+TICK_US = 3_600_000_000   # a state's resolution: one hour
+LONG_HAUL_TICKS = 21 * 24
+
+
+def day_states(rows: DataFrame, day: str, actual_us: str = "actual_us") -> DataFrame:
+    """Per route and arrival day, the state that margins are made of: a histogram of the actual duration in hours (``tick``),
+    with the rows and the exact duration sum of each tick. States merge by adding counts and sums, so a day is reduced once
+    and serves every range of days that holds it."""
+    return (rows.filter(F.col(ROUTE).isNotNull() & F.col(day).isNotNull())
+            .groupBy(ROUTE, F.to_date(day).alias("day"), F.floor(F.col(actual_us) / F.lit(TICK_US)).cast("int").alias("tick"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(actual_us).cast("decimal(38,0)")).alias("us")))
+
+
+def merge_trailing(states: DataFrame, days: int = 90) -> DataFrame:
+    """States of the ``days`` days before each month start, merged: as_of, route, tick, n, us. A day's state goes to the few
+    month starts whose range holds it; no state is compared with a calendar."""
+    first = F.trunc(F.add_months(F.col("day"), 1), "month")
+    last = F.trunc(F.date_add(F.col("day"), days), "month")
+    return (states.filter(first <= last)
+            .withColumn("as_of", F.explode(F.sequence(first, last, F.expr("interval 1 month"))))
+            .groupBy("as_of", ROUTE, "tick").agg(F.sum("n").alias("n"), F.sum("us").alias("us")))
+
+
+def margins_as_of(merged: DataFrame, q: float = 0.85) -> DataFrame:
+    """Per as_of and route: rows, mean days, the ``q`` percentile (the end of the tick that holds the ceil(q n)-th row), the
+    share of long hauls, and the margin: what the percentile is above the mean, plus the uncertainty tier (M14)."""
+    by = ["as_of", ROUTE]
+    run = Window.partitionBy(*by).orderBy("tick")  # at most one row an hour of the longest duration
+    total = Window.partitionBy(*by)
+    x = merged.withColumn("_to", F.sum("n").over(run)).withColumn("_all", F.sum("n").over(total))
+    at = F.ceil(F.col("_all") * F.lit(q))
+    out = x.groupBy(*by).agg(
+        F.sum("n").alias("n"), (F.sum("us").cast("double") / F.sum("n").cast("double") / F.lit(24.0 * TICK_US)).alias("mean_days"),
+        (F.min(F.when(F.col("_to") >= at, F.col("tick") + 1)) / F.lit(24.0)).alias("p_days"),
+        (F.sum(F.when(F.col("tick") >= LONG_HAUL_TICKS, F.col("n")).otherwise(0)) / F.sum("n")).alias("long_share"))
+    return out.withColumn("buffer", F.greatest(F.lit(0.0), F.col("p_days") - F.col("mean_days")) + uncertainty(F.col("n")))
+
+
+def long_haul_overrides(merged: DataFrame, share: float = 0.1, min_rows: int = 30, q: float = 0.95) -> DataFrame:
+    """The manual rule for routes of long hauls, as a frame (as_of, route, margin): where more than ``share`` of at least
+    ``min_rows`` rows took 21 days or longer, the margin reaches the ``q`` percentile."""
+    m = margins_as_of(merged, q)
+    return m.filter((F.col("n") >= min_rows) & (F.col("long_share") > share)).select("as_of", ROUTE, F.col("buffer").alias("margin"))
+
+
+def route_margin_rules(buffers: DataFrame, overrides: DataFrame | None = None, keys: Sequence[str] = (ROUTE,)) -> DataFrame:
+    """Margin per route (or per other ``keys``, such as as_of and route) from past arrivals, with an optional override
+    frame ``(*keys, margin)`` taking precedence."""
+    keys = list(keys)
+    b = buffers.select(*keys, F.col("buffer").alias("_b"))
     if overrides is None:
-        return b.select(ROUTE, F.col("_b").alias("margin"), F.lit("history").alias("source"))
-    o = overrides.select(ROUTE, F.col("margin").cast("double").alias("_o"))
-    return (b.join(o, ROUTE, "full")
-            .select(ROUTE, F.coalesce("_o", "_b").alias("margin"),
+        return b.select(*keys, F.col("_b").alias("margin"), F.lit("history").alias("source"))
+    o = overrides.select(*keys, F.col("margin").cast("double").alias("_o"))
+    return (b.join(o, keys, "full")
+            .select(*keys, F.coalesce("_o", "_b").alias("margin"),
                     F.when(F.col("_o").isNotNull(), "override").otherwise("history").alias("source")))

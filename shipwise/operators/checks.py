@@ -20,7 +20,7 @@ from ..tables import Tables
 def row_counts(t: Tables) -> DataFrame:
     """A4: one row per table with its row count."""
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
-             for name, df in t.items()]
+             for name, df in t.unnumbered()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -49,8 +49,9 @@ def orphan_rows(t: Tables) -> DataFrame:
     """Per foreign key, child rows whose non-NULL key has no parent row,
     with the smallest such key as a sample (NULL when there is none)."""
     parts = []
+    tables = dict(t.unnumbered())
     for child, ccol, parent, pcol in FOREIGN_KEYS:
-        c, p = getattr(t, child), getattr(t, parent)
+        c, p = tables.get(child), tables.get(parent)
         if c is None or p is None:
             continue
         orphans = (c.select(F.col(ccol).alias("_k")).filter(F.col("_k").isNotNull())

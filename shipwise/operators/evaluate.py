@@ -128,6 +128,81 @@ def by_state(df: DataFrame, pred: str, base: str = PROMISE, min_n: int = 50, lat
                     rnd("_m", 1).alias("model_mae"), "base_late_pct", "model_late_pct"))
 
 
+# ------------------------------------------------------------------ all reports from one aggregation
+def report_cells(df: DataFrame, methods: Mapping[str, str], big: float = 15.0) -> DataFrame:
+    """The sums behind E1-E8 of all methods, from one scan of the scored rows.
+
+    One row per method and grain (all rows, each actual-duration bin, each
+    customer state; GROUPING SETS): n, absolute and squared error sums, rows
+    late, over and over by more than ``big`` days. A handful of rows, whatever
+    the input.
+    """
+    long = (df.select(F.col(TARGET).alias("_a"), duration_bin().alias("duration_bin"), "customer_state",
+                      *[F.col(c).alias(n) for n, c in methods.items()])
+            .unpivot(["_a", "duration_bin", "customer_state"], list(methods), "method", "_p"))
+    err = F.col("_p") - F.col("_a")
+    method, bin_, state = F.col("method"), F.col("duration_bin"), F.col("customer_state")
+    return (long.groupingSets([[method], [method, bin_], [method, state]], method, bin_, state)
+            .agg(F.grouping_id().alias("grain"), F.count(F.lit(1)).alias("n"), F.sum(F.abs(err)).alias("abs_sum"), F.sum(err * err).alias("sq_sum"),
+                 count_when(err < 0).alias("late"), count_when(err > 0).alias("over"), count_when(err > big).alias("over_big")))
+
+
+GRAIN_ALL, GRAIN_BIN, GRAIN_STATE = 3, 1, 2  # grouping ids: which of (bin, state) are summed over
+
+
+def _pair(cells: DataFrame, grain: int, keys: list[str], model: str, base: str) -> DataFrame:
+    """Cells of one grain with the base method's (b_) and the model's (m_) numbers side by side."""
+    sums = [F.max(F.when(F.col("method") == m, F.col(c))).alias(p + c) for m, p in ((base, "b_"), (model, "m_")) for c in ("n", "abs_sum", "sq_sum", "late", "over")]
+    return cells.filter(F.col("grain") == grain).groupBy(*keys).agg(*sums)
+
+
+def cells_errors(cells: DataFrame, model: str, base: str = "1_promise") -> DataFrame:
+    """E1-E3 of one model against the promise."""
+    n = F.col("b_n")
+    mean, rms = (lambda p: F.col(p + "abs_sum") / n), (lambda p: F.sqrt(F.col(p + "sq_sum") / n))
+    return _pair(cells, GRAIN_ALL, [], model, base).select(
+        n.alias("n"), rnd(mean("b_"), 2).alias("promise_mae"), rnd(rms("b_"), 2).alias("promise_rmse"),
+        pct(F.col("b_over"), n, 1).alias("promise_over_pct"), pct(F.col("b_late"), n, 1).alias("promise_late_pct"),
+        rnd(mean("m_"), 2).alias("model_mae"), rnd(rms("m_"), 2).alias("model_rmse"),
+        pct(F.col("m_over"), n, 1).alias("model_over_pct"), pct(F.col("m_late"), n, 1).alias("model_late_pct"),
+        rnd(improvement(mean("b_"), mean("m_")), 1).alias("mae_improvement_pct"),
+        rnd(improvement(rms("b_"), rms("m_")), 1).alias("rmse_improvement_pct"))
+
+
+def cells_scoreboard(cells: DataFrame) -> DataFrame:
+    """E4."""
+    n = F.col("n")
+    return (cells.filter(F.col("grain") == GRAIN_ALL)
+            .select("method", "n", rnd(F.col("abs_sum") / n, 2).alias("mae"), pct(F.col("late"), n, 1).alias("late_pct"),
+                    pct(F.col("over"), n, 1).alias("over_pct"), pct(F.col("over_big"), n, 1).alias("over_big_pct"))
+            .orderBy("method"))
+
+
+def cells_by_duration(cells: DataFrame, model: str, base: str = "1_promise", min_n: int = 10) -> DataFrame:
+    """E5/E6."""
+    n = F.col("b_n")
+    mean = lambda p: F.col(p + "abs_sum") / n
+    return (_pair(cells, GRAIN_BIN, ["duration_bin"], model, base).filter(F.col("duration_bin").isNotNull() & (n >= min_n))
+            .select("duration_bin", n.alias("n"), rnd(mean("b_"), 1).alias("base_mae"), rnd(mean("m_"), 1).alias("model_mae"),
+                    rnd(improvement(mean("b_"), mean("m_")), 0).alias("improvement_pct"),
+                    pct(F.col("b_late"), n, 0).alias("base_late_pct"), pct(F.col("m_late"), n, 0).alias("model_late_pct"))
+            .orderBy("duration_bin"))
+
+
+def cells_by_state(cells: DataFrame, model: str, base: str = "1_promise", min_n: int = 50, late: bool = False) -> DataFrame:
+    """E7 (``late=False``) and E8."""
+    n = F.col("b_n")
+    mean = lambda p: F.col(p + "abs_sum") / n
+    g = _pair(cells, GRAIN_STATE, ["customer_state"], model, base).filter(n >= min_n)
+    if not late:
+        return (g.select(F.col("customer_state").alias("state"), n.alias("orders"), bround(mean("b_"), 1).alias("base_mae"),
+                         bround(mean("m_"), 1).alias("model_mae"), bround(improvement(mean("b_"), mean("m_")), 1).alias("improvement_pct"))
+                .orderBy(F.col("improvement_pct").desc(), "state"))
+    return (g.orderBy((F.col("m_late") / n).desc(), "customer_state")
+            .select(F.col("customer_state").alias("state"), n.alias("n"), rnd(mean("b_"), 1).alias("base_mae"), rnd(mean("m_"), 1).alias("model_mae"),
+                    pct(F.col("b_late"), n, 1).alias("base_late_pct"), pct(F.col("m_late"), n, 1).alias("model_late_pct")))
+
+
 def split_report(df: DataFrame, ts: str = "order_purchase_timestamp") -> DataFrame:
     """Rows and purchase-date span of each split."""
     return (df.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.min(ts).alias("first_purchase"),
@@ -137,7 +212,7 @@ def split_report(df: DataFrame, ts: str = "order_purchase_timestamp") -> DataFra
 
 def filter_report(t: Tables, max_actual: float = 60.0, max_promised: float = 80.0) -> DataFrame:
     """Feature rows before and after the outlier filter (one pass, one row)."""
-    return feature_rows(t).agg(F.count(F.lit(1)).alias("rows_before"),
+    return feature_rows(t, numbered=False).agg(F.count(F.lit(1)).alias("rows_before"),
                                count_when(outlier_keep(max_actual, max_promised)).alias("rows_after"))
 
 

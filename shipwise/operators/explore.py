@@ -156,6 +156,12 @@ def order_story(t: Tables, order_id: str | None = None) -> DataFrame:
     return story
 
 
+def one_order_story(t: Tables) -> DataFrame:
+    """The story of the order that K9 picks (on bucketed tables only that order's bucket of each table is read)."""
+    picked = pick_story_order(t).first()["order_id"]  # one id
+    return order_story(t, picked if picked is not None else "")
+
+
 # ------------------------------------------------------------------ previews
 def preview(df: DataFrame, cols: Sequence[str | Column], n: int, where: Column | None = None,
             order: Sequence[str] = ()) -> DataFrame:

@@ -2,22 +2,21 @@
 
 One row per delivered order item: facts known when the order is placed
 (states, category, product size, price, freight, purchase calendar), the
-promise shown to the buyer and the actual arrival. Encoders are small
-per-value frames (one row per state or category) joined back; their size is
-the number of distinct labels, never the number of rows, and Spark's size
-checks decide whether the join is a broadcast.
+promise shown to the buyer and the actual arrival. Encoders share one
+dictionary (one row per state or category) that is joined back; its size is
+measured before it is hinted as a broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import days_between, micros_between, route, same, volume
-from ..functions.ranking import chrono_split
+from ..functions.ranking import chrono_split, number_within
+from ..session import ensure_checkpoint_dir
 from ..tables import Tables
 from .delivery import DELIVERED, ESTIMATED, PURCHASE
 
@@ -33,8 +32,9 @@ TARGET = "actual_days"
 PROMISE = "promised_days"
 
 
-def feature_rows(t: Tables) -> DataFrame:
-    """M1: delivered order items with purchase-time facts, promise and arrival.
+def feature_rows(t: Tables, numbered: bool = True) -> DataFrame:
+    """M1: delivered order items with purchase-time facts, promise and arrival
+    (``numbered=False``: without the item number, which may cost a sort).
 
     Inner joins to customers, items, products and sellers; left join to the
     category translation (C11). Orders must be ``delivered`` with both the
@@ -43,7 +43,8 @@ def feature_rows(t: Tables) -> DataFrame:
     o = (t.orders.filter((F.col("order_status") == "delivered") & F.col(DELIVERED).isNotNull()
                          & F.col(ESTIMATED).isNotNull())
          .select("order_id", "customer_id", PURCHASE, ESTIMATED, DELIVERED))
-    items = t.order_items.select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value")
+    number = ["order_item_id"] if numbered else []
+    items = (t.order_items if numbered else t.item_rows).select("order_id", *number, "product_id", "seller_id", "price", "freight_value")
     prod = (t.products.join(t.category_translation, "product_category_name", "left")
             .select("product_id",
                     F.coalesce("product_category_name_english", "product_category_name").alias("category"),
@@ -54,7 +55,7 @@ def feature_rows(t: Tables) -> DataFrame:
             .join(t.customers.select("customer_id", "customer_state"), "customer_id")
             .join(prod, "product_id")
             .join(t.sellers.select("seller_id", "seller_state"), "seller_id")
-            .select("order_id", "order_item_id", PURCHASE, ESTIMATED, DELIVERED, "customer_state",
+            .select("order_id", *number, PURCHASE, ESTIMATED, DELIVERED, "customer_state",
                     "seller_state", "category", "product_weight_g", "product_length_cm", "product_height_cm",
                     "product_width_cm", "product_photos_qty", "price", "freight_value"))
 
@@ -87,55 +88,67 @@ def with_shipping(df: DataFrame) -> DataFrame:
             .withColumn("route", route("seller_state", "customer_state")))
 
 
-def frequency_encode(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None,
-                     suffix: str = "_encoded") -> DataFrame:
-    """M5: replace each value by its row count in ``fit`` (default: ``df``
-    itself, as the source does); NULL or unseen values get 0."""
-    fit = df if fit is None else fit
-    for c in cols:
-        counts = (fit.filter(F.col(c).isNotNull()).groupBy(c)
-                  .agg(F.count(F.lit(1)).alias(c + suffix)))
-        df = (df.join(counts, c, "left")
-              .withColumn(c + suffix, F.coalesce(F.col(c + suffix), F.lit(0)).cast("double")))
-    return df
+#: A dictionary of at most so many labels is hinted as broadcast (a measured size: one row a label).
+BROADCAST_LABELS = 100_000
+
 
+def dictionary(fit: DataFrame, cols: Sequence[str], unknown: str = "unknown") -> DataFrame:
+    """One row a label of each column: column, label (NULL as ``unknown``), n (its rows, NULLs not counted) and code, its
+    place among the column's sorted labels. One aggregation over all columns; the places are distributed ranks."""
+    values = fit.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
+    labels = (values.groupBy("column", F.coalesce("value", F.lit(unknown)).alias("label"))
+              .agg(F.count("value").cast("double").alias("n")))
+    return (number_within(labels, ["column"], ["label"], "code", start=0)
+            .withColumn("code", F.col("code").cast("double")))
 
-def label_encode(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None,
-                 unknown: str = "unknown", suffix: str = "_le") -> DataFrame:
-    """M6: NULL -> ``unknown``, then the index of the value among the sorted
-    distinct values of ``fit`` (default: ``df``). Values unseen in ``fit`` get
-    a code of their own, the vocabulary's size (the source raises instead).
 
-    The ranking window runs over the distinct labels (one row per state or
-    category), not over rows.
+def encode_labels(df: DataFrame, frequency: Sequence[str], labelled: Sequence[str], fit: DataFrame | None = None,
+                  unknown: str = "unknown") -> DataFrame:
+    """M5 and M6 for all columns by one dictionary of ``fit`` (default: ``df`` itself, as the source does).
+
+    ``<c>_encoded``: the value's row count in ``fit``, 0 for NULL or unseen
+    values. ``<c>_le``: the label's code, NULL as ``unknown``; labels unseen in
+    ``fit`` get a code of their own, the vocabulary's size (the source raises).
     """
-    fit = df if fit is None else fit
+    cols = sorted({*frequency, *labelled})
+    words = dictionary(df if fit is None else fit, cols, unknown).checkpoint(eager=True)
+    sizes = {r["column"]: r["n"] for r in words.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small = sum(sizes.values()) <= BROADCAST_LABELS
     for c in cols:
-        filled = F.coalesce(F.col(c), F.lit(unknown))
-        vocab = (fit.select(filled.alias("_lab")).distinct()
-                 .withColumn(c + suffix, (F.dense_rank().over(Window.orderBy("_lab")) - 1).cast("double")))
-        unseen = vocab.agg(F.count(F.lit(1)).cast("double")).scalar()
-        df = (df.withColumn("_lab", filled).join(vocab, "_lab", "left")
-              .withColumn(c + suffix, F.coalesce(F.col(c + suffix), unseen)).drop("_lab"))
+        own = words.filter(F.col("column") == c).select(F.col("label").alias("_lab"), F.col("n").alias("_n"), F.col("code").alias("_code"))
+        df = df.withColumn("_lab", F.coalesce(F.col(c).cast("string"), F.lit(unknown))).join(F.broadcast(own) if small else own, "_lab", "left")
+        if c in frequency:
+            df = df.withColumn(c + "_encoded", F.when(F.col(c).isNull(), 0.0).otherwise(F.coalesce("_n", F.lit(0.0))))
+        if c in labelled:
+            df = df.withColumn(c + "_le", F.coalesce("_code", F.lit(float(sizes.get(c, 0)))))
+        df = df.drop("_lab", "_n", "_code")
     return df
 
 
+def frequency_encode(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
+    """M5 alone."""
+    return encode_labels(df, cols, (), fit)
+
+
+def label_encode(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
+    """M6 alone."""
+    return encode_labels(df, (), cols, fit)
+
+
 ENCODED = ("category", "customer_state", "seller_state")
 LABELLED = ("customer_state", "seller_state", "category")
 
 
-def base_features(t: Tables) -> DataFrame:
+def base_features(t: Tables, numbered: bool = True) -> DataFrame:
     """M1-M4: feature rows with targets, calendar and shipping columns."""
-    x = with_shipping(with_calendar(with_targets(feature_rows(t))))
+    x = with_shipping(with_calendar(with_targets(feature_rows(t, numbered))))
     return x.withColumn("actual_us", micros_between(DELIVERED, PURCHASE))
 
 
 def encode(df: DataFrame, fit: DataFrame | None = None) -> DataFrame:
     """M5-M7: frequency and label encodings fitted on ``fit`` (default ``df``),
     then every feature as a NULL-free double."""
-    x = frequency_encode(df, ENCODED, fit=fit)
-    x = label_encode(x, LABELLED, fit=fit)
-    return fill_features(x)
+    return fill_features(encode_labels(df, ENCODED, LABELLED, fit=fit))
 
 
 def build_features(t: Tables) -> DataFrame:
@@ -149,20 +162,24 @@ def fill_features(df: DataFrame) -> DataFrame:
                      *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES])
 
 
+def split_rows(t: Tables, frac: float = 0.8) -> DataFrame:
+    """M1-M4 and M8: the feature rows with their ``split``, not encoded (what reports on the rows themselves need).
+
+    The joined rows are checkpointed once: the split reads them for its counts,
+    then the encoders and the models."""
+    ensure_checkpoint_dir(t.spark)
+    return chrono_split(base_features(t).checkpoint(eager=True), frac)
+
+
 def model_frame(t: Tables, frac: float = 0.8, fit_on: str = "all") -> DataFrame:
     """M1-M8: the feature frame with a chronological ``split`` column.
 
-    The joined feature rows are persisted while the split ranks them (range
-    sampling and the shuffle read them once each), and the ranked frame is
-    checkpointed; encoders are then fitted on that frame: on every row
-    (``fit_on='all'``, the source's choice, which lets test-period rows into
-    the counts) or on the train rows only (``fit_on='train'``).
-    """
+    Encoders are fitted on every row (``fit_on='all'``, the source's choice,
+    which lets test-period rows into the counts) or on the train rows only
+    (``fit_on='train'``)."""
     if fit_on not in ("all", "train"):
         raise ValueError(fit_on)
-    x = base_features(t).persist(StorageLevel.MEMORY_AND_DISK)
-    s = chrono_split(x, frac)
-    x.unpersist()
+    s = split_rows(t, frac)
     fit = s if fit_on == "all" else s.filter(F.col("split") == "train")
     # every model and report reads this frame many times: materialise it once
     return encode(s, fit=fit).checkpoint(eager=True)

@@ -6,9 +6,8 @@ Models share one small interface: ``fit(train) -> fitted`` and
 * ``RouteMean`` / ``RouteQuantile``: per-route mean / percentile of the train
   arrival days, falling back to the global value. Deterministic, so the whole
   buffer chain built on them has exact SQL oracles.
-* ``BoostedMean``: MLlib ``GBTRegressor`` on the 15 features (M9).
-* ``QuantileBoostedTrees``: gradient boosting on the pinball loss (M10);
-  see ``shipwise.operators.quantile_gbm``.
+* ``BoostedTrees`` (``shipwise.operators.boosting``): gradient-boosted trees
+  for the mean (M9) and for a percentile (M10).
 """
 
 from __future__ import annotations
@@ -21,7 +20,8 @@ from pyspark.sql import functions as F
 from ..functions.exprs import MICROS_PER_DAY
 from ..functions.ranking import percentile
 from . import buffers as bf
-from .features import FEATURES, PROMISE, TARGET
+from .boosting import BoostedModel, score_all
+from .features import PROMISE, TARGET
 
 ROUTE = "route"
 
@@ -35,8 +35,7 @@ class RouteMean:
         mean = F.try_divide(F.sum(us.cast("decimal(38,0)")).cast("double"), F.count(us).cast("double")) \
             / F.lit(MICROS_PER_DAY)
         per = train.filter(F.col(ROUTE).isNotNull()).groupBy(ROUTE).agg(mean.alias("_pred"))
-        glob = train.agg(mean.alias("g")).first()["g"]
-        return _Lookup(per, glob)
+        return _Lookup(per, train.agg(mean.alias("g")).first()["g"])
 
 
 class RouteQuantile:
@@ -54,61 +53,28 @@ class RouteQuantile:
 @dataclass
 class _Lookup:
     per_route: DataFrame
-    default: float
+    default: float | None    # None: no train rows
 
     def transform(self, df: DataFrame, out: str) -> DataFrame:
         return (df.join(self.per_route, ROUTE, "left")
-                .withColumn(out, F.coalesce(F.col("_pred"), F.lit(float(self.default))))
+                .withColumn(out, F.coalesce(F.col("_pred"), F.lit(self.default).cast("double")))
                 .drop("_pred"))
 
 
-# ------------------------------------------------------------------ MLlib GBT
-class BoostedMean:
-    """M9: boosted regression trees for the mean arrival days (MLlib GBT).
-
-    The source's leaf cap and L1/L2 terms have no MLlib counterpart; rounds,
-    learning rate, depth, row and column sampling and seed carry over."""
-
-    def __init__(self, rounds: int = 500, lr: float = 0.05, depth: int = 7, subsample: float = 0.8,
-                 colsample: float = 0.8, seed: int = 42, max_bins: int = 64):
-        self.params = dict(maxIter=rounds, stepSize=lr, maxDepth=depth, subsamplingRate=subsample,
-                           featureSubsetStrategy=str(colsample), seed=seed, maxBins=max_bins)
-
-    def fit(self, train: DataFrame) -> "_MLFitted":
-        from pyspark.ml.regression import GBTRegressor
-        gbt = GBTRegressor(featuresCol="_features", labelCol=TARGET, predictionCol="_pred", **self.params)
-        return _MLFitted(gbt.fit(assemble(train)))
-
-
-@dataclass
-class _MLFitted:
-    model: object
-
-    def transform(self, df: DataFrame, out: str) -> DataFrame:
-        return self.model.transform(assemble(df)).withColumnRenamed("_pred", out).drop("_features")
-
-
-def assemble(df: DataFrame) -> DataFrame:
-    """M7: the 15 features as one MLlib vector column ``_features``."""
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="_features",
-                           handleInvalid="keep").transform(df)
-
+# ------------------------------------------------------------------ M19
+def split_counts(nodes: DataFrame) -> DataFrame:
+    """Per feature, how many splits of the ensemble use it (the source's importance) and their total gain."""
+    return (nodes.filter(F.col("feature").isNotNull()).groupBy("feature")
+            .agg(F.count(F.lit(1)).alias("splits"), F.sum("gain").alias("gain")))
 
-def feature_importance(fitted, k: int = 10) -> DataFrame:
-    """Top ``k`` features by the model's importance share."""
-    imp = fitted.importances() if hasattr(fitted, "importances") else list(fitted.model.featureImportances.toArray())
-    spark = _spark()
-    rows = sorted(zip(FEATURES, map(float, imp)), key=lambda r: (-r[1], r[0]))[:k]
-    return spark.createDataFrame(rows, "feature string, importance double")
 
-
-def _spark():
-    from pyspark.sql import SparkSession
-    return SparkSession.getActiveSession()
+def feature_importance(nodes: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` features with the most splits."""
+    return split_counts(nodes).orderBy(F.col("splits").desc(), "feature").limit(k)
 
 
 # ------------------------------------------------------------------ v2 pipeline
+# The prediction columns of the source's five methods.
 METHODS = {
     "1_promise": PROMISE,
     "2_base": "pred_base",
@@ -118,8 +84,13 @@ METHODS = {
 }
 
 
+#: What the buffers and reports read of a row.
+NARROW = ("split", ROUTE, "customer_state", TARGET, PROMISE)
+
+
 @dataclass
 class Comparison:
+    train: DataFrame         # train rows with pred_base and pred_q85
     test: DataFrame          # test rows with every prediction column
     route_stats: DataFrame   # M13 on the base model's train residuals
     buffers: DataFrame       # M15
@@ -129,34 +100,47 @@ class Comparison:
     quantile: object
 
 
+def fit_pair(train: DataFrame, base, quantile, parallel: bool = True) -> tuple:
+    """Both models, fitted side by side from two driver threads: each is a chain of short jobs, and Spark fills the gaps of
+    one with those of the other. An error in either ends the call."""
+    if not parallel:
+        return base.fit(train), quantile.fit(train)
+    from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
+    pool = ThreadPoolExecutor(max_workers=2)
+    try:
+        jobs = [pool.submit(m.fit, train) for m in (base, quantile)]
+        wait(jobs, return_when=FIRST_EXCEPTION)
+        for job in jobs:
+            if job.done() and job.exception():
+                raise job.exception()
+        return tuple(job.result() for job in jobs)
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
+def scored(frame: DataFrame, base, quantile) -> DataFrame:
+    """One narrow frame of all rows with both predictions (boosted models: one pass over the features), checkpointed:
+    buffers, the hybrid and every report read this frame and nothing else."""
+    if isinstance(base, BoostedModel) and isinstance(quantile, BoostedModel):
+        used = [c for c in dict.fromkeys([*base.features, *quantile.features]) if c not in NARROW]
+        x = score_all(frame.select(*NARROW, *used), {"pred_base": base, "pred_q85": quantile})
+    else:
+        x = quantile.transform(base.transform(frame, "pred_base"), "pred_q85")
+    return x.select(*NARROW, "pred_base", "pred_q85").checkpoint(eager=True)
+
+
 def compare_methods(frame: DataFrame, base=None, quantile=None, alpha: float = 0.85,
                     parallel: bool = True) -> Comparison:
     """v2 end to end: base model, method A (route buffers on its train
     residuals), method B (quantile model), method C (B plus extra days on
-    routes still late too often), all applied to the test rows.
-
-    The quantile model does not depend on the base model, so with
-    ``parallel`` it is fitted from a second driver thread while the base model
-    and its buffer chain run: Spark schedules the jobs of both side by side,
-    which fills the gaps between the many short jobs of iterative training."""
-    from concurrent.futures import ThreadPoolExecutor
-    base = base or RouteMean()
-    quantile = quantile or RouteQuantile(alpha)
-    train = frame.filter(F.col("split") == "train")
-    test = frame.filter(F.col("split") == "test")
-    pool = ThreadPoolExecutor(max_workers=1) if parallel else None
-    try:
-        fq_future = pool.submit(quantile.fit, train) if pool else None
-        fb = base.fit(train)
-        tr = bf.with_residual(fb.transform(train, "pred_base"), "pred_base")
-        stats = bf.route_stats(tr, q=alpha)
-        buffers = bf.route_buffers(stats)
-        gbuf = bf.global_buffer(tr, q=alpha)
-        te = bf.apply_buffer(fb.transform(test, "pred_base"), buffers, gbuf, "pred_base")
-        fq = fq_future.result() if fq_future else quantile.fit(train)
-    finally:
-        if pool:
-            pool.shutdown(wait=True)
-    extra = bf.hybrid_extra(fq.transform(train, "pred_q85"), "pred_q85")
-    te = bf.apply_hybrid(fq.transform(te, "pred_q85"), extra, "pred_q85")
-    return Comparison(te, stats, buffers, gbuf, extra, fb, fq)
+    routes still late too often), all applied to the test rows."""
+    fb, fq = fit_pair(frame.filter(F.col("split") == "train"), base or RouteMean(), quantile or RouteQuantile(alpha), parallel)
+    rows = scored(frame, fb, fq)
+    train, test = (rows.filter(F.col("split") == s) for s in ("train", "test"))
+    tr = bf.with_residual(train, "pred_base")
+    stats = bf.route_stats(tr, q=alpha)
+    buffers = bf.route_buffers(stats)
+    gbuf = bf.global_buffer(tr, q=alpha)
+    extra = bf.hybrid_extra(train, "pred_q85")
+    te = bf.apply_hybrid(bf.apply_buffer(test, buffers, gbuf, "pred_base"), extra, "pred_q85")
+    return Comparison(train, te, stats, buffers, gbuf, extra, fb, fq)

@@ -166,10 +166,10 @@ def slow_sellers_vs_category(t: Tables, min_orders: int = 30, k: int = 10) -> Da
         F.count(F.lit(1)).alias("_n"), _dsum("seller_us").alias("_s"))
     per_sc = (per_sp.join(_category(t), "product_id").groupBy("seller_id", "category")
               .agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s")))
-    per_c = per_sc.groupBy(F.col("category").alias("_cat")).agg(
-        F.sum("_n").alias("_cn"), F.sum("_s").alias("_cs"))
-    x = (per_sc.filter(F.col("_n") >= min_orders)
-         .join(per_c, F.col("category").eqNullSafe(F.col("_cat"))))
+    # over the reduced rows (one a seller and category), which are planned once
+    of_category = Window.partitionBy("category")
+    x = (per_sc.withColumn("_cn", F.sum("_n").over(of_category)).withColumn("_cs", F.sum("_s").over(of_category))
+         .filter(F.col("_n") >= min_orders))
     seller_days = _days(F.col("_s"), F.col("_n"))
     cat_days = _days(F.col("_cs"), F.col("_cn"))
     return (x.select("seller_id", "category", F.col("_n").alias("orders"),
@@ -205,14 +205,15 @@ def lanes_from_origin(t: Tables, origin: str | None = None, min_orders: int = 1)
     """Transit days and late share by destination for one seller state.
 
     ``origin=None`` takes the seller state with the most lane rows (the
-    source's example is its largest origin); that choice is a one-row frame
-    joined in, not a value pulled to the driver.
+    source's example is its largest origin), by windows over the reduced rows
+    (one a pair of states), which are planned once.
     """
     lanes = _lane_sums(t)
     if origin is None:
-        top = (lanes.groupBy("seller_state").agg(F.sum("_n").alias("_tot"))
-               .orderBy(F.col("_tot").desc(), "seller_state").limit(1).select("seller_state"))
-        lanes = lanes.join(F.broadcast(top), "seller_state")
+        most = Window.orderBy(F.col("_tot").desc(), F.col("seller_state").asc_nulls_first())
+        lanes = (lanes.filter(F.col("seller_state").isNotNull())
+                 .withColumn("_tot", F.sum("_n").over(Window.partitionBy("seller_state")))
+                 .withColumn("_place", F.dense_rank().over(most)).filter(F.col("_place") == 1))
     else:
         lanes = lanes.filter(F.col("seller_state") == F.lit(origin))
     return (lanes.filter(F.col("_n") >= min_orders)

@@ -1,16 +1,18 @@
 """Read and write the nine tables as files (A1-A3).
 
-CSV input is read with every column as text and converted with ``try_cast``,
-so a malformed date or number becomes NULL instead of failing the job (Spark
-is ANSI by default). Comment fields may hold line breaks and doubled quotes,
-hence ``multiLine`` and ``escape='"'``.
+CSV input is read with every column as text. ``load_csv`` converts it and
+keeps what cannot be converted: a record with a malformed date or number, or
+with the wrong number of fields, goes whole to a rejects table with its
+reasons, so every record read is either typed or rejected. ``read_tables``
+alone converts with ``try_cast`` (bad values become NULL). Comment fields may
+hold line breaks and doubled quotes, hence ``multiLine`` and ``escape='"'``.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +76,59 @@ def read_tables(spark: SparkSession, directory: str, fmt: str = "parquet",
     return Tables(**out)
 
 
+# ------------------------------------------------------------------ load with rejects
+REJECTS = "file string, record string, faults array<struct<column: string, value: string, reason: string>>"
+_CORRUPT = "_corrupt_record"
+
+
+def checked_csv_table(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """One CSV file as (typed rows, rejects): a record is in exactly one of them.
+
+    A reject row holds the file, the record (JSON of its texts) and its faults:
+    column, raw value, reason. Empty fields are NULL, which is no fault.
+    """
+    options = {"header": "true", "multiLine": str(name == "order_reviews"), "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    header = spark.read.options(**options).csv(path).columns
+    schema = SCHEMAS[name]
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path}: columns missing from the header: {missing}")
+    raw = spark.read.options(**options, columnNameOfCorruptRecord=_CORRUPT).schema(
+        T.StructType([T.StructField(c, T.StringType()) for c in [*header, _CORRUPT]])).csv(path)
+
+    def fault(column: str, value: Column, reason: str) -> Column:
+        return F.struct(F.lit(column).alias("column"), value.alias("value"), F.lit(reason).alias("reason"))
+    faults = [F.when(F.col(_CORRUPT).isNotNull(), fault("", F.col(_CORRUPT), f"not {len(header)} fields"))]
+    for f in schema.fields:
+        if not isinstance(f.dataType, T.StringType):
+            text = F.trim(F.col(f.name))
+            bad = F.col(_CORRUPT).isNull() & (text != "") & text.try_cast(f.dataType).isNull()
+            faults.append(F.when(bad, fault(f.name, F.col(f.name), f"not a {f.dataType.simpleString()}")))
+    marked = raw.withColumn("_faults", F.array_compact(F.array(*faults)))
+    bad = F.size("_faults") > 0
+    rejects = marked.filter(bad).select(F.lit(TABLE_FILES[name]).alias("file"), F.to_json(F.struct(*header)).alias("record"), F.col("_faults").alias("faults"))
+    return _typed(marked.filter(~bad).select(*header), schema), rejects
+
+
+def load_csv(spark: SparkSession, directory: str, files: dict[str, str] | None = None) -> tuple[Tables, DataFrame]:
+    """A1/A3: the nine tables from the source's CSV files, and the rejects of all files."""
+    files = files or TABLE_FILES
+    tables, rejects = {}, spark.createDataFrame([], REJECTS)
+    for name in TABLE_NAMES:
+        path = os.path.join(directory, files[name])
+        if _exists(spark, path):
+            tables[name], bad = checked_csv_table(spark, path, name)
+            rejects = rejects.unionByName(bad)
+        elif name != "geolocation":
+            raise FileNotFoundError(path)
+    return Tables(**tables), rejects
+
+
+def reject_faults(rejects: DataFrame) -> DataFrame:
+    """One row a bad value: file, column, value, reason."""
+    return rejects.select("file", F.inline("faults"))
+
+
 # tables keyed by order id: stored bucketed on it so their joins co-locate
 ORDER_KEYED = ("orders", "order_items", "order_payments", "order_reviews")
 
@@ -100,29 +155,35 @@ def bucket_skew(df: DataFrame, key: str, buckets: int) -> float:
 
 
 def write_catalog_tables(t: Tables, database: str, location: str, buckets: int,
-                         mode: str = "overwrite", max_skew: float = 4.0) -> dict:
-    """Save the tables in the catalog under ``database`` (stored at
-    ``location``), with the order-keyed tables bucketed and sorted by
-    ``order_id`` into the same number of ``buckets``.
-
-    Joins and groupings on ``order_id`` between orders, items, payments and
-    reviews then read matching buckets side by side instead of shuffling the
-    fact tables; the bucket count is the parallelism of those joins. A bucketed
-    join has no exchange for AQE to split, so a hot order would sit in one
-    task: the item table's bucket skew is measured first and, above
-    ``max_skew`` (largest bucket over the mean), every table is written
-    unbucketed and joins keep AQE's skew splitting. Returns the choice made.
+                         mode: str = "overwrite", layout: str = "bucketed") -> dict:
+    """Save the tables in the catalog under ``database`` (stored at ``location``).
+
+    The caller chooses the ``layout``. ``bucketed``: the order-keyed tables are
+    dealt by ``order_id`` first and written as one sorted file a bucket, so
+    joins and groupings on ``order_id`` between orders, items, payments and
+    reviews read matching buckets side by side instead of shuffling the fact
+    tables, and a lookup of one order reads one bucket. A bucketed join has no
+    exchange for AQE to split, so an order with a large share of the rows sits
+    in one task; ``plain`` keeps AQE's skew splitting. The skew of the items'
+    buckets is returned with the choice, for the caller to judge.
     """
-    spark = t.spark
-    skew = bucket_skew(t.order_items, "order_id", buckets)
-    bucketed = skew <= max_skew
+    if layout not in ("bucketed", "plain"):
+        raise ValueError(layout)
+    spark, bucketed = t.spark, layout == "bucketed"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
+    skew = None
     for name, df in t.items():
-        w = df.write.mode(mode).format("parquet")
         if bucketed and name in ORDER_KEYED:
-            w = w.bucketBy(buckets, "order_id").sortBy("order_id")
-        w.saveAsTable(f"{database}.{name}")
-    return {"bucketed": bucketed, "buckets": buckets if bucketed else 0, "item_bucket_skew": round(skew, 3)}
+            if name == "order_items":
+                skew = round(bucket_skew(df, "order_id", buckets), 3)
+            w = df.repartition(buckets, "order_id").write.mode(mode).format("parquet").bucketBy(buckets, "order_id").sortBy("order_id")
+        else:
+            w = df.write.mode(mode).format("parquet")
+        # a bloom filter a row group answers lookups of orders that its range of ids only seems to hold
+        if name in ORDER_KEYED:
+            w = w.option("parquet.bloom.filter.enabled#order_id", "true")
+        w.option("path", os.path.join(location, name)).saveAsTable(f"{database}.{name}")
+    return {"bucketed": bucketed, "buckets": buckets if bucketed else 0, "item_bucket_skew": skew}
 
 
 def read_catalog_tables(spark: SparkSession, database: str) -> Tables:

@@ -50,6 +50,13 @@ class Tables:
             if df is not None:
                 yield name, df
 
+    def unnumbered(self):
+        """The tables by name, the order items without their number (which may cost a sort)."""
+        for name in TABLE_NAMES:
+            df = self.item_rows if name == "order_items" else getattr(self, name)
+            if df is not None:
+                yield name, df
+
     @property
     def spark(self) -> SparkSession:
         return self.orders.sparkSession

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,29 +253,14 @@ def test_number_within_matches_row_number(spark):
             assert got[i] == pos
 
 
-def test_exported_trees_match_mllib_leaves(spark):
-    import numpy as np
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import DecisionTreeRegressor
-    from shipwise.operators.quantile_gbm import leaf_indices, tree_arrays
-    rows = [((i * 37) % 101 / 7.0, (i * 11) % 13 * 1.0, float(i % 5)) for i in range(3000)]
-    df = spark.createDataFrame(rows, "a double, b double, c double")
-    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="f").transform(df).withColumn(
-        "y", F.col("a") * 2 + F.col("b") - F.col("c"))
-    tree = DecisionTreeRegressor(featuresCol="f", labelCol="y", maxDepth=6, leafCol="leaf").fit(df)
-    got = tree.transform(df).select("a", "b", "c", "leaf").collect()
-    x = np.array([[r["a"], r["b"], r["c"]] for r in got])
-    assert list(leaf_indices(tree_arrays(tree), x)) == [int(r["leaf"]) for r in got]
-
-
 def test_quantile_model_scores_hundreds_of_trees(spark):
+    from shipwise.operators.boosting import BoostedModel, BoostedTrees
     from shipwise.operators.features import FEATURES
-    from shipwise.operators.quantile_gbm import QuantileBoostedModel, QuantileBoostedTrees
     rows = [tuple(float((i * (k + 3)) % 17) for k in range(len(FEATURES))) + (float(i % 23),) for i in range(400)]
     df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in FEATURES) + ", actual_days double")
-    m = QuantileBoostedTrees(rounds=3, learning_rate=0.1, max_depth=3).fit(df)
-    assert all(b <= a + 1e-9 for a, b in zip(m.history, m.history[1:]))  # pinball loss never rises
-    big = QuantileBoostedModel(m.f0, m.learning_rate, m.trees * 170, m.leaf_values * 170)  # 510 trees
+    m = BoostedTrees(alpha=0.85, rounds=3, learning_rate=0.1, max_depth=3, subsample=1.0).fit(df)
+    assert all(b <= a + 1e-9 for a, b in zip(m.history(), m.history()[1:]))  # pinball loss never rises
+    big = BoostedModel(m.base, m.learning_rate, m.trees * 170, m.features)  # 510 trees
     out = big.transform(df, "p").select("p").collect()
     assert len(out) == 400 and all(r["p"] == r["p"] for r in out)
 
@@ -323,18 +309,21 @@ def test_scoring_closure_runs_without_the_package(spark, tmp_path):
     import sys
     from pyspark import cloudpickle
     from shipwise.operators.features import FEATURES
-    from shipwise.operators.quantile_gbm import QuantileBoostedTrees
+    from shipwise.operators import boosting
     rows = [tuple(float((i * (k + 3)) % 17) for k in range(len(FEATURES))) + (float(i % 23),) for i in range(300)]
     df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in FEATURES) + ", actual_days double")
-    m = QuantileBoostedTrees(rounds=2, learning_rate=0.1, max_depth=3).fit(df)
-    blob = tmp_path / "scorer.pkl"
-    blob.write_bytes(cloudpickle.dumps(m.scorer("p")))
-    code = ("import pickle, sys, pandas as pd\n"
+    m = boosting.BoostedTrees(alpha=0.85, rounds=2, learning_rate=0.1, max_depth=3).fit(df)
+    blob = tmp_path / "closures.pkl"
+    t = m.trees[0]
+    level = boosting.level_histograms(0.85, tuple(np.array([v]) for v in (-1, 0, -1, -1)), [0], [0, 1], 8, (1, 0, 0.8), True)
+    blob.write_bytes(cloudpickle.dumps((m.scorer(), level, boosting._stepper(t, 0.1), boosting._residuals((t.feature, t.bin, t.left, t.right), (1, 0, 0.8)))))
+    code = ("import pickle, sys, numpy as np\n"
             "assert not any('repo' in p for p in sys.path)\n"
-            f"f = pickle.load(open({str(blob)!r}, 'rb'))\n"
-            f"pdf = pd.DataFrame({{c: [1.0, 2.0] for c in {list(FEATURES)!r}}})\n"
-            "out = list(f(iter([pdf])))[0]\n"
-            "print(len(out['p']))\n")
+            f"score, level, step, rest = pickle.load(open({str(blob)!r}, 'rb'))\n"
+            f"x = np.ones(({len(FEATURES)}, 2))\n"
+            "block = (5, x.astype(np.uint8), np.array([1.0, 2.0]), np.zeros(2))\n"
+            "assert dict(level(iter([block])))[-1][1] == 2 and len(step(block)[3]) == 2 and len(rest(block)) == 2\n"
+            "print(len(score(x)))\n")
     res = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True,
                          env={"PATH": "/usr/bin:/bin"})
     assert res.returncode == 0, res.stderr[-2000:]

@@ -78,8 +78,8 @@ def test_bucketed_layout_removes_order_shuffles(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-def test_hot_order_falls_back_to_plain_layout(spark, tmp_path):
-    from shipwise.sources.files import bucket_skew, write_catalog_tables
+def test_the_caller_chooses_the_layout_and_is_told_the_skew(spark, tmp_path):
+    from shipwise.sources.files import bucket_skew, read_catalog_tables, write_catalog_tables
     from shipwise.sources.star import star_tables
     from shipwise.tables import Tables
     from pyspark.sql import functions as F
@@ -90,14 +90,40 @@ def test_hot_order_falls_back_to_plain_layout(spark, tmp_path):
     hot = items.limit(n // 2).withColumn("order_id", F.lit("hot-order"))
     t = Tables(**{**dict(live.items()), "order_items": items.unionByName(hot)})
     assert bucket_skew(t.order_items, "order_id", 16) > 4.0
-    choice = write_catalog_tables(t, "shipwise_test_hot", str(tmp_path / "db"), 16)
-    assert choice["bucketed"] is False
-    ok = write_catalog_tables(live, "shipwise_test_even", str(tmp_path / "db2"), 16)
-    assert ok["bucketed"] is True
+    told = write_catalog_tables(t, "shipwise_test_hot", str(tmp_path / "db"), 16)
+    assert told["bucketed"] and told["item_bucket_skew"] > 4.0
+    plain = write_catalog_tables(t, "shipwise_test_plain", str(tmp_path / "db2"), 16, layout="plain")
+    assert plain == {"bucketed": False, "buckets": 0, "item_bucket_skew": None}
+    a, b = read_catalog_tables(spark, "shipwise_test_hot"), read_catalog_tables(spark, "shipwise_test_plain")
+    assert a.order_items.exceptAll(b.order_items).isEmpty() and a.order_items.count() == n + n // 2
+    # dealt before it is written: one file a bucket
+    files = [f for f in (tmp_path / "db" / "order_items").iterdir() if f.name.endswith(".parquet")]
+    assert len(files) <= 16
+
+
+def test_one_order_reads_one_bucket(spark, tmp_path):
+    from shipwise.sources.files import read_catalog_tables, write_catalog_tables
+    from shipwise.sources.star import star_tables
+    from shipwise.oracle.compare import spark_result
+    live = star_tables(spark, SF_SMALL)
+    write_catalog_tables(live, "shipwise_test_one", str(tmp_path / "db"), 8)
+    stored = read_catalog_tables(spark, "shipwise_test_one")
+    one = live.orders.select("order_id").orderBy("order_id").first()["order_id"]
+    story = ex.order_story(stored, one)
+    assert spark_result(story) == spark_result(ex.order_story(live, one))
+    # the plan shows pruned buckets where the scan keeps its buckets (files of other buckets are left out either way)
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    try:
+        text = plan_text(ex.order_story(read_catalog_tables(spark, "shipwise_test_one"), one))
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert text.count("SelectedBucketsCount: 1 out of 8") >= 4  # orders, items, payments, reviews
+    assert f"EqualTo(order_id,{one})" in text
 
 
 @pytest.mark.parametrize("name", ["k3_top_categories_by_revenue", "k6_monthly_revenue", "k20_slowest_categories",
-                                  "r9_slow_sellers_vs_category"])
+                                  "r9_slow_sellers_vs_category", "a4_row_counts", "a6_orphan_rows", "e10_filter_report",
+                                  "r16_route_margins"])
 def test_items_without_their_number_stay_lazy(spark, name):
     """No checkpoint and no sort of the item rows where the item number is not read."""
     text = plan_text(catalog.queries()[name](spark, SF_SMALL))

@@ -98,11 +98,11 @@ def test_round_half_away_from_zero(spark, cents, digits):
 
 
 def test_quantile_calibration_hits_target_share(spark):
-    from shipwise.operators.quantile_gbm import QuantileBoostedTrees
+    from shipwise.operators.boosting import BoostedTrees
     rows = [tuple(float((i * (k + 5)) % 29) for k in range(len(FEATURES))) + (float((i * 7919) % 61) / 3.0,)
             for i in range(1500)]
     df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in FEATURES) + ", actual_days double")
-    m = QuantileBoostedTrees(rounds=3, learning_rate=0.3, max_depth=3, calibrate=True).fit(df)
+    m = BoostedTrees(alpha=0.85, rounds=3, learning_rate=0.3, max_depth=3, calibrate=True).fit(df)
     late = m.transform(df, "p").agg(F.avg((F.col("actual_days") > F.col("p")).cast("double"))).first()[0]
     assert abs(late - 0.15) < 0.02
 
