@@ -8,23 +8,29 @@ of their rows).
   the target, stored as Parquet. Training works on an RDD of these blocks and
   the rows' margins (current predictions), because a round is a handful of very
   short jobs over per-partition NumPy arrays.
-* A level of a tree is one job: every task adds up (gradient, rows) per node,
-  feature and bin; the sums of a node meet by ``reduceByKey`` and the node's
-  best split is found where they meet. Only split records reach the driver.
+* A level of a tree is one job for its large nodes: every task adds up
+  (gradient, rows) per node, feature and bin; the sums of a node meet by
+  ``reduceByKey`` and the node's best split is found where they meet (a level
+  whose sums are at most DIRECT_BYTES in all sends them to the driver). Rows
+  never reach the driver.
+* Nodes of at most LOCAL_ROWS rows are finished in one further job: their rows
+  meet in a task that grows the rest of the subtree from the same sums, so the
+  tree is the same and a small training takes one job a tree.
 * Trees grow ``max_depth`` levels and are then cut to the ``max_leaves - 1``
   splits that best-first growth takes.
 * Sums are integers (gradients in steps of 2**-20), so neither the partitioning
   nor a retried task changes a tree.
-* Leaf percentiles are selected exactly: counts by the leading bits of the
-  residuals' order-preserving integer form narrow each leaf's ranks to a few
-  values, which alone are gathered (again by leaf, on the executors).
+* Leaf percentiles are exact. Where a subtree is grown in one task, its rows
+  are there; for larger leaves, counts by the leading bits of the residuals'
+  order-preserving integer form narrow the ranks to a few values, which alone
+  are gathered (by leaf, on the executors).
 
 Training state lives in ``folder``: the blocks, the settings, and the trees of
 every ``every`` rounds, appended when the margins are checkpointed. A run that
 finds state there continues it (margins are rebuilt from the stored trees by
 the same additions) and ends with the trees that an unbroken run gives; a
-finished training is only read. Without a folder, one under the checkpoint
-directory is named after the data and the settings, so a model is trained once
+finished training is only read. Without a folder, one under the folder of
+``spark.checkpoint.dir`` is named after the data and the settings, so a model is trained once
 for any number of reports.
 """
 
@@ -40,12 +46,12 @@ from dataclasses import asdict, dataclass
 import numpy as np
 from pyspark import StorageLevel, cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranking import percentile
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, shared_dir
 from .features import FEATURES, TARGET
 
 # the functions below travel with their closures: workers need NumPy, not this package
@@ -53,6 +59,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FIXED = float(1 << 20)   # integer steps of a gradient or loss
 BLOCK_ROWS = 1 << 16
+LOCAL_ROWS = 1 << 19     # largest node whose rows meet in one task (some 10 MB)
+TASK_ROWS = 1 << 16      # rows that a task of a level job is worth starting for
+DIRECT_BYTES = 1 << 24   # sums of one level that may meet on the driver; more meet on the executors
 GATHER = 4096            # values of a leaf that are gathered at the end of a selection
 NODE_SCHEMA = ("tree int, node int, feature int, bin int, threshold double, left int, right int, "
                "gain double, rows long, value double, loss double")
@@ -91,16 +100,15 @@ def walk(feature: np.ndarray, at_most: np.ndarray, left: np.ndarray, right: np.n
 
 
 # ------------------------------------------------------------------ objectives
-def gradients(alpha: float | None, y: np.ndarray, margin: np.ndarray) -> np.ndarray:
-    """Integer-valued gradients of the loss: squared error, or pinball if ``alpha`` is given."""
+def gradients(alpha: float | None, r: np.ndarray) -> np.ndarray:
+    """Integer-valued gradients of the loss at residuals ``r`` (target less prediction): squared error, or pinball if ``alpha`` is given."""
     if alpha is None:
-        return np.rint((margin - y) * FIXED)
-    return np.where(y > margin, np.rint(-alpha * FIXED), np.rint((1 - alpha) * FIXED))
+        return np.rint(-r * FIXED)
+    return np.where(r > 0, np.rint(-alpha * FIXED), np.rint((1 - alpha) * FIXED))
 
 
-def losses(alpha: float | None, y: np.ndarray, margin: np.ndarray) -> int:
+def losses(alpha: float | None, r: np.ndarray) -> int:
     """Sum of the losses in integer steps."""
-    r = y - margin
     each = r * r if alpha is None else np.where(r > 0, alpha * r, (alpha - 1) * r)
     return int(np.rint(each * FIXED).sum())
 
@@ -113,33 +121,133 @@ def in_bag(seed: int, round_: int, block: int, n: int, share: float) -> np.ndarr
 
 
 # ------------------------------------------------------------------ one level
+def node_sums(alpha, x: np.ndarray, features, at: np.ndarray, r: np.ndarray, nodes: int, bins: int) -> np.ndarray:
+    """(nodes, 2, features, bins) sums of gradients and rows; ``at``: the node of each row, ``r``: its residual, ``features``: rows of x."""
+    size, base = nodes * bins, at * bins
+    out = np.empty((len(features), 2, size), np.int64)
+    above = np.flatnonzero(r > 0)
+    g = gradients(alpha, r) if alpha is None else None
+    low, high = (int(v) for v in gradients(alpha, np.array([1.0, -1.0]))) if alpha is not None else (0, 0)
+    for k, f in enumerate(features):
+        key = base + x[f]
+        out[k, 1] = np.bincount(key, minlength=size)
+        if alpha is None:
+            out[k, 0] = np.bincount(key, g, size)
+        else:  # two gradients only: counting the rows above the prediction is enough
+            out[k, 0] = high * out[k, 1] + (low - high) * np.bincount(key[above], minlength=size)
+    return out.reshape(len(features), 2, nodes, bins).transpose(2, 1, 0, 3)
+
+
 def level_histograms(alpha, arrays: tuple, frontier: list[int], features: list[int], bins: int, bag: tuple, with_loss: bool):
     """mapPartitions function: (place in the frontier, (2, features, bins) sums of gradients and rows); -1: (loss, rows)."""
     def run(blocks: Iterator[tuple]) -> Iterator[tuple]:
         sums, loss, rows = None, 0, 0
         place = np.full(len(arrays[0]), -1, np.int64)
         place[frontier] = np.arange(len(frontier))
-        size = len(frontier) * bins
         for block, x, y, margin in blocks:
             if with_loss:
-                loss, rows = loss + losses(alpha, y, margin), rows + len(y)
+                loss, rows = loss + losses(alpha, y - margin), rows + len(y)
             at = place[walk(*arrays, x)]
             use = np.flatnonzero((at >= 0) & in_bag(bag[0], bag[1], block, len(y), bag[2]))
-            g, base = gradients(alpha, y[use], margin[use]), at[use] * bins
-            part = np.empty((len(features), 2, size), np.int64)
-            for k, f in enumerate(features):
-                key = base + x[f, use]
-                part[k, 0] = np.bincount(key, g, size)
-                part[k, 1] = np.bincount(key, minlength=size)
+            part = node_sums(alpha, x[:, use], features, at[use], (y - margin)[use], len(frontier), bins)
             sums = part if sums is None else sums + part
         if sums is not None:
-            by_node = sums.reshape(len(features), 2, len(frontier), bins).transpose(2, 1, 0, 3)
-            yield from ((k, by_node[k].copy()) for k in range(len(frontier)))
+            yield from ((k, sums[k].copy()) for k in range(len(frontier)))
         if with_loss:
             yield -1, np.array([loss, rows], np.int64)
     return run
 
 
+def node_rows(alpha, arrays: tuple, nodes: list[int], features: list[int], bag: tuple, with_loss: bool):
+    """mapPartitions function: (node, (bins of the features, residuals)) of the sampled rows of some nodes; -1: (loss, rows)."""
+    def run(blocks: Iterator[tuple]) -> Iterator[tuple]:
+        loss, rows = 0, 0
+        for block, x, y, margin in blocks:
+            r = y - margin
+            if with_loss:
+                loss, rows = loss + losses(alpha, r), rows + len(y)
+            used = in_bag(bag[0], bag[1], block, len(y), bag[2])
+            ends = walk(*arrays, x)
+            for node in nodes:
+                at = np.flatnonzero(used & (ends == node))
+                if len(at):
+                    yield node, (x[np.ix_(features, at)], r[at])
+        if with_loss:
+            yield -1, (loss, rows)
+    return run
+
+
+def grouped(items: Iterator[tuple]) -> Iterator[tuple]:
+    """What ``groupByKey`` gives for the items of one task."""
+    held: dict = {}
+    for key, value in items:
+        held.setdefault(key, []).append(value)
+    yield from held.items()
+
+
+def grow_rest(alpha, features: list[int], bins: int, depths: dict[int, int], find):
+    """Grows the subtree of a node whose rows are all here: (node, [(parent, side, split record or None, percentile)]), the
+    subtree's nodes level by level.
+
+    A node is the list of its rows, for percentiles in the order of their residuals (which splitting keeps). Only the
+    smaller of two children is added up: the other is what it leaves of their parent."""
+    def run(item: tuple) -> tuple:
+        node, parts = item
+        if node < 0:
+            parts = list(parts)
+            return node, (sum(a for a, _ in parts), sum(b for _, b in parts))
+        xs, rs = zip(*parts)
+        x, r = np.concatenate(xs, 1), np.concatenate(rs)
+        g = gradients(alpha, r)
+        low, high = (int(v) for v in gradients(alpha, np.array([1.0, -1.0])))
+
+        def sums_of(rows: np.ndarray) -> np.ndarray:
+            out = np.empty((2, len(features), bins), np.int64)
+            own = g.take(rows) if alpha is None else None
+            above = None if alpha is None else rows[np.searchsorted(r.take(rows), 0.0, "right") :]
+            for k in range(len(features)):
+                key = x[k].take(rows)
+                out[1, k] = np.bincount(key, minlength=bins)
+                if alpha is None:
+                    out[0, k] = np.bincount(key, own, bins)
+                else:  # two gradients only: counting the rows above the prediction is enough
+                    out[0, k] = high * out[1, k] + (low - high) * np.bincount(x[k].take(above), minlength=bins)
+            return out
+        rows = np.argsort(r, kind="stable") if alpha is not None else np.arange(len(r))
+        made, level = [[-1, 0, None, None]], [(0, rows, sums_of(rows))]
+        for depth in range(depths[node] + 1):
+            following = []
+            for n, rows, sums in level:
+                if alpha is not None:
+                    made[n][3] = sorted_percentile(r, rows, alpha)
+                if depth == depths[node]:
+                    continue
+                split = made[n][2] = find(sums)
+                if split[0] > 0:
+                    goes = x[features.index(split[1])].take(rows) <= split[2]
+                    left, right = rows[goes], rows[~goes]
+                    by_side = [None, None]
+                    if depth + 1 < depths[node]:
+                        small = int(len(left) > len(right))
+                        by_side[small] = sums_of((left, right)[small])
+                        by_side[1 - small] = sums - by_side[small]
+                    following += [(len(made), left, by_side[0]), (len(made) + 1, right, by_side[1])]
+                    made += [[n, 0, None, None], [n, 1, None, None]]
+            level = following
+        return node, [tuple(m) for m in made]
+    return run
+
+
+def sorted_percentile(v: np.ndarray, order: np.ndarray, q: float) -> float | None:
+    """Linear interpolation between the closest ranks of ``v[order]``, which ascends."""
+    if not len(order):
+        return None
+    at = (len(order) - 1) * q
+    lo, hi = int(np.floor(at)), int(np.ceil(at))
+    t, a, b = at - lo, float(v[order[lo]]), float(v[order[hi]])
+    return b - (b - a) * (1.0 - t) if t >= 0.5 else a + (b - a) * t
+
+
 def split_of(features: list[int], min_rows: int, l1: float, l2: float):
     """The best split of a node's sums: (gain, feature, bin, left gradient, left rows, gradient, rows)."""
     def score(g, n):
@@ -343,23 +451,24 @@ class BoostedTrees:
             F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")).first()
         key = json.dumps([self.settings(), row["n"], str(row["s"])], sort_keys=True)
         name = "mean" if self.alpha is None else f"p{round(self.alpha * 100)}"
-        return f"{ensure_checkpoint_dir(train.sparkSession)}/boosted-{name}-{hashlib.sha256(key.encode()).hexdigest()[:24]}"
+        return f"{shared_dir(train.sparkSession)}/boosted-{name}-{hashlib.sha256(key.encode()).hexdigest()[:24]}"
 
     def _edges(self, x: DataFrame) -> list[list[float]]:
         """Upper edges of each feature's bins but the last: all values if few, else quantiles."""
         names = list(self.features)
-        values = (x.select(*[F.col(f).cast("double").alias(f) for f in names]).unpivot([], names, "f", "v")
-                  .groupBy("f", "v").agg(F.count(F.lit(1)).alias("n")))
-        few = {r["f"] for r in values.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= self.max_bins).collect()}
-        edges: dict[str, list[float]] = {f: [] for f in names}
-        for r in values.where(F.col("f").isin(sorted(few))).select("f", "v").collect():  # at most max_bins values a feature
-            edges[r["f"]].append(float(r["v"]))
-        many = [f for f in names if f not in few]
-        if many:
-            at = [k / self.max_bins for k in range(1, self.max_bins)]
-            row = x.agg(*[F.percentile_approx(F.col(f).cast("double"), at, 100 * self.max_bins).alias(f) for f in many]).first()
-            edges.update({f: list(row[f] or []) for f in many})
-        return [sorted(set(edges[f]))[:-1] if f in few else sorted(set(edges[f])) for f in names]
+        at = ", ".join(repr(k / self.max_bins) + "D" for k in range(1, self.max_bins))
+        row = x.agg(*[F.expr(f"percentile_approx(`{f}`, array({at}), {40 * self.max_bins})").alias(f) for f in names]).first()
+        edges = {f: sorted(set(row[f] or [])) for f in names}
+        # quantiles that coincide: there may be few values, and then rare ones among them get bins too
+        likely = [f for f in names if len(edges[f]) < self.max_bins - 1]
+        if likely:
+            own = Window.partitionBy("f").orderBy("v")
+            values = x.select(*likely).unpivot([], likely, "f", "v").distinct().withColumn("k", F.row_number().over(own))
+            few: dict[str, list[float]] = {}
+            for r in values.where(F.col("k") <= self.max_bins + 1).collect():  # a few values a feature
+                few.setdefault(r["f"], []).append(float(r["v"]))
+            edges.update({f: sorted(v)[:-1] for f, v in few.items() if len(v) <= self.max_bins})
+        return [edges[f] for f in names]
 
     def _prepare(self, train: DataFrame, folder: str) -> dict:
         spark = train.sparkSession
@@ -367,7 +476,7 @@ class BoostedTrees:
         x = train.where(y.isNotNull()).select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in self.features], y.alias("_y"))
         edges = self._edges(x)
         x.mapInArrow(_packer([np.array(e) for e in edges]), "block long, x binary, y binary, n long").write.mode("overwrite").parquet(f"{folder}/blocks")
-        rows = int(x.count())
+        rows = int(spark.read.parquet(f"{folder}/blocks").agg(F.sum("n")).first()[0] or 0)
         if not rows:
             base = 0.0
         elif self.alpha is None:
@@ -382,12 +491,14 @@ class BoostedTrees:
     def _train(self, spark: SparkSession, folder: str, meta: dict, trees: list[Tree], rounds: int) -> None:
         ensure_checkpoint_dir(spark)
         n_features = len(self.features)
-        current = spark.read.parquet(f"{folder}/blocks").rdd.map(_unpacker(n_features, meta["base"], trees, self.learning_rate)).persist(StorageLevel.MEMORY_AND_DISK)
+        blocks = spark.read.parquet(f"{folder}/blocks").rdd
+        blocks = blocks.coalesce(max(1, min(blocks.getNumPartitions(), -(-meta["rows"] // TASK_ROWS))))
+        current = blocks.map(_unpacker(n_features, meta["base"], trees, self.learning_rate)).persist(StorageLevel.MEMORY_AND_DISK)
         bins = max(len(e) for e in meta["edges"]) + 1
         held, fresh = [], []
         for m in range(len(trees), rounds):
             chosen = sorted(np.random.Generator(np.random.PCG64([self.seed, m])).permutation(n_features)[: max(1, round(self.colsample * n_features))].tolist())
-            tree = self._grow(current, chosen, bins, m, meta["edges"])
+            tree = self._grow(current, chosen, bins, m, meta)
             fresh.append(tree)
             old, current = current, current.map(_stepper(tree, self.learning_rate)).persist(StorageLevel.MEMORY_AND_DISK)
             held.append(old)
@@ -404,63 +515,102 @@ class BoostedTrees:
                 held.pop(0).unpersist()
         current.unpersist()
 
-    def _grow(self, blocks, chosen: list[int], bins: int, m: int, edges: list) -> Tree:
-        feature, at_most, left, right, gain, rows, grad = [-1], [0], [-1], [-1], [0.0], [0], [0]
-        frontier, loss = [0], 0.0
-        find = split_of(chosen, self.min_rows, self.l1, self.l2)
+    def _grow(self, blocks, chosen: list[int], bins: int, m: int, meta: dict) -> Tree:
+        nodes = _Growing(meta["rows"])
+        frontier, small, loss = [0], {}, None
+        find, bag = split_of(chosen, self.min_rows, self.l1, self.l2), (self.seed, m, self.subsample)
         width = blocks.getNumPartitions()
-        for depth in range(self.max_depth):
-            # one job: the sums of a node meet in one of at most ``width`` tasks
-            arrays = tuple(np.array(a) for a in (feature, at_most, left, right))
-            job = level_histograms(self.alpha, arrays, frontier, chosen, bins, (self.seed, m, self.subsample), depth == 0)
-            found = dict(blocks.mapPartitions(job).reduceByKey(np.add, max(1, min(width, len(frontier)))).mapValues(find).collect())
-            if -1 in found:
-                total, n = found.pop(-1)
-                loss = total / FIXED / max(1, n)
-            following = []
-            for k in sorted(found):
-                node = frontier[k]
-                g, f, b, gl, nl, all_g, all_n = found[k]
-                rows[node], grad[node] = all_n, all_g
-                if not g > 0:
-                    continue
-                feature[node], at_most[node], gain[node] = f, b, g
-                for side, (cg, cn) in ((left, (gl, nl)), (right, (all_g - gl, all_n - nl))):
-                    side[node] = len(feature)
-                    feature.append(-1), at_most.append(0), left.append(-1), right.append(-1), gain.append(0.0), rows.append(cn), grad.append(cg)
-                    if cn >= 2 * self.min_rows:
-                        following.append(side[node])
-            frontier = following
-            if not frontier:
+        for depth in range(self.max_depth + 1):
+            small.update({n: self.max_depth - depth for n in frontier if nodes.rows[n] <= LOCAL_ROWS})
+            frontier = [n for n in frontier if nodes.rows[n] > LOCAL_ROWS]
+            if not frontier or depth == self.max_depth:
                 break
-        tree = self._cut(feature, at_most, left, right, gain, rows, grad, edges)
-        tree.loss = loss
+            sums = blocks.mapPartitions(level_histograms(self.alpha, nodes.arrays(), frontier, chosen, bins, bag, loss is None))
+            if width * len(frontier) * len(chosen) * bins * 16 <= DIRECT_BYTES:
+                total: dict = {}
+                for k, part in sums.collect():
+                    total[k] = total[k] + part if k in total else part
+                found = {k: find(part) for k, part in total.items()}
+            else:  # the sums of a node meet in one of at most ``width`` tasks
+                found = dict(sums.reduceByKey(np.add, max(1, min(width, len(frontier)))).mapValues(find).collect())
+            loss = found.pop(-1, loss)
+            frontier = [child for k in sorted(found) for child in nodes.split(frontier[k], found[k])]
+        if small:
+            rows = blocks.mapPartitions(node_rows(self.alpha, nodes.arrays(), list(small), chosen, bag, loss is None))
+            # the rows of one task have met already
+            met = rows.mapPartitions(grouped) if width == 1 else rows.groupByKey(min(width, len(small)))
+            grown = dict(met.map(grow_rest(self.alpha, chosen, bins, small, find)).collect())
+            loss = grown.pop(-1, loss)
+            for node in sorted(grown):
+                nodes.attach(node, grown[node])
+        tree, old = self._cut(nodes, meta["edges"])
+        tree.loss = loss[0] / FIXED / max(1, loss[1])
         if self.alpha is not None:
-            bag, walked = (self.seed, m, self.subsample), (tree.feature, tree.bin, tree.left, tree.right)
-            for leaf, v in group_percentiles(blocks.map(_residuals(walked, bag)), self.alpha).items():
-                tree.value[leaf] = v
+            leaves = np.flatnonzero(tree.feature < 0)
+            tree.value[leaves] = [nodes.percentile.get(old[k], 0.0) for k in leaves]
+            large = {int(k) for k in leaves if old[k] not in nodes.percentile}
+            if large:
+                walked = (tree.feature, tree.bin, tree.left, tree.right)
+                for leaf, v in group_percentiles(blocks.map(_residuals(walked, bag, large)), self.alpha).items():
+                    tree.value[leaf] = v
         return tree
 
-    def _cut(self, feature, at_most, left, right, gain, rows, grad, edges) -> Tree:
-        """The splits that best-first growth to ``max_leaves`` takes, renumbered in the order taken."""
-        order, heap, kept = [0], [(-gain[0], 0)] if feature[0] >= 0 else [], set()
+    def _cut(self, nodes: "_Growing", edges: list) -> tuple[Tree, list[int]]:
+        """The splits that best-first growth to ``max_leaves`` takes, renumbered in the order taken; the old numbers."""
+        order, kept = [0], set()
+        heap = [(-nodes.gain[0], 0)] if nodes.feature[0] >= 0 else []
         while heap and len(kept) < self.max_leaves - 1:
             _, node = heapq.heappop(heap)
             kept.add(node)
-            for child in (left[node], right[node]):
+            for child in (nodes.left[node], nodes.right[node]):
                 order.append(child)
-                if feature[child] >= 0:
-                    heapq.heappush(heap, (-gain[child], child))
+                if nodes.feature[child] >= 0:
+                    heapq.heappush(heap, (-nodes.gain[child], child))
         new = {node: k for k, node in enumerate(order)}
-        inner = [node in kept for node in order]
+        inner = np.array([node in kept for node in order])
         pick = lambda a, other, kind: np.array([a[n] if k else other for n, k in zip(order, inner)], kind)
-        bins = pick(at_most, 0, np.int64)
-        feats = pick(feature, -1, np.int64)
-        n, g = np.array([rows[k] for k in order], np.int64), np.array([grad[k] for k in order], np.int64)
+        bins, feats = pick(nodes.at_most, 0, np.int64), pick(nodes.feature, -1, np.int64)
+        n, g = np.array([nodes.rows[k] for k in order], np.int64), np.array([nodes.grad[k] for k in order], np.int64)
         value = -np.sign(g) * np.maximum(np.abs(g) / FIXED - self.l1, 0) / (n + self.l2)
         threshold = np.array([edges[f][b] if f >= 0 else 0.0 for f, b in zip(feats.tolist(), bins.tolist())])
-        return Tree(feats, bins, threshold, np.array([new[left[k]] if i else -1 for k, i in zip(order, inner)], np.int64),
-                    np.array([new[right[k]] if i else -1 for k, i in zip(order, inner)], np.int64), pick(gain, 0.0, np.float64), n, np.where(inner, 0.0, value))
+        sides = [np.array([new[side[k]] if i else -1 for k, i in zip(order, inner)], np.int64) for side in (nodes.left, nodes.right)]
+        return Tree(feats, bins, threshold, *sides, pick(nodes.gain, 0.0, np.float64), n, np.where(inner, 0.0, value)), order
+
+
+class _Growing:
+    """The nodes of a tree while it grows (``rows`` of the root: at most)."""
+
+    def __init__(self, rows: int):
+        self.feature, self.at_most, self.left, self.right = [-1], [0], [-1], [-1]
+        self.gain, self.rows, self.grad, self.percentile = [0.0], [rows], [0], {}
+
+    def arrays(self) -> tuple:
+        return tuple(np.array(a, np.int64) for a in (self.feature, self.at_most, self.left, self.right))
+
+    def split(self, node: int, record: tuple) -> list[int]:
+        """Takes the node's sums and, if it gains, its split; the new children."""
+        gain, f, b, gl, nl, all_g, all_n = record
+        self.rows[node], self.grad[node] = all_n, all_g
+        if not gain > 0:
+            return []
+        self.feature[node], self.at_most[node], self.gain[node] = f, b, gain
+        children = [len(self.feature), len(self.feature) + 1]
+        self.left[node], self.right[node] = children
+        for g, n in ((gl, nl), (all_g - gl, all_n - nl)):
+            for a, v in zip((self.feature, self.at_most, self.left, self.right, self.gain, self.rows, self.grad), (-1, 0, -1, -1, 0.0, n, g)):
+                a.append(v)
+        return children
+
+    def attach(self, node: int, made: list[tuple]) -> None:
+        """Adds the subtree that ``grow_rest`` made of a node."""
+        number = {0: node}
+        for k, (parent, side, record, percentile) in enumerate(made):
+            if k:
+                number[k] = (self.left, self.right)[side][number[parent]]
+            if record is not None:
+                self.split(number[k], record)
+            if percentile is not None:
+                self.percentile[number[k]] = percentile
 
 
 def _packer(edges: list[np.ndarray]):
@@ -507,11 +657,12 @@ def _stepper(tree: Tree, rate: float):
     return run
 
 
-def _residuals(arrays: tuple, bag: tuple):
+def _residuals(arrays: tuple, bag: tuple, leaves: set[int]):
     def run(item: tuple) -> tuple:
         block, x, y, margin = item
-        use = in_bag(bag[0], bag[1], block, len(y), bag[2])
-        return walk(*arrays, x)[use], (y - margin)[use]
+        leaf = walk(*arrays, x)
+        use = in_bag(bag[0], bag[1], block, len(y), bag[2]) & np.isin(leaf, list(leaves))
+        return leaf[use], (y - margin)[use]
     return run
 
 

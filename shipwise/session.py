@@ -66,3 +66,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, for tables that outlive this driver (Spark keeps the checkpoints of
+    each driver in a folder of its own below it)."""
+    own = ensure_checkpoint_dir(spark)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (named or os.path.dirname(own.rstrip("/"))).rstrip("/")

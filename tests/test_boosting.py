@@ -103,6 +103,19 @@ def test_leaves_hold_exact_percentiles(frame):
     assert np.allclose(np.sort(got), np.sort(margin), atol=1e-12)
 
 
+@pytest.mark.parametrize("alpha", [None, 0.85])
+def test_trees_do_not_depend_on_where_nodes_are_finished(frame, tmp_path, monkeypatch, alpha):
+    whole = bo.BoostedTrees(alpha=alpha, rounds=2, folder=str(tmp_path / "whole")).fit(frame)
+    # every level a job of its own, its sums on the driver or on the executors; from nodes of 250 rows on in one task
+    for limit, direct in ((0, 1 << 24), (0, 0), (250, 0)):
+        monkeypatch.setattr(bo, "LOCAL_ROWS", limit)
+        monkeypatch.setattr(bo, "DIRECT_BYTES", direct)
+        folder = tmp_path / f"{limit}-{direct}"
+        frame.sparkSession.read.parquet(str(tmp_path / "whole" / "blocks")).write.parquet(str(folder / "blocks"))
+        frame.sparkSession.read.text(str(tmp_path / "whole" / "meta")).coalesce(1).write.text(str(folder / "meta"))
+        assert same(bo.BoostedTrees(alpha=alpha, rounds=2, folder=str(folder)).fit(frame).trees, whole.trees)
+
+
 def test_limits_and_samples(frame, spark):
     m = bo.BoostedTrees(rounds=4, max_leaves=5, every=2).fit(frame)
     for t in m.trees:
@@ -155,6 +168,32 @@ def test_a_model_is_trained_once(frame, monkeypatch):
     assert len(bo.BoostedTrees(rounds=2, max_depth=2).fit(frame.repartition(3)).trees) == 2
 
 
+def test_state_outlives_the_driver(frame, tmp_path):
+    """Another driver on the same checkpoint folder continues what this one left."""
+    import os
+    import subprocess
+    import sys
+    frame.coalesce(2).write.parquet(str(tmp_path / "rows"))
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = """
+import sys
+sys.path.insert(0, {root!r})
+from shipwise.operators.boosting import BoostedTrees
+from shipwise.session import local_session
+spark = local_session(2, 2, extra={{"spark.checkpoint.dir": {shared!r}}})
+m = BoostedTrees(alpha=0.85, rounds=3, max_depth=3, every=1).fit(spark.read.parquet({rows!r}), stop_after={stop})
+print("trees", len(m.trees), m.folder, flush=True)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = []
+    for stop in (2, 1):
+        code = script.format(root=root, shared=str(tmp_path / "shared"), rows=str(tmp_path / "rows"), stop=stop)
+        done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+        assert done.returncode == 0, done.stderr[-2000:]
+        said.append([line.split() for line in done.stdout.splitlines() if line.startswith("trees")][0])
+    assert [s[1] for s in said] == ["2", "3"] and said[0][2] == said[1][2]
+
+
 def test_training_on_nothing_and_on_a_constant(frame, spark):
     none = bo.BoostedTrees(rounds=3).fit(frame.limit(0))
     assert none.trees == [] and {r.p for r in none.transform(frame, "p").collect()} == {0.0}

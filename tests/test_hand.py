@@ -316,13 +316,16 @@ def test_scoring_closure_runs_without_the_package(spark, tmp_path):
     blob = tmp_path / "closures.pkl"
     t = m.trees[0]
     level = boosting.level_histograms(0.85, tuple(np.array([v]) for v in (-1, 0, -1, -1)), [0], [0, 1], 8, (1, 0, 0.8), True)
-    blob.write_bytes(cloudpickle.dumps((m.scorer(), level, boosting._stepper(t, 0.1), boosting._residuals((t.feature, t.bin, t.left, t.right), (1, 0, 0.8)))))
+    blob.write_bytes(cloudpickle.dumps((m.scorer(), level, boosting._stepper(t, 0.1), boosting._residuals((t.feature, t.bin, t.left, t.right), (1, 0, 0.8), {0}),
+                                       boosting.node_rows(0.85, tuple(np.array([v]) for v in (-1, 0, -1, -1)), [0], [0, 1], (1, 0, 1.0), True),
+                                       boosting.grow_rest(0.85, [0, 1], 8, {0: 2}, boosting.split_of([0, 1], 1, 0.1, 0.1)))))
     code = ("import pickle, sys, numpy as np\n"
             "assert not any('repo' in p for p in sys.path)\n"
-            f"score, level, step, rest = pickle.load(open({str(blob)!r}, 'rb'))\n"
+            f"score, level, step, rest, rows, grow = pickle.load(open({str(blob)!r}, 'rb'))\n"
             f"x = np.ones(({len(FEATURES)}, 2))\n"
             "block = (5, x.astype(np.uint8), np.array([1.0, 2.0]), np.zeros(2))\n"
             "assert dict(level(iter([block])))[-1][1] == 2 and len(step(block)[3]) == 2 and len(rest(block)) == 2\n"
+            "found = dict(rows(iter([block]))); assert grow((0, [found[0]]))[0] == 0\n"
             "print(len(score(x)))\n")
     res = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True,
                          env={"PATH": "/usr/bin:/bin"})
