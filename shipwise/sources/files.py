@@ -93,12 +93,15 @@ def checked_csv_table(spark: SparkSession, path: str, name: str) -> tuple[DataFr
     missing = [f.name for f in schema.fields if f.name not in header]
     if missing:
         raise ValueError(f"{path}: columns missing from the header: {missing}")
-    raw = spark.read.options(**options, columnNameOfCorruptRecord=_CORRUPT).schema(
+    # whole records are parsed: with pruned columns a record's number of fields is not seen
+    raw = spark.read.options(**options, columnNameOfCorruptRecord=_CORRUPT, columnPruning="false").schema(
         T.StructType([T.StructField(c, T.StringType()) for c in [*header, _CORRUPT]])).csv(path)
 
     def fault(column: str, value: Column, reason: str) -> Column:
         return F.struct(F.lit(column).alias("column"), value.alias("value"), F.lit(reason).alias("reason"))
-    faults = [F.when(F.col(_CORRUPT).isNotNull(), fault("", F.col(_CORRUPT), f"not {len(header)} fields"))]
+    # (a count of rows must read some column besides the corrupt record's, or Spark refuses it)
+    broken = F.col(_CORRUPT).isNotNull() & (F.length(F.coalesce(F.col(header[0]), F.lit(""))) >= 0)
+    faults = [F.when(broken, fault("", F.col(_CORRUPT), f"not {len(header)} fields"))]
     for f in schema.fields:
         if not isinstance(f.dataType, T.StringType):
             text = F.trim(F.col(f.name))
