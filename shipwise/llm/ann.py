@@ -7,10 +7,15 @@ cells at the quantiles of its keys. A query takes its own cell and the two next
 to it on every curve; candidates of all curves merge and are reranked by exact
 inner products in doubles.
 
-CELLS is the number of cells of a curve, so a window is a fixed share of the
-table and recall does not fall as the table grows, but work grows with queries
-times rows; a table of fewer than CELLS * LEAST rows has fewer cells, down to
-one (which is exact).
+Windows are near in direction, inner products also follow the norms. So the
+vectors of one length are searched by shells, each holding the norms within a
+factor of the square root of two of its largest (all vectors, if their norms are
+alike), with curves and cells of its own; a query visits every shell.
+
+CELLS is the number of cells of a curve, so a window is a fixed share of a shell
+and recall does not fall as the table grows, but work grows with queries times
+rows; a shell of fewer than CELLS * LEAST rows has fewer cells, down to one
+(which is exact). A key that many vectors share is one cell's, not several's.
 
 A cell is dealt by hash into blocks of at most about BLOCK rows and its queries
 into blocks of QUERY_BLOCK, and a task compares one block with one: a cell
@@ -41,6 +46,7 @@ CURVES = 24
 DIMS, BITS = 8, 3
 CELLS = 60
 LEAST = 64
+SHELLS = 64
 BLOCK = 8192
 QUERY_BLOCK = 1024
 K = 20
@@ -79,16 +85,33 @@ def directions(dim: int) -> np.ndarray:
     return np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0][:, : min(DIMS, dim)] for _ in range(CURVES)], axis=1)
 
 
-def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers, sums and sums of squares of the projections, by length."""
+def _norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(dim, largest squared norm)."""
+    most: dict[int, float] = {}
+    for dim, _, x in _by_length(batches):
+        most[dim] = max(most.get(dim, 0.0), float((x * x).sum(axis=1).max()))
+    yield pa.RecordBatch.from_arrays([pa.array(list(most), pa.int64()), pa.array(list(most.values()), pa.float64())], ["dim", "most"])
+
+
+def _shells(most: dict[int, float], dim: int, x: np.ndarray) -> np.ndarray:
+    """The shell of each vector, as one number with its length."""
+    ratio = most[dim] / np.maximum((x * x).sum(axis=1), 1e-300)
+    return dim * SHELLS + np.floor(np.log2(np.maximum(ratio, 1))).clip(0, SHELLS - 1).astype(np.int64)
+
+
+def _moments(most: dict[int, float], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers, sums and sums of squares of the projections, and sums of squared norms, by shell."""
     held: dict[int, list] = {}
     for dim, _, x in _by_length(batches):
-        y = np.tensordot(x, directions(dim), 1)
-        m = held.setdefault(dim, [0, 0.0, 0.0])
-        held[dim] = [m[0] + len(x), m[1] + y.sum(axis=0), m[2] + (y * y).sum(axis=0)]
-    for dim, (n, s, q) in held.items():
+        of = _shells(most, dim, x)
+        for shell in np.unique(of).tolist():
+            own = x[of == shell]
+            y = np.tensordot(own, directions(dim), 1)
+            m = held.setdefault(shell, [0, 0.0, 0.0, 0.0])
+            held[shell] = [m[0] + len(y), m[1] + y.sum(axis=0), m[2] + (y * y).sum(axis=0), m[3] + float((own * own).sum())]
+    for shell, (n, s, q, w) in held.items():
         k = s.size
-        yield pa.RecordBatch.from_arrays([pa.array([dim] * k), pa.array(np.arange(k)), pa.array([n] * k), pa.array(s.ravel()), pa.array(q.ravel())], ["dim", "k", "n", "s", "q"])
+        yield pa.RecordBatch.from_arrays([pa.array([shell] * k), pa.array(np.arange(k)), pa.array([n] * k), pa.array(s.ravel()), pa.array(q.ravel()), pa.array([w] * k)], ["shell", "k", "n", "s", "q", "w"])
 
 
 def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
@@ -99,17 +122,26 @@ def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Reco
             yield int(d), rows, matrix(rows.column("vector"))
 
 
-def _keys(scale: dict[int, tuple[np.ndarray, np.ndarray]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, dim, curve, key): one row a curve."""
+def _keys(most: dict[int, float], scale: dict[int, tuple[np.ndarray, np.ndarray, float]], queries: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vec_id, shell, curve, key), one row a curve: of a vector in its own shell, of a query in all shells of its length."""
     for dim, rows, x in _by_length(batches):
-        mean, spread = scale[dim]
-        y = (np.tensordot(x, directions(dim), 1) - mean) / spread
-        u = 0.5 / (1 + np.exp(-1.702 * y))  # about the normal distribution function, halved
-        shift = np.random.Generator(np.random.PCG64(dim + 1)).random(u.shape[1:]) * 0.5
-        grid = ((u + shift) * (1 << BITS)).clip(0, (1 << BITS) - 1)
-        for c in range(u.shape[1]):
-            key = hilbert(grid[:, c], BITS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column("vec_id"), pa.array([dim] * len(x)), pa.array([c] * len(x)), pa.array(key)], ["vec_id", "dim", "curve", "key"])
+        of = None if queries else _shells(most, dim, x)
+        shift = np.random.Generator(np.random.PCG64(dim + 1)).random((CURVES, min(DIMS, dim))) * 0.5
+        for shell in [s for s in scale if s // SHELLS == dim]:
+            at = np.arange(len(x)) if queries else np.flatnonzero(of == shell)
+            if not len(at):
+                continue
+            mean, spread, norm = scale[shell]
+            own = x[at]
+            if queries:  # as long as the shell's vectors: only its direction counts
+                own = own * (norm / np.sqrt((own * own).sum(axis=1, keepdims=True)))
+            y = (np.tensordot(own, directions(dim), 1) - mean) / spread
+            u = 0.5 / (1 + np.exp(-1.702 * y.clip(-50, 50)))  # about the normal distribution function, halved
+            grid = ((u + shift) * (1 << BITS)).clip(0, (1 << BITS) - 1)
+            ids = rows.column("vec_id").take(pa.array(at))
+            for c in range(u.shape[1]):
+                key = hilbert(grid[:, c], BITS).view(np.int64)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([shell] * len(at)), pa.array([c] * len(at)), pa.array(key)], ["vec_id", "shell", "curve", "key"])
 
 
 def _top(k: int):
@@ -148,29 +180,34 @@ def _merge(k: int):
 def nearest(embeddings: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that ``is_query`` (over vec_id) holds for."""
     rows = packed(embeddings).where("vector is not null and vec_id is not null").distinct().checkpoint()
-    n = rows.count()
-    moments = rows.mapInArrow(_moments, "dim long, k long, n long, s double, q double").groupBy("dim", "k").agg(*(F.sum(c).alias(c) for c in "nsq")).toPandas()
-    scale = {}
-    for dim, m in moments.sort_values("k").groupby("dim"):
+    most = {r.dim: r.most for r in rows.mapInArrow(_norms, "dim long, most double").groupBy("dim").agg(F.max("most").alias("most")).collect()}  # a row a length
+    moments = rows.mapInArrow(partial(_moments, most), "shell long, k long, n long, s double, q double, w double").groupBy("shell", "k").agg(*(F.sum(c).alias(c) for c in "nsqw")).toPandas()
+    scale, cells = {}, {}
+    for shell, m in moments.sort_values("k").groupby("shell"):
         mean = m["s"] / m["n"]
         spread = np.sqrt(np.maximum(m["q"] / m["n"] - mean * mean, 1e-24))
-        scale[int(dim)] = (mean.to_numpy().reshape(CURVES, -1), spread.to_numpy().reshape(CURVES, -1))
-    cells = max(1, min(CELLS, n // LEAST))
-    keys = rows.mapInArrow(partial(_keys, scale), "vec_id long, dim long, curve long, key long").distinct().checkpoint()
-    cuts = keys.groupBy("dim", "curve").agg(F.percentile_approx("key", [c / cells for c in range(1, cells)], 100 * cells).alias("cuts") if cells > 1 else F.expr("array()").cast("array<long>").alias("cuts"))
-    cut = {(r.dim, r.curve): np.array(r.cuts, np.int64) for r in cuts.collect()}
+        scale[int(shell)] = (mean.to_numpy().reshape(CURVES, -1), spread.to_numpy().reshape(CURVES, -1), float(np.sqrt(m["w"].iloc[0] / m["n"].iloc[0])))
+        cells[int(shell)] = max(1, min(CELLS, int(m["n"].iloc[0]) // LEAST))
+    kind = "vec_id long, shell long, curve long, key long"
+    keys = rows.mapInArrow(partial(_keys, most, scale, False), kind).distinct().checkpoint()
+    cut: dict[tuple[int, int], np.ndarray] = {}
+    for n in {c for c in cells.values() if c > 1}:
+        own = keys.where(F.col("shell").isin([s for s, c in cells.items() if c == n]))
+        for r in own.groupBy("shell", "curve").agg(F.percentile_approx("key", [c / n for c in range(1, n)], 100 * n).alias("cuts")).collect():
+            cut[r.shell, r.curve] = np.unique(np.array(r.cuts, np.int64))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dim, curve, key = (batch.column(c).to_numpy() for c in (1, 2, 3))
+            shell, curve, key = (batch.column(c).to_numpy() for c in (1, 2, 3))
             cell = np.zeros(len(key), np.int64)
-            for d, c in {*zip(dim.tolist(), curve.tolist())}:
-                at = (dim == d) & (curve == c)
+            for d, c in {*zip(shell.tolist(), curve.tolist())} & cut.keys():
+                at = (shell == d) & (curve == c)
                 cell[at] = np.searchsorted(cut[d, c], key[at], "left")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cell)], ["vec_id", "dim", "curve", "cell"])
-    in_cell = keys.mapInArrow(placed, "vec_id long, dim long, curve long, cell long").checkpoint()
-    at = ["dim", "curve", "cell"]
-    queries = (in_cell.where(is_query).withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cell)], ["vec_id", "shell", "curve", "cell"])
+    in_cell = keys.mapInArrow(placed, "vec_id long, shell long, curve long, cell long").checkpoint()
+    asked = rows.where(is_query).mapInArrow(partial(_keys, most, scale, True), kind).mapInArrow(placed, "vec_id long, shell long, curve long, cell long").distinct()
+    queries = asked.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))).checkpoint()
+    at = ["shell", "curve", "cell"]
     sizes = (in_cell.groupBy(at).agg(F.count("*").alias("c")).join(queries.groupBy(at).agg(F.count("*").alias("q")), at)
              .select(*at, F.ceil(F.col("c") / BLOCK).cast("int").alias("cb"), F.ceil(F.col("q") / QUERY_BLOCK).cast("int").alias("qb")))
     mine = F.pmod(F.xxhash64("vec_id"), F.when(F.col("query"), F.col("qb")).otherwise(F.col("cb"))).cast("int")
@@ -179,6 +216,6 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = K) -> DataFrame:
              .withColumn("mine", mine).withColumn("other", other)
              .select("vec_id", "query", *at, F.when(F.col("query"), F.col("other")).otherwise(F.col("mine")).alias("cblock"),
                      F.when(F.col("query"), F.col("mine")).otherwise(F.col("other")).alias("qblock")))
-    with_vector = dealt.join(rows.withColumnRenamed("vec_id", "id"), (F.col("vec_id") == F.col("id")) & (F.length("vector") == F.col("dim") * 8)).drop("id")
+    with_vector = dealt.join(rows.withColumnRenamed("vec_id", "id"), (F.col("vec_id") == F.col("id")) & (F.length("vector") == F.floor(F.col("shell") / SHELLS) * 8)).drop("id")
     return (with_vector.groupBy(*at, "cblock", "qblock").applyInArrow(_top(k), "query_id long, ids array<long>, scores array<double>")
             .groupBy("query_id").applyInArrow(_merge(k), "query_id long, rank int, vec_id long, score double"))

@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import column_bytes, fresh_worker, row_slices, schema_of, small_batches
+from .text import column_bytes, fresh_worker, opened, row_slices, schema_of, shipped, small_batches
 
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 32_768
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
 
 def _predict(parser, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fresh_worker()
-    parser = parser.value
+    parser = opened(parser)
     for batch in batches:
         _, bounds = column_bytes(batch.column(0))
         for i, j in row_slices(bounds, SLICE):
@@ -250,4 +250,4 @@ def identify(docs: DataFrame, parser: Parser, carry: tuple[str, ...] = ("doc_id"
     small_batches(docs)
     flat = docs.select(F.col("text").cast("string").alias("__text"), *carry)
     schema = schema_of(flat.select(*carry), "lang_pred string, score double")
-    return flat.mapInArrow(partial(_predict, docs.sparkSession.sparkContext.broadcast(parser)), schema)
+    return flat.mapInArrow(partial(_predict, shipped(docs.sparkSession, parser)), schema)

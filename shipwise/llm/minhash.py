@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, release
-from .text import U, WordHasher, expanded, fresh_worker, inside, mix, ngrams, random_odd, shrink, small_batches, word_slices
+from .text import U, WordHasher, expanded, fresh_worker, inside, mix, ngrams, opened, random_odd, shipped, shrink, small_batches, word_slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -199,12 +199,12 @@ def signer(idf) -> object:
     """mapInArrow function: (doc_id, words, d1, d2, samples, bands) of every document; samples and bands are null without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
-        hasher, sampler = WordHasher(), Sampler()
+        hasher, sampler, table = WordHasher(), Sampler(), opened(idf)
         for batch in batches:
             ids = batch.column(0)
             for i, j, words, counts in word_slices(batch.column(1), hasher, 1 << 17):
                 d = _text_digests(words, counts)
-                text, h, tf, step = weighted_shingles(words, counts, idf.value)
+                text, h, tf, step = weighted_shingles(words, counts, table)
                 at = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else np.zeros(0, int)
                 samples = [None] * (j - i)
                 bands = [None] * (j - i)
@@ -225,11 +225,11 @@ def vectors(idf) -> object:
     """mapInArrow function over compressed texts: (doc_id, shingles, weights), packed and sorted; weights in as few bytes as they need."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
-        hasher = WordHasher()
+        hasher, table = WordHasher(), opened(idf)
         for batch in batches:
             texts, ids = expanded(batch.column(0)), batch.column(1)
             for i, j, words, counts in word_slices(texts, hasher):
-                text, h, tf, step = weighted_shingles(words, counts, idf.value)
+                text, h, tf, step = weighted_shingles(words, counts, table)
                 h, w = (h >> U(32)).astype(np.uint32), (tf * step).astype(np.uint32)
                 cut = np.searchsorted(text, np.arange(j - i + 1))
                 widths = [np.uint8 if a == b or w[a:b].max() < 256 else np.uint32 for a, b in zip(cut, cut[1:])]
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     release(spark)
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    idf = spark.sparkContext.broadcast(fit_idf(docs, docs.count()))
+    idf = shipped(spark, fit_idf(docs, docs.count()))
     signed = docs.select("doc_id", "text").mapInArrow(signer(idf), "doc_id long, words long, d1 long, d2 long, samples binary, bands array<long>").checkpoint()
     some = signed.where("words > 0 and doc_id is not null")
     reps = some.groupBy("d1", "d2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import pickle
 import sys
 from collections.abc import Iterator
 
@@ -183,6 +184,21 @@ def expanded(column: pa.Array) -> pa.Array:
 
 
 def schema_of(carried, more: str):
-    """The schema of a DataFrame's columns followed by those of a DDL string."""
+    """The schema of a DataFrame's columns followed by those of a DDL string; names may not occur twice (ValueError)."""
     from pyspark.sql import types as T
-    return T.StructType([*carried.schema.fields, *T.StructType.fromDDL(more).fields])
+    fields = [*carried.schema.fields, *T.StructType.fromDDL(more).fields]
+    names = [f.name.lower() for f in fields]
+    if clash := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"columns to carry clash with each other or with result columns: {clash}")
+    return T.StructType(fields)
+
+
+def shipped(spark, model):
+    """A broadcast of any object of this package as bytes, which workers open without having the package."""
+    from pyspark import cloudpickle
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def opened(sent):
+    """The object of a broadcast of ``shipped``."""
+    return pickle.loads(sent.value)

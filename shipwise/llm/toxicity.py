@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .langid import held_out
 from .segments import WHOLE, pattern_segments
-from .text import U, WordHasher, column_bytes, fresh_worker, mix, row_slices, schema_of, small_batches
+from .text import U, WordHasher, column_bytes, fresh_worker, mix, opened, row_slices, schema_of, shipped, small_batches
 
 SAMPLE = 30_000
 FEATURES = 8192
@@ -241,11 +241,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
-        features = Features()
+        features, classifier = Features(), opened(model)
         for batch in batches:
             buf, bounds = column_bytes(batch.column(0))
             for i, j in row_slices(bounds, SLICE):
-                s = model.value.scores(features, buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                s = classifier.scores(features, buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*batch.schema.names[1:], "score", "predicted"])
     return run
 
@@ -254,4 +254,4 @@ def score(docs: DataFrame, model: Classifier, carry: tuple[str, ...] = ("doc_id"
     """The ``carry`` columns of every row with score and predicted."""
     small_batches(docs)
     flat = docs.select(F.col("text").cast("string").alias("__text"), *carry)
-    return flat.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema_of(flat.select(*carry), "score double, predicted int"))
+    return flat.mapInArrow(_score(shipped(docs.sparkSession, model)), schema_of(flat.select(*carry), "score double, predicted int"))

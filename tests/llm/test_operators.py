@@ -293,6 +293,47 @@ def test_nearest_neighbours(spark):
     assert [tuple(r) for r in ann.nearest(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0)]
 
 
+def recall(spark, x, ids=None):
+    """Share of the true 20 nearest found; every returned score is exact and every query gets 20."""
+    n = len(x)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        assert abs(x[r.query_id] @ x[r.vec_id] - r.score) < 1e-9 * max(1, abs(r.score))
+        found.setdefault(r.query_id, []).append(r.score)
+    hit = 0
+    for q in range(0, n, 20):
+        s = np.delete(x @ x[q], q)
+        assert len(found[q]) == 20
+        hit += min(20, sum(v >= np.sort(s)[-20] - 1e-9 for v in found[q]))  # equal scores are as near
+    return hit / (20 * len(range(0, n, 20)))
+
+
+def test_nearest_neighbours_of_unequal_norms_and_a_hot_vector(spark):
+    rng = np.random.default_rng(12)
+    unit = rng.normal(size=(3000, 32))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert recall(spark, unit * np.exp(0.7 * rng.normal(size=(3000, 1)))) >= 0.9
+    hot = unit.copy()
+    hot[1000:2000] = unit[7]
+    assert recall(spark, hot) >= 0.9
+
+
+def test_nearest_neighbours_of_several_lengths(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, [float(v) for v in rng.normal(size=16)]) for i in range(2500)] + [(2500 + i, [float(v) for v in rng.normal(size=5)]) for i in range(15)]
+    rows += [(None, rows[0][1]), rows[40], (9001, [0.0] * 16), (9002, None), (9003, [float("nan")] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") >= 2500).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    x = {i: np.array(v) for i, v in rows[2500:2515]}
+    assert set(got) == set(x)  # vectors that take no part aren't asked for, the rarer length finds all of its own
+    for q, listed in got.items():
+        want = sorted((-(x[q] @ v), i) for i, v in x.items() if i != q)
+        assert [(r, v) for r, v, _ in sorted(listed)] == [(k + 1, i) for k, (_, i) in enumerate(want)]
+
+
 def test_hilbert_is_a_curve():
     side = np.arange(8)
     points = np.stack(np.meshgrid(side, side, side), -1).reshape(-1, 3)

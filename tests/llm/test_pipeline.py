@@ -73,3 +73,11 @@ def test_near_dedup_keeps_every_text_of_a_repeated_doc_id(spark):
     assert out.columns == docs.columns
     got = sorted(((r.doc_id, r.text or "") for r in out.collect()), key=str)
     assert got == sorted([(0, d), (1, a), (1, b), (3, c), (5, ""), (None, c)], key=str)
+
+
+def test_equal_rows_but_for_other_columns_leave_the_same_one(spark):
+    """Of rows equal in doc_id and text one stays, whatever the partitions."""
+    rows = [(i, f"text number {i} of its own words here", "en", s, i) for i in range(60) for s in ("b", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [sorted(tuple(r) for r in corpus_pipeline.near_dedup(spark, docs.repartition(n), "").collect()) for n in (1, 3, 7)]
+    assert kept[0] == kept[1] == kept[2] and {r[3] for r in kept[0]} == {"a"}
