@@ -51,7 +51,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         found = near_duplicates(rows.select(F.col("id").alias("doc_id"), "text")).where("doc_id is not null").select(F.col("doc_id").alias("id"), "class_id").distinct()
         first = found.join(rows.select("id", "doc").distinct(), "id").groupBy("class_id").agg(F.min(F.struct("doc", "id")).getField("id").alias("first"))
         gone = found.join(first, "class_id").where("id <> first").select("id")
-    one = rows.where("doc is not null").join(gone, "id", "left_anti").groupBy("id").agg(F.min_by("__row", "text").alias("__row"))
+    # of rows equal in doc_id and text, the one whose other columns come first
+    rest = F.to_json(F.struct(*(F.col("__row")[c].alias(c) for c in docs.columns if c != "text")))
+    one = rows.where("doc is not null").join(gone, "id", "left_anti").groupBy("id").agg(F.min_by("__row", F.struct(F.col("text"), rest)).alias("__row"))
     return one.select("__row").unionByName(rows.where("doc is null").select("__row")).select("__row.*")
 
 
