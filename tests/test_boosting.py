@@ -248,3 +248,18 @@ def test_an_error_in_either_model_ends_the_comparison(star):
             raise RuntimeError("no model")
     with pytest.raises(RuntimeError, match="no model"):
         compare_methods(model_frame(star), base=Broken())
+
+
+def test_a_small_training_takes_one_job_an_interval(frame, spark, tmp_path):
+    """Its rounds run where its blocks meet: the jobs follow the intervals, not the rounds."""
+    sc = spark.sparkContext
+    jobs = []
+    for rounds in (4, 24):
+        sc.setJobGroup(f"boosted-{rounds}", "")
+        try:
+            m = bo.BoostedTrees(alpha=0.85, rounds=rounds, every=12, max_depth=3, folder=str(tmp_path / str(rounds))).fit(frame)
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        assert len(m.trees) == rounds
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"boosted-{rounds}")))
+    assert 0 < jobs[1] <= jobs[0] + 6
