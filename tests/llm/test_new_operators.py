@@ -170,6 +170,18 @@ def test_lm_gradient_equals_brute_force(spark, tmp_path, monkeypatch):
     assert likelihood[1] > likelihood[0]
 
 
+def test_lm_gradient_takes_every_position(spark, tmp_path):
+    rows, classes = 64, 1 + lm_score.HEAD + lm_score.TAIL
+    ready, stats = lm_score.prepare(spark.createDataFrame(lm_rows(), DOCS), F.lit(True), str(tmp_path / "lm"))
+    n = np.zeros(classes)
+    for r in stats.collect():
+        n[r.kind] = r.n
+    sent = spark.sparkContext.broadcast(np.zeros((rows + 1, classes), np.float32))
+    for offset in (0, 5):
+        got = lm_score._gathered(ready.mapInArrow(lm_score._gradient(sent, offset), lm_score._SUMS), (rows + 1, classes))
+        assert np.allclose(got[-1], n - n.sum() / classes, rtol=1e-5, atol=1e-3)
+
+
 def test_lm_query(spark):
     got = op12_lm_scores(spark, SF)
     assert dict(got.dtypes) == {"doc_id": "bigint", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double", "held_out": "boolean"}
