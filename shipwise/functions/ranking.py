@@ -51,18 +51,38 @@ def rank_rows(df: DataFrame, order: Sequence[str | Column], rank_col: str = "_ra
             .drop("_pid", "_pos", "_off"))
 
 
+# Rows of a group up to which it is numbered in one task.
+GROUP_ROWS = 100_000
+
+
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
-                  start: int = 1) -> DataFrame:
+                  start: int = 1, counted: DataFrame | None = None) -> DataFrame:
     """Row number of each row inside its ``keys`` group in ``order`` (what
-    ``row_number() OVER (PARTITION BY keys ORDER BY order)`` gives), without a
-    per-group window: a global rank on ``keys + order`` minus the group's
-    first rank. A group holding a large share of the rows is spread over many
-    range partitions instead of one task. ``keys`` must not be NULL."""
-    r = rank_rows(df, [*keys, *order], rank_col="_grank")
+    ``row_number() OVER (PARTITION BY keys ORDER BY order)`` gives). Rows with
+    a NULL key are left out.
+
+    Groups of at most GROUP_ROWS rows are numbered by that window: one shuffle
+    by ``keys``, or none if the rows lie so. Rows of larger groups get a global
+    rank on ``keys + order`` less the group's first rank, so such a group is
+    spread over many range partitions. ``counted``: what to count the groups'
+    rows in instead of ``df`` (any frame with ``keys``; it decides the way, not
+    the numbers)."""
+    keys = list(keys)
+    rows = df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    ensure_checkpoint_dir(df.sparkSession)
+    # at most one row for each GROUP_ROWS of the input
+    large = ((rows if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+             .filter(F.col("_n") > GROUP_ROWS).select(*keys).checkpoint(eager=True))
+    within = Window.partitionBy(*keys).orderBy(*order)
+    number = (F.row_number().over(within) + F.lit(start - 1)).cast("int")
+    if large.isEmpty():
+        return rows.withColumn(out, number)
+    large = F.broadcast(large)
+    r = rank_rows(rows.join(large, keys, "left_semi"), [*keys, *order], rank_col="_grank")
     first = r.groupBy(*keys).agg(F.min("_grank").alias("_g0"))
-    return (r.join(first, list(keys))
-            .withColumn(out, (F.col("_grank") - F.col("_g0") + F.lit(start)).cast("int"))
-            .drop("_grank", "_g0"))
+    spread = (r.join(first, keys).withColumn(out, (F.col("_grank") - F.col("_g0") + F.lit(start)).cast("int"))
+              .drop("_grank", "_g0"))
+    return rows.join(large, keys, "left_anti").withColumn(out, number).unionByName(spread)
 
 
 # Width of the bracket around a target rank (a share of the group's rows), the accuracy of the sketch that gives it

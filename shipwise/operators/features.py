@@ -97,7 +97,7 @@ def dictionary(fit: DataFrame, cols: Sequence[str], unknown: str = "unknown") ->
     place among the column's sorted labels. One aggregation over all columns; the places are distributed ranks."""
     values = fit.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
     labels = (values.groupBy("column", F.coalesce("value", F.lit(unknown)).alias("label"))
-              .agg(F.count("value").cast("double").alias("n")))
+              .agg(F.count("value").cast("double").alias("n"))).checkpoint(eager=True)
     return (number_within(labels, ["column"], ["label"], "code", start=0)
             .withColumn("code", F.col("code").cast("double")))
 
@@ -162,17 +162,21 @@ def fill_features(df: DataFrame) -> DataFrame:
                      *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES])
 
 
+#: What no encoder, model or report reads of a row once its targets and features are there.
+USED_UP = ("product_length_cm", "product_height_cm", "product_width_cm", ESTIMATED, DELIVERED)
+
+
 def split_rows(t: Tables, frac: float = 0.8) -> DataFrame:
     """M1-M4 and M8: the feature rows with their ``split``, not encoded (what reports on the rows themselves need).
 
     The joined rows are checkpointed once: the split reads them for its counts,
     then the encoders and the models."""
     ensure_checkpoint_dir(t.spark)
-    return chrono_split(base_features(t).checkpoint(eager=True), frac)
+    return chrono_split(base_features(t).drop(*USED_UP).checkpoint(eager=True), frac)
 
 
-def model_frame(t: Tables, frac: float = 0.8, fit_on: str = "all") -> DataFrame:
-    """M1-M8: the feature frame with a chronological ``split`` column.
+def encoded_rows(t: Tables, frac: float = 0.8, fit_on: str = "all") -> DataFrame:
+    """M1-M8: the feature frame with a chronological ``split`` column, for one reader.
 
     Encoders are fitted on every row (``fit_on='all'``, the source's choice,
     which lets test-period rows into the counts) or on the train rows only
@@ -181,12 +185,16 @@ def model_frame(t: Tables, frac: float = 0.8, fit_on: str = "all") -> DataFrame:
         raise ValueError(fit_on)
     s = split_rows(t, frac)
     fit = s if fit_on == "all" else s.filter(F.col("split") == "train")
-    # every model and report reads this frame many times: materialise it once
-    return encode(s, fit=fit).checkpoint(eager=True)
+    return encode(s, fit=fit)
+
+
+def model_frame(t: Tables, frac: float = 0.8, fit_on: str = "all") -> DataFrame:
+    """The rows of ``encoded_rows``, stored once: every model and report reads them many times."""
+    return encoded_rows(t, frac, fit_on).checkpoint(eager=True)
 
 
 def feature_table(t: Tables, fit_on: str = "all") -> DataFrame:
     """The registered M-query: identifiers, route, targets, 15 features, split."""
-    m = model_frame(t, fit_on=fit_on)
+    m = encoded_rows(t, fit_on=fit_on)
     return m.select("order_id", "order_item_id", PURCHASE, "customer_state", "seller_state", "category",
                     "route", TARGET, PROMISE, *FEATURES, "split")

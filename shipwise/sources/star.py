@@ -9,9 +9,9 @@ data arrives as the nine tables and is read with ``sources.files``.
 Scale notes: orders join customers (both fact-sized at scale) on the
 customer key and lineitem joins orders on the order key, so these are
 shuffle joins left to AQE. Nation (25 rows) is the only forced broadcast.
-The item number is a distributed rank (``functions.ranking.number_within``),
-not a window per order, so an order with a huge number of lines is spread
-over many tasks; it checkpoints the numbered lines once.
+The item number is ``functions.ranking.number_within``: a window on the order
+key, by which the lines lie after their join with the orders, but an order with
+a huge number of lines is ranked over many tasks.
 """
 
 from __future__ import annotations
@@ -113,10 +113,9 @@ def star_tables(spark: SparkSession, sf_dir: str) -> Tables:
     lo = (li.join(o.select("o_orderkey", "o_orderdate"), li.l_orderkey == o.o_orderkey, "left")
           .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                   "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", "o_orderdate"))
-    # item number = row number inside the order, computed by a distributed rank
-    # (no window per order: one order with a huge number of lines stays spread out);
-    # it runs a job, so the table is built on first access, and rows without the
-    # number are a plain projection
+    # item number = row number inside the order (an order with a huge number of lines
+    # stays spread out); it runs a job that counts the orders' lines, so the table is
+    # built on first access, and rows without the number are a plain projection
     item_cols = [
         F.col("l_orderkey").cast("string").alias("order_id"),
         F.col("l_partkey").cast("string").alias("product_id"),
@@ -128,7 +127,7 @@ def star_tables(spark: SparkSession, sf_dir: str) -> Tables:
     def order_items() -> DataFrame:
         numbered = number_within(lo, ["l_orderkey"], [
             "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
-            "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus"], "_item")
+            "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus"], "_item", counted=li.select("l_orderkey"))
         return numbered.select(item_cols[0], F.col("_item").alias("order_item_id"), *item_cols[1:])
 
     # Payment types by order key modulo 4.

@@ -125,3 +125,23 @@ def test_margins_of_trailing_days(spark):
     merged = bf.merge_trailing(bf.day_states(spark.createDataFrame(long, "route string, at timestamp_ntz, actual_us long"), "at"), 30)
     rules = bf.route_margin_rules(bf.margins_as_of(merged), bf.long_haul_overrides(merged), ("as_of", "route"))
     assert {(r.source, round(r.margin, 6)) for r in rules.collect()} == {("override", round((25 * 24 + 1) / 24 - 10 + 2, 6))}
+
+
+@pytest.mark.parametrize("limit", [100_000, 6])
+def test_numbers_by_window_and_by_rank_are_alike(spark, monkeypatch, limit):
+    """Small groups take a window, large ones a global rank; rows with a NULL key are left out."""
+    from shipwise.functions import ranking
+    monkeypatch.setattr(ranking, "GROUP_ROWS", limit)
+    rows = [(None if k % 13 == 0 else 0 if k % 2 else k % 5, k * 37 % 11, k) for k in range(80)]
+    df = spark.createDataFrame(rows, "g int, o int, id int")
+    got = {r.id: r.n for r in ranking.number_within(df, ["g"], ["o", "id"], "n", start=0).collect()}
+    want = {}
+    for g in {g for g, _, _ in rows if g is not None}:
+        want.update({i: n for n, (_, i) in enumerate(sorted((o, i) for h, o, i in rows if h == g))})
+    assert got == want
+
+
+def test_item_numbers_store_no_rows(star):
+    """The items are numbered where their join with the orders leaves them."""
+    plan = star.order_items._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "ExistingRDD" not in plan
