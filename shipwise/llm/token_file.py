@@ -113,7 +113,7 @@ def write_segment(shard: int, number: int, doc_ids: np.ndarray, sizes: np.ndarra
     return b"".join((head, docs, _padded(b.low.tobytes()), _padded(b.high.tobytes()), _padded(ids.astype(f"<u{width}").tobytes())))
 
 
-def read_segments(data: bytes) -> Iterator[tuple[int, int, np.ndarray, Boundaries, np.ndarray]]:
+def read_segments(data: bytes | pa.Buffer) -> Iterator[tuple[int, int, np.ndarray, Boundaries, np.ndarray]]:
     """(shard, number, doc_ids, boundaries, ids) of every segment of a shard file."""
     at = 0
     while at < len(data):
@@ -182,6 +182,7 @@ def _encode(tokenizer_json: str, edges: list[int], batches: Iterator[pa.RecordBa
 
 def _write(table: pa.Table) -> pa.Table:
     """The segments of one shard."""
+    fresh_worker()
     shard = table.column("shard")[0].as_py()
     rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("width").to_pylist(), table.column("ids").to_pylist()))
     out, docs, held, size = [], [], [], 0
@@ -218,9 +219,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_json: str) -> None:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fresh_worker()
     for batch in batches:
         for data in batch.column(0):
-            for shard, number, docs, b, ids in read_segments(data.as_buffer().to_pybytes()):
+            for shard, number, docs, b, ids in read_segments(data.as_buffer()):
                 at = np.r_[0, b.all()]
                 crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(at, at[1:])]
                 n = len(docs)

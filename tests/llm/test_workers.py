@@ -33,3 +33,19 @@ def test_workers_without_the_package(tmp_path, names):
     done = subprocess.run([sys.executable, "-c", SCRIPT.format(root=ROOT, names=names)], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr[-3000:]
     assert [line.split()[0] for line in done.stdout.splitlines() if line.startswith("op")] == list(names)
+
+
+def test_file_tasks_give_back_the_encoder(monkeypatch):
+    """Writing and reading token files start from a worker without what encoding left in it."""
+    import sys
+    import numpy as np
+    import pyarrow as pa
+    from shipwise.llm import token_file
+    rows = pa.table({"shard": [0, 0], "doc_id": [2, 1], "width": [2, 2], "ids": [np.array(x, "<u2").tobytes() for x in ([7, 2], [2])]})
+    held = {"token_file": ("encoder", object())}
+    monkeypatch.setitem(sys.__dict__, "_shipwise_worker_cache", held)
+    segment = token_file._write(rows).column("segment")[0].as_py()
+    assert not held
+    held["token_file"] = ("encoder", object())
+    (batch,) = token_file._read(iter([pa.RecordBatch.from_arrays([pa.array([segment + b"\n"], pa.binary())], ["content"])]))
+    assert not held and batch.column("doc_id").to_pylist() == [1, 2] and batch.column("n_tokens").to_pylist() == [1, 2]
