@@ -263,3 +263,83 @@ def test_a_small_training_takes_one_job_an_interval(frame, spark, tmp_path):
         assert len(m.trees) == rounds
         jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"boosted-{rounds}")))
     assert 0 < jobs[1] <= jobs[0] + 6
+
+
+@pytest.mark.parametrize("alpha", [None, 0.85])
+def test_levels_over_several_tasks_move_no_rows(frame, spark, tmp_path, monkeypatch, alpha):
+    """A training above LOCAL_ROWS, its blocks in several tasks: one stage a job, and the trees of a training in one task."""
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 100)
+    whole = bo.BoostedTrees(alpha=alpha, rounds=3, folder=str(tmp_path / "whole")).fit(frame.repartition(5))
+    for direct in (1 << 24, 0):
+        monkeypatch.setattr(bo, "LOCAL_ROWS", 250)
+        monkeypatch.setattr(bo, "TASK_ROWS", 200)
+        monkeypatch.setattr(bo, "DIRECT_BYTES", direct)
+        folder = tmp_path / str(direct)
+        spark.read.parquet(str(tmp_path / "whole" / "blocks")).repartition(4).write.parquet(str(folder / "blocks"))
+        spark.read.text(str(tmp_path / "whole" / "meta")).coalesce(1).write.text(str(folder / "meta"))
+        stages, grow = [], bo.BoostedTrees._grow
+
+        def watched(self, blocks, *rest):
+            assert blocks.getNumPartitions() > 1
+            sc = spark.sparkContext
+            sc.setJobGroup(f"{folder}-{len(stages)}", "")
+            try:
+                return grow(self, blocks, *rest)
+            finally:
+                jobs = sc.statusTracker().getJobIdsForGroup(f"{folder}-{len(stages)}")
+                stages.append([len(sc.statusTracker().getJobInfo(j).stageIds) for j in jobs])
+                sc.setLocalProperty("spark.jobGroup.id", None)
+        with monkeypatch.context() as patch:
+            patch.setattr(bo.BoostedTrees, "_grow", watched)
+            assert same(bo.BoostedTrees(alpha=alpha, rounds=3, folder=str(folder)).fit(frame).trees, whole.trees)
+        assert len(stages) == 3 and (direct == 0 or {n for own in stages for n in own} == {1})
+
+
+def test_percentiles_of_tasks_meet_exactly_or_not_at_all():
+    rng = np.random.default_rng(1)
+    arrays, bag, q = tuple(np.array([v]) for v in (-1, 0, -1, -1)), (1, 0, 1.0), 0.85
+    decided = 0
+    for kind in range(6):
+        v = [rng.normal(size=4000), np.round(rng.normal(size=4000), 1), np.full(4000, 2.5), np.sort(rng.normal(size=4000)), rng.normal(size=7), np.repeat([1.0, 2.0], 2000)][kind]
+        parts = [dict(bo.around_percentile(arrays, bag, [0], q)(iter([(0, np.zeros((1, len(p)), np.uint8), p, np.zeros(len(p)))])))[0] for p in np.array_split(v, 5)]
+        got = bo.met_percentile(parts, q)
+        assert got is None or got == np.percentile(v, 85)
+        decided += got is not None
+        if kind == 3:  # every task has values of its own
+            assert got is None
+    assert decided == 5 or decided == 4
+
+
+def test_rounds_in_one_task_add_up_large_nodes_by_groups(monkeypatch):
+    rng = np.random.default_rng(2)
+    sizes = [3, 200, 7, 250, 12]
+    x = np.stack([rng.integers(0, s, 3000) for s in sizes]).astype(np.uint8)
+    r = rng.normal(size=3000)
+    for alpha in (None, 0.85):
+        found = []
+        for rows in (1, 10**9):
+            monkeypatch.setattr(bo, "JOINT_ROWS", rows)
+            ends = np.zeros(3000, np.int32)
+            made = bo.grow_rest(alpha, [0, 1, 2, 3, 4], 250, {0: 4}, bo.split_of([0, 1, 2, 3, 4], 20, 0.1, 0.1), True, sizes, ends)((0, [(x, r)]))[1]
+            found.append((made, ends.tolist()))
+        assert found[0] == found[1] and len(found[0][0]) > 10
+
+
+def test_bins_follow_values_or_quantiles(spark):
+    rows = [(float(i % 9), float(i % 255), float(i), -0.0 if i % 2 else 0.0) for i in range(3000)]
+    x = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    a, b, c, d = bo.BoostedTrees(features=("a", "b", "c", "d"))._edges(x)
+    assert a == [float(v) for v in range(8)] and d == [] and len(b) == 254 and 250 <= len(c) <= 254
+    assert set(b) <= set(map(float, range(255))) and set(c) <= set(map(float, range(3000)))
+
+
+def test_scores_do_not_depend_on_batches(frame, monkeypatch):
+    m = bo.BoostedTrees(rounds=4).fit(frame)
+    x, _ = matrix()
+    plain = np.full(len(x), m.base)
+    for t in m.trees:
+        plain = plain + m.learning_rate * t.value[bo.walk(t.feature, t.threshold, t.left, t.right, x.T)]
+    for rows in (1, 300, 1 << 15):
+        monkeypatch.setattr(bo, "SCORE_ROWS", rows)
+        got = m.transform(frame, "p").select(*FEATURES, "p").collect()
+        assert {tuple(map(float, r)): float(p) for r, p in zip(x, plain)} == {tuple(r[:-1]): r[-1] for r in got}
