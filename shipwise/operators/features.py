@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import days_between, micros_between, route, same, volume
 from ..functions.ranking import chrono_split, number_within
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from ..tables import Tables
 from .delivery import DELIVERED, ESTIMATED, PURCHASE
 
@@ -32,9 +32,10 @@ TARGET = "actual_days"
 PROMISE = "promised_days"
 
 
-def feature_rows(t: Tables, numbered: bool = True) -> DataFrame:
+def feature_rows(t: Tables, numbered: bool = True, items_first: bool = False) -> DataFrame:
     """M1: delivered order items with purchase-time facts, promise and arrival
-    (``numbered=False``: without the item number, which may cost a sort).
+    (``numbered=False``: without the item number, which may cost a sort;
+    ``items_first``: the order of the joins that the boosted models' samples go by).
 
     Inner joins to customers, items, products and sellers; left join to the
     category translation (C11). Orders must be ``delivered`` with both the
@@ -50,9 +51,10 @@ def feature_rows(t: Tables, numbered: bool = True) -> DataFrame:
                     F.coalesce("product_category_name_english", "product_category_name").alias("category"),
                     "product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm",
                     "product_photos_qty"))
-    # the order-keyed join first (co-located when bucketed), then the lookups
-    return (o.join(items, "order_id")
-            .join(t.customers.select("customer_id", "customer_state"), "customer_id")
+    states = t.customers.select("customer_id", "customer_state")
+    # the customers' states join the orders, of which there are fewer than items: the items are not moved for them
+    both = o.join(items, "order_id").join(states, "customer_id") if items_first else o.join(states, "customer_id").join(items, "order_id")
+    return (both
             .join(prod, "product_id")
             .join(t.sellers.select("seller_id", "seller_state"), "seller_id")
             .select("order_id", *number, PURCHASE, ESTIMATED, DELIVERED, "customer_state",
@@ -139,9 +141,9 @@ ENCODED = ("category", "customer_state", "seller_state")
 LABELLED = ("customer_state", "seller_state", "category")
 
 
-def base_features(t: Tables, numbered: bool = True) -> DataFrame:
+def base_features(t: Tables, numbered: bool = True, items_first: bool = False) -> DataFrame:
     """M1-M4: feature rows with targets, calendar and shipping columns."""
-    x = with_shipping(with_calendar(with_targets(feature_rows(t, numbered))))
+    x = with_shipping(with_calendar(with_targets(feature_rows(t, numbered, items_first))))
     return x.withColumn("actual_us", micros_between(DELIVERED, PURCHASE))
 
 
@@ -166,16 +168,18 @@ def fill_features(df: DataFrame) -> DataFrame:
 USED_UP = ("product_length_cm", "product_height_cm", "product_width_cm", ESTIMATED, DELIVERED)
 
 
-def split_rows(t: Tables, frac: float = 0.8) -> DataFrame:
+def split_rows(t: Tables, frac: float = 0.8, columnar: bool = True) -> DataFrame:
     """M1-M4 and M8: the feature rows with their ``split``, not encoded (what reports on the rows themselves need).
 
-    The joined rows are checkpointed once: the split reads them for its counts,
-    then the encoders and the models."""
+    The joined rows are stored once: the split reads a few columns of them for
+    its counts, then the encoders and the models. ``columnar=False``: as a
+    checkpoint, which keeps the rows' order (the boosted models' samples go by it)."""
     ensure_checkpoint_dir(t.spark)
-    return chrono_split(base_features(t).drop(*USED_UP).checkpoint(eager=True), frac)
+    rows = base_features(t, items_first=not columnar).drop(*USED_UP)
+    return chrono_split(stored(rows) if columnar else rows.checkpoint(eager=True), frac)
 
 
-def encoded_rows(t: Tables, frac: float = 0.8, fit_on: str = "all") -> DataFrame:
+def encoded_rows(t: Tables, frac: float = 0.8, fit_on: str = "all", columnar: bool = True) -> DataFrame:
     """M1-M8: the feature frame with a chronological ``split`` column, for one reader.
 
     Encoders are fitted on every row (``fit_on='all'``, the source's choice,
@@ -183,14 +187,19 @@ def encoded_rows(t: Tables, frac: float = 0.8, fit_on: str = "all") -> DataFrame
     (``fit_on='train'``)."""
     if fit_on not in ("all", "train"):
         raise ValueError(fit_on)
-    s = split_rows(t, frac)
+    s = split_rows(t, frac, columnar)
     fit = s if fit_on == "all" else s.filter(F.col("split") == "train")
     return encode(s, fit=fit)
 
 
 def model_frame(t: Tables, frac: float = 0.8, fit_on: str = "all") -> DataFrame:
     """The rows of ``encoded_rows``, stored once: every model and report reads them many times."""
-    return encoded_rows(t, frac, fit_on).checkpoint(eager=True)
+    return encoded_rows(t, frac, fit_on, columnar=False).checkpoint(eager=True)
+
+
+def narrow_frame(t: Tables, columns: Sequence[str]) -> DataFrame:
+    """Some columns of the rows of ``encoded_rows``, stored once for models and reports that read no others."""
+    return stored(encoded_rows(t).select(*columns))
 
 
 def feature_table(t: Tables, fit_on: str = "all") -> DataFrame:

@@ -17,14 +17,16 @@ from . import buffers as bf
 from . import evaluate as ev
 from .boosting import BoostedModel, BoostedTrees
 from .delivery import DELIVERED
-from .features import TARGET, base_features, feature_rows, feature_table, model_frame, split_rows
-from .models import METHODS, Comparison, compare_methods, feature_importance, split_counts
+from .features import TARGET, base_features, feature_rows, feature_table, model_frame, narrow_frame, split_rows
+from .models import METHODS, ROUTE_ROWS, Comparison, compare_methods, feature_importance, split_counts
 
 BUFFER_COLS = ("route", "count", "pct_late", "p85_residual", "data_uncertainty", "buffer")
 
 
 def comparison(t: Tables, base=None, quantile=None) -> Comparison:
-    return compare_methods(model_frame(t), base=base, quantile=quantile)
+    """The v2 comparison; without given models that of the route models, which read no features."""
+    frame = narrow_frame(t, ROUTE_ROWS) if base is None and quantile is None else model_frame(t)
+    return compare_methods(frame, base=base, quantile=quantile)
 
 
 def route_stats_report(c: Comparison) -> DataFrame:

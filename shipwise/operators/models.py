@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import MICROS_PER_DAY
 from ..functions.ranking import percentile
+from ..session import stored
 from . import buffers as bf
 from .boosting import BoostedModel, score_all
 from .features import PROMISE, TARGET
@@ -86,6 +87,8 @@ METHODS = {
 
 #: What the buffers and reports read of a row.
 NARROW = ("split", ROUTE, "customer_state", TARGET, PROMISE)
+#: What the route models read, and what is read of the rows that they score.
+ROUTE_ROWS = (*NARROW, "actual_us")
 
 
 @dataclass
@@ -119,13 +122,14 @@ def fit_pair(train: DataFrame, base, quantile, parallel: bool = True) -> tuple:
 
 
 def scored(frame: DataFrame, base, quantile) -> DataFrame:
-    """One narrow frame of all rows with both predictions (boosted models: one pass over the features), checkpointed:
+    """One narrow frame of all rows with both predictions (boosted models: one pass over the features), stored:
     buffers, the hybrid and every report read this frame and nothing else."""
     if isinstance(base, BoostedModel) and isinstance(quantile, BoostedModel):
         used = [c for c in dict.fromkeys([*base.features, *quantile.features]) if c not in NARROW]
         x = score_all(frame.select(*NARROW, *used), {"pred_base": base, "pred_q85": quantile})
     else:
         x = quantile.transform(base.transform(frame, "pred_base"), "pred_q85")
+        return stored(x.select(*NARROW, "pred_base", "pred_q85"))
     return x.select(*NARROW, "pred_base", "pred_q85").checkpoint(eager=True)
 
 
