@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import types
 import zlib
 
 import numpy as np
@@ -170,6 +171,33 @@ def test_lm_gradient_equals_brute_force(spark, tmp_path, monkeypatch):
     assert likelihood[1] > likelihood[0]
 
 
+def test_lm_class_scores_are_formed_in_cache_whatever_the_slices(spark, tmp_path, monkeypatch):
+    rows, classes = 64, 1 + lm_score.HEAD + lm_score.TAIL
+    ready, _ = lm_score.prepare(spark.createDataFrame(lm_rows(), DOCS), F.lit(True), str(tmp_path / "lm"))
+    batches, weights = ready.toArrow().to_batches(), np.random.default_rng(4).normal(size=(rows + 1, classes)).astype(np.float32)
+    plain = lm_score.Model(weights, *np.full((3, classes), 9)).plain
+    widths, formed = [], lm_score.class_scores
+
+    def class_scores(weights, features, *more):
+        widths.append(features.shape[1])
+        return formed(weights, features, *more)
+    monkeypatch.setattr(lm_score, "class_scores", class_scores)
+    monkeypatch.setattr(lm_score, "fresh_worker", lambda: None)
+    monkeypatch.setattr(lm_score, "_part", lambda: 0)
+    found = []
+    for slice_, cached in ((1 << 15, 1 << 10), (100, 16), (37, 64)):
+        monkeypatch.setattr(lm_score, "SLICE", slice_)
+        monkeypatch.setattr(lm_score, "CACHED", cached)
+        widths.clear()
+        scores = [r for b in lm_score._score(types.SimpleNamespace(value=plain))(iter(batches)) for r in b.column("score").to_pylist()]
+        sums = [lm_score.expand(x, np.float64) for b in lm_score._gradient(types.SimpleNamespace(value=weights), 0)(iter(batches)) for x in b.column("sums").to_pylist()]
+        assert widths and max(widths) <= cached
+        found.append((np.array(scores), np.concatenate(sums).reshape(-1, classes)))
+    for scores, sums in found:
+        assert np.allclose(scores, found[0][0], rtol=1e-6) and np.allclose(sums, found[0][1], rtol=1e-4, atol=1e-3)
+        assert np.allclose(sums.sum(1), 0, atol=1e-2)  # what one class gains the others lose
+
+
 def test_lm_gradient_takes_every_position(spark, tmp_path):
     rows, classes = 64, 1 + lm_score.HEAD + lm_score.TAIL
     ready, stats = lm_score.prepare(spark.createDataFrame(lm_rows(), DOCS), F.lit(True), str(tmp_path / "lm"))
