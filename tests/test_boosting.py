@@ -1,5 +1,9 @@
 """The distributed trainer against brute force: splits, leaf percentiles, limits, resuming, and the reports on its models."""
 
+import os
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import urlparse
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -295,6 +299,48 @@ def test_levels_over_several_tasks_move_no_rows(frame, spark, tmp_path, monkeypa
         assert len(stages) == 3 and (direct == 0 or {n for own in stages for n in own} == {1})
 
 
+@pytest.mark.parametrize("alpha", [None, 0.85])
+def test_rounds_over_several_tasks_grow_the_same_trees(frame, spark, tmp_path, monkeypatch, alpha):
+    """A training of more than TASK_ROWS rows: its blocks in tasks that run at once, a job an interval."""
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 100)
+    whole = bo.BoostedTrees(alpha=alpha, rounds=5, every=2, folder=str(tmp_path / "whole")).fit(frame.repartition(5))
+    monkeypatch.setattr(bo, "TASK_ROWS", 400)
+    monkeypatch.setattr(bo.BoostedTrees, "_train_here", None)  # would raise
+    for deviations in (4.0, 0.0):  # the tasks' values around a percentile decide it, or not always
+        monkeypatch.setattr(bo, "DEVIATIONS", deviations)
+        folder = tmp_path / str(deviations)
+        spark.read.parquet(str(tmp_path / "whole" / "blocks")).repartition(3).write.parquet(str(folder / "blocks"))
+        spark.read.text(str(tmp_path / "whole" / "meta")).coalesce(1).write.text(str(folder / "meta"))
+        model = bo.BoostedTrees(alpha=alpha, rounds=5, every=2, folder=str(folder))
+        assert len(model.fit(frame, stop_after=1).trees) == 1  # what follows takes up the margins of stored trees
+        got = model.fit(frame)
+        assert same(got.trees, whole.trees) and got.history() == whole.history()
+    checkpoints = urlparse(spark.sparkContext.getCheckpointDir()).path
+    assert not [f for f in os.listdir(checkpoints) if f.startswith("meeting-")]
+
+
+def test_tasks_tell_each_other_percentiles(tmp_path):
+    rng = np.random.default_rng(5)
+    v = {0: rng.normal(size=3000), 1: np.sort(rng.normal(size=9000)), 2: np.repeat([1.0, 2.0], 50), 3: np.zeros(0)}
+    parts = [{k: np.array_split(own, 3)[t] for k, own in v.items()} for t in range(3)]
+    with ThreadPoolExecutor(3) as pool:
+        got = list(pool.map(lambda t: bo.together_percentiles(parts[t], 0.85, bo.told_through(str(tmp_path), t, 3)), range(3)))
+    assert got[0] == got[1] == got[2] == {**{k: np.percentile(v[k], 85) for k in range(3)}, 3: 0.0}
+
+
+def test_levels_are_added_up_alike_whatever_the_groups():
+    rng = np.random.default_rng(2)
+    sizes, chosen = [3, 200, 7, 250, 12], [0, 1, 3, 4]
+    x = np.stack([rng.integers(0, s, 3000) for s in sizes]).astype(np.uint8)
+    r = rng.normal(size=3000)
+    parts = [np.arange(0, 3000, 3), np.arange(1, 50, 3), np.zeros(0, np.int64)]
+    for alpha in (None, 0.85):
+        weights = bo.gradients(None, r) if alpha is None else np.where(r > 0, 1.0 + bo.ABOVE, 1.0)
+        want = np.stack([np.stack([np.concatenate([np.bincount(x[f][rows], w[rows], sizes[f]) for f in chosen]) for w in (bo.gradients(alpha, r), np.ones(3000))]) for rows in parts])
+        for joint in ([], [(0, *bo.joint_records(x, sizes, 1 << 14))], [(10**9, *bo.joint_records(x, sizes, 1 << 14)), (1, *bo.joint_records(x, sizes, 300))]):
+            assert (bo.level_sums(alpha, chosen, sizes, x, joint, weights)(parts) == want).all()
+
+
 def test_percentiles_of_tasks_meet_exactly_or_not_at_all():
     rng = np.random.default_rng(1)
     arrays, bag, q = tuple(np.array([v]) for v in (-1, 0, -1, -1)), (1, 0, 1.0), 0.85
