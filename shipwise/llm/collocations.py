@@ -57,6 +57,8 @@ TILE, DENSE = 11, 32
 PARTS = 16
 #: Cells that a merge holds before it adds them up.
 HELD = 1 << 22
+#: Rows of tiles that a task is worth starting for.
+TASK_ROWS = 1 << 12
 
 _PIECE = np.zeros(256, bool)
 _PIECE[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -217,12 +219,33 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(f)], ["a", "b", "f"])
 
 
-def _table(table: pa.Table) -> pa.Table:
-    """The symbols of one tile as one row; they take the place of counts."""
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The symbols (tile, code, id) of consecutive rows of one tile, in the order of the codes, as one row; they take the place
+    of counts."""
     fresh_worker()
-    code, symbol = table.column("code").to_numpy(), table.column("id").to_numpy()
-    order = np.argsort(code)
-    return pa.table({"tile": table.column("tile").slice(0, 1), "codes": pa.array([squeeze(code[order].astype(np.int32))], pa.binary()), "counts": pa.array([squeeze(symbol[order])], pa.binary())})
+    held: list = []  # of the last tile so far
+
+    def rows(of: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([t for t, *_ in of], pa.int64()), pa.array([squeeze(c) for _, c, _ in of], pa.binary()), pa.array([squeeze(i) for *_, i in of], pa.binary())],
+            ["tile", "codes", "counts"])
+
+    def joined() -> tuple:
+        return held[0][0], np.concatenate([c for _, c, _ in held]), np.concatenate([i for *_, i in held])
+    for batch in batches:
+        tile, code, symbol = (batch.column(k).to_numpy() for k in range(3))
+        cut = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1], True]) if len(tile) else np.zeros(1, np.int64)
+        out = []
+        for x, y in zip(cut, cut[1:]):
+            now = (int(tile[x]), code[x:y].astype(np.int32), symbol[x:y].astype(np.int64))
+            if held and held[0][0] != now[0]:
+                out.append(joined())
+                held = []
+            held.append(now)
+        if out:
+            yield rows(out)
+    if held:
+        yield rows([joined()])
 
 
 def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,8 +332,14 @@ def _ranked_pairs(chunk: pa.Table, symbols: pa.Table) -> pa.Table:
     return pa.table({"chunk": chunk.column("chunk").slice(0, 1), "seq": pa.array([squeeze(out)], pa.binary())})
 
 
-def _sorted(df: DataFrame, *keys: str) -> DataFrame:
-    return df.repartition("tile", "part").sortWithinPartitions("tile", "part", *keys)
+def _spread(df: DataFrame) -> int:
+    """In how many tasks rows of tiles are dealt: what they cost follows their number, not their bytes, so Spark is not left
+    to put small ones together by size."""
+    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS)))
+
+
+def _sorted(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    return df.repartition(tasks, "tile", "part").sortWithinPartitions("tile", "part", *keys)
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -337,8 +366,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, f
         seqs = seqs.checkpoint()
         seqs.mapInArrow(_pairs, _CELLS).write.parquet(f"{folder}/cells-{size}")
         cells = spark.read.parquet(f"{folder}/cells-{size}")
-        parts = _sorted(cells).mapInArrow(_merge(1), _CELLS)
-        often = _sorted(parts.withColumn("part", F.lit(0))).mapInArrow(_merge(least), _CELLS)
+        tasks = _spread(cells)
+        parts = _sorted(cells, tasks).mapInArrow(_merge(1), _CELLS)
+        often = _sorted(parts.withColumn("part", F.lit(0)), tasks).mapInArrow(_merge(least), _CELLS)
         symbols = rank_rows(often.mapInArrow(_cells, "a long, b long, f long"), [F.col("f").desc(), "a", "b"], "id")
         left = phrases.select(F.col("id").alias("a"), "lang", "phrase")
         right = phrases.select(F.col("id").alias("b"), "last")
@@ -350,9 +380,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, f
         tile = F.shiftleft(F.shiftright("a", TILE), 32).bitwiseOR(F.shiftright("b", TILE))
         low = F.lit((1 << TILE) - 1)
         code = F.shiftleft(F.col("a").bitwiseAND(low), TILE).bitwiseOR(F.col("b").bitwiseAND(low))
-        tables = (symbols.select(tile.alias("tile"), code.alias("code"), "id").groupBy("tile").applyInArrow(_table, "tile long, codes binary, counts binary")
+        tables = (symbols.select(tile.alias("tile"), code.alias("code"), "id").repartition(tasks, "tile").sortWithinPartitions("tile", "code")
+                  .mapInArrow(_tables, "tile long, codes binary, counts binary")
                   .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).withColumn("chunk", F.lit(-1).cast("long")))
-        held = _sorted(cells.unionByName(tables), "chunk").mapInArrow(_look_up, "chunk long, tile long, codes binary, symbols binary")
+        held = _sorted(cells.unionByName(tables), tasks, "chunk").mapInArrow(_look_up, "chunk long, tile long, codes binary, symbols binary")
         seqs = seqs.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInArrow(_ranked_pairs, "chunk long, seq binary")
     out = levels[0]
     for more in levels[1:]:

@@ -268,6 +268,24 @@ def test_collocations_equal_brute_force(spark, monkeypatch, tile, dense, held):
     assert len(got) == len(set(got)) and set(got) == phrases(rows, 5, 40)
 
 
+def test_symbols_of_a_tile_make_one_row_whatever_the_batches(spark, monkeypatch):
+    """Tiles follow each other in a task: no call and no group of its own for each."""
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(t), int(c)): i for i, (t, c) in enumerate(rng.integers(0, [60, 400], (3000, 2)))}.items())
+    want = {t: [(c, i) for (u, c), i in rows if u == t] for (t, _), _ in rows}
+    table = collocations.pa.table({"tile": [t for (t, _), _ in rows], "code": [c for (_, c), _ in rows], "id": [i for _, i in rows]})
+    monkeypatch.setattr(collocations, "fresh_worker", lambda: None)
+    for size in (1, 7, 10_000):
+        got = [r for b in collocations._tables(iter(table.to_batches(size))) for r in b.to_pylist()]
+        assert {r["tile"]: list(zip(collocations.expand(r["codes"], np.int32).tolist(), collocations.expand(r["counts"], np.int64).tolist())) for r in got} == want
+        assert len(got) == len(want)
+    assert list(collocations._tables(iter(()))) == []
+    monkeypatch.setattr(collocations, "TASK_ROWS", 10)
+    many = spark.range(35)
+    assert collocations._spread(many) == 4 and collocations._spread(many.limit(0)) == 1  # at most the session's shuffle partitions
+    assert collocations._sorted(many.selectExpr("id as tile", "id % 3 as part"), 3).rdd.getNumPartitions() == 3
+
+
 def test_collocations_defined_cases(spark):
     docs = spark.createDataFrame(phrase_rows(), DOCS)
     assert collocations.collocations(docs.limit(0)).count() == 0
